@@ -72,3 +72,24 @@ def exclusive_scan(
         carried = carried.join(grand, keys)
     merged = [_merge(f, F.col("__in_" + out), F.col("__c_" + out)).alias(out) for out, (f, _) in aggs.items()]
     return inside.join(carried, [*keys, b]).select(*df.columns, *merged, *whole)
+
+
+def bucketed_row_number(df: DataFrame, keys: list[str], bucket: str, order: list[Column], name: str = "rn") -> DataFrame:
+    """row_number() over (keys order by bucket, order) without one task per key.
+
+    `bucket` is a non-negative integer column that rises with the order, such as a day number;
+    rows are ranked inside their bucket and shifted by the rows of earlier buckets.
+    """
+    inside = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("__n"))
+    before = exclusive_scan(sizes, keys, bucket, {"__before": ("sum", "__n")}, depth=0).drop("__n")
+    return inside.join(before, [*keys, bucket]).withColumn(name, F.col("__rn") + F.col("__before")).drop("__rn", "__before")
+
+
+def latest(df: DataFrame, keys: list[str], order: list[str], ascending: bool = False) -> DataFrame:
+    """One row per key with the highest (or lowest) order, combined on the map side."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    pick = F.struct(*order, *rest)
+    agg = F.min(pick) if ascending else F.max(pick)
+    out = df.groupBy(*keys).agg(agg.alias("__p"))
+    return out.select(*[F.col(c) if c in keys else F.col("__p." + c).alias(c) for c in df.columns])
