@@ -10,8 +10,8 @@ from docloom.functions.text import literal_array
 # key, bucket, label of every field the derived rows use
 FIELDS = (
     list(FIELD_DEFS)
-    + [(k, "submission_deadlines_items", v) for k, v in DEADLINE_LABELS.items()]
-    + [(k, "bonds_items", v) for k, v in BOND_LABELS.items()]
+    + [(k, "project_dates", v) for k, v in DEADLINE_LABELS.items()]
+    + [(k, "bond_items", v) for k, v in BOND_LABELS.items()]
 )
 KEYS = [f[0] for f in FIELDS]
 ISSUES = ["wrong_value", "missing", "wrong_source", ""]
