@@ -1,6 +1,6 @@
 """Registered queries: every operator run over the given tables, with its SQL restatement."""
 
-from docloom.checks import q_business, q_fields, q_pages, q_retrieval, q_sections_chunks  # noqa: F401
+from docloom.checks import q_business, q_fields, q_grounding, q_pages, q_quality, q_retrieval, q_sections_chunks  # noqa: F401
 from docloom.checks.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -77,3 +77,8 @@ def literal_array(values) -> Column:
 def ordered_join(order_and_text: Column, sep: str) -> Column:
     """Join collected (order..., text) structs in order; `text` is the last field."""
     return F.array_join(F.transform(F.array_sort(order_and_text), lambda s: s["text"]), sep)
+
+
+def bound(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from docloom.fixed import BOND_LABELS, DEADLINE_LABELS, FIELD_DEFS, SET_ASIDE_KEYS, SINGLETON_KEYS
 from docloom.functions.dates import add_duration, date_grounded, long_date, next_business_day, parse_amount, parse_date
 from docloom.functions.text import WS, col, contains_any, head, literal_array, norm_ws, strip, word_count
-from docloom.operators.feedback import _text, after_label
+from docloom.operators.feedback import _text
+from docloom.plans.scans import once
+from docloom.plans.stage import cut
 
 # Note labels, display order and the wording tests of the post rules.
 DATE_NOTE_TARGETS = {
@@ -256,10 +258,9 @@ def rule_start_date(rows: DataFrame) -> DataFrame:
         _first(_dates() & _is("bid open date"), "date", "confidence").alias("open"),
         _first((F.col("bucket") == "project_metadata_items") & (F.lower(_text("text")).contains("project value") | F.lower(_text("text")).contains("project_value")), "text").alias("val"),
     ).where(~F.col("has_start") & F.col("open").isNotNull())
-    opened = parse_date(F.col("open.date"))
     amount = parse_amount(F.col("val.text"))
     days = F.when(F.col("val").isNotNull() & (amount > 1_000_000), 60).otherwise(30)
-    f = facts.withColumns({"opened": opened, "days": days})
+    f = once(once(facts, "opened", parse_date(F.col("open.date"))), "days", days)
     shifted = next_business_day(F.col("opened") + F.make_dt_interval(days=F.col("days")))
     text = F.when(F.col("opened").isNull(), F.col("open.date")).otherwise(
         F.concat(long_date(shifted), F.lit(" (estimated — "), F.col("days").cast("string"), F.lit(" calendar days from Bid open date)"))
@@ -278,9 +279,9 @@ def rule_end_date(rows: DataFrame) -> DataFrame:
     end = _dates() & (_is("project end date") | (F.col("field_key") == "project_end_date_time"))
     start = _dates() & (_is("project start date") | (F.col("field_key") == "project_start_date_time"))
     facts = rows.where(end | start).groupBy("doc_id").agg(_first(end, "date").alias("e"), _first(start, "date", "confidence").alias("s"))
-    f = facts.where(F.col("e").isNotNull() & F.col("s").isNotNull()).select(
-        "doc_id", F.col("e.row_seq").alias("row_seq"), strip("e.date").alias("raw"), F.col("s.confidence").alias("cap"),
-        add_duration(parse_date(F.col("s.date")), strip("e.date")).alias("calc"),
+    both = facts.where(F.col("e").isNotNull() & F.col("s").isNotNull())
+    f = once(once(both, "begin", parse_date(F.col("s.date"))), "calc", add_duration("begin", strip("e.date"))).select(
+        "doc_id", F.col("e.row_seq").alias("row_seq"), strip("e.date").alias("raw"), F.col("s.confidence").alias("cap"), "calc",
     ).where(F.col("calc").isNotNull())
     j = rows.join(f, ["doc_id", "row_seq"], "left")
     hit = F.col("calc").isNotNull()
@@ -295,7 +296,10 @@ def rule_award_anchor(rows: DataFrame) -> DataFrame:
     """`N days after award` becomes a date once the award date is known."""
     facts = rows.where(_dates() & (F.col("field_key") == "municipal_meeting_date_time")).groupBy("doc_id").agg(
         _first(F.lit(True), "date", "confidence").alias("a")
-    ).select("doc_id", parse_date(F.col("a.date")).alias("award"), F.coalesce("a.confidence", F.lit(72)).alias("cap")).where(F.col("award").isNotNull())
+    )
+    facts = once(facts, "award", parse_date(F.col("a.date"))).where(F.col("award").isNotNull()).select(
+        "doc_id", "award", F.coalesce("a.confidence", F.lit(72)).alias("cap")
+    )
     j = rows.join(facts, "doc_id", "left")
     raw = strip(_text("date"))
     n = F.floor(F.nullif(F.regexp_extract(raw, AFTER_AWARD, 1), F.lit("")).cast("double")).cast("int")
@@ -303,6 +307,8 @@ def rule_award_anchor(rows: DataFrame) -> DataFrame:
         F.col("award").isNotNull() & _dates() & F.col("field_key").isin("project_start_date_time", "project_end_date_time")
         & n.isNotNull() & parse_date(raw).isNull()
     )
+    j = once(j, "hit", F.coalesce(hit, F.lit(False)))
+    hit = F.col("hit")
     moved = F.col("award") + F.make_dt_interval(days=F.coalesce(n, F.lit(0)))
     return j.withColumns({
         "date": F.when(hit, F.concat(long_date(moved), F.lit(" (estimated — "), n.cast("string"), F.lit(" days after award date "), long_date("award"), F.lit(")"))).otherwise(F.col("date")),
@@ -548,14 +554,13 @@ def field_warnings(rows: DataFrame) -> DataFrame:
 
 
 def zero_bad_years(rows: DataFrame) -> DataFrame:
-    y = F.year(parse_date("date"))
-    bad = _dates() & ((y < 2020) | (y > 2035))
-    return rows.withColumn("confidence", F.when(F.coalesce(bad, F.lit(False)), 0).otherwise(F.col("confidence")))
+    y = F.year(F.when(_dates(), parse_date("date")))
+    return rows.withColumn("confidence", F.when(F.coalesce(~y.between(2020, 2035), F.lit(False)), 0).otherwise(F.col("confidence")))
 
 
 def date_warnings(rows: DataFrame) -> DataFrame:
     """Years out of range and impossible orders of dates; the last row of a field counts."""
-    d = rows.where(_dates()).select("doc_id", _text("field_key").alias("field_key"), "row_seq", parse_date("date").alias("ts")).where(F.col("ts").isNotNull())
+    d = once(rows.where(_dates()).select("doc_id", _text("field_key").alias("field_key"), "row_seq", "date"), "ts", parse_date("date")).where(F.col("ts").isNotNull())
     y = F.year("ts")
     inside = y.between(2020, 2035)
     bad = _warning(
@@ -588,8 +593,6 @@ def finalize(rows: DataFrame, notes: DataFrame | None = None, infer_dates: bool
     The rules read the rows again and again, so the table is written once after the date rules
     and once after deduplication.
     """
-    from docloom.plans.stage import cut
-
     out = rule_bid_open(rows.select(*SPEC_COLUMNS))
     if infer_dates:
         out = rule_award_anchor(rule_end_date(cut(rule_start_date(cut(out)))))
