@@ -237,7 +237,7 @@ def _(t):
 b AS (SELECT doc_id, field_key, row_seq, CASE WHEN nv = 'Bid No: AFE-H051' THEN 'AFE-H051' ELSE trim(nv) END AS v, citation_verified, confidence FROM wv WHERE field_key IN ('project_solicitation_number', 'project_document_acquisition_note', 'project_description')),
 ok AS (SELECT * FROM b WHERE CASE field_key WHEN 'project_solicitation_number' THEN v IN ('RFP-001', 'AFE-H051') WHEN 'project_document_acquisition_note' THEN v = 'Download from the portal' ELSE true END),
 d AS (SELECT doc_id, field_key, v, min(row_seq) AS r FROM ok GROUP BY 1, 2, 3),
-j AS (SELECT doc_id, field_key, string_agg(v, CASE field_key WHEN 'project_solicitation_number' THEN '; ' WHEN 'project_description' THEN chr(10) || chr(10) ELSE ' • ' END ORDER BY r) AS t FROM d GROUP BY doc_id, field_key),
+j AS (SELECT doc_id, field_key, CASE field_key WHEN 'project_solicitation_number' THEN string_agg(v, '; ' ORDER BY r) WHEN 'project_description' THEN string_agg(v, chr(10) || chr(10) ORDER BY r) ELSE string_agg(v, ' • ' ORDER BY r) END AS t FROM d GROUP BY doc_id, field_key),
 g AS (SELECT doc_id, field_key, count(*) AS n, arg_max(row_seq, (citation_verified, confidence, -row_seq)) AS row_seq, arg_max(v, (citation_verified, confidence, -row_seq)) AS v1 FROM b GROUP BY 1, 2)
 SELECT g.doc_id, g.field_key, g.row_seq, CASE WHEN n = 1 THEN v1 ELSE t END AS v FROM g LEFT JOIN j ON j.doc_id = g.doc_id AND j.field_key = g.field_key WHERE n = 1 OR t IS NOT NULL""")
 def _(t):
@@ -321,7 +321,7 @@ def _(t):
         c, F.col("l_linestatus") == "F", F.col("l_returnflag") == "R", F.col("l_tax") > 0.06, F.col("l_tax") < 0.02, F.col("l_quantity") > 40).alias("confidence"))
 
 
-@query("fd26_infer_field_key", f"WITH {SPEC_SQL} SELECT doc_id, row_seq, field_key FROM spec")
+@query("fd26_infer_field_key", f"WITH {SPEC_SQL} SELECT doc_id, row_seq, CASE WHEN row_seq % 2 = 0 AND bucket = 'bond_items' THEN NULL ELSE field_key END AS field_key FROM spec")
 def _(t):
     return FD.infer_field_key(spec(t).withColumn("field_key", F.when(F.col("row_seq") % 2 == 0, "").otherwise(F.col("field_key")))).select("doc_id", "row_seq", "field_key")
 

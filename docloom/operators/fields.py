@@ -382,7 +382,9 @@ def filter_rows(rows: DataFrame) -> DataFrame:
     names = rows.where(meta & (F.col("field_key") == "project_name")).groupBy("doc_id").agg(
         F.min(F.struct("row_seq", row_value().alias("v")))["v"].alias("__name")
     )
-    v = row_value()
+    rows0 = rows
+    rows = once(rows, "__v", row_value())
+    v = F.col("__v")
     vn, nn = _plain_title(v), _plain_title(F.coalesce("__name", F.lit("")))
     same = (nn != "") & (nn.contains(vn) | vn.contains(nn))
     prose = (word_count(v) >= 15) | v.contains(".") | v.contains(";")
@@ -393,7 +395,7 @@ def filter_rows(rows: DataFrame) -> DataFrame:
         .when(key == "project_sector", F.coalesce("citation_verified", F.lit(False)))
         .when(key == "project_solicitation_number", is_solicitation_number(v)).otherwise(True)
     )
-    return rows.join(names, "doc_id", "left").where(~meta | F.coalesce(ok, F.lit(True))).select(*rows.columns)
+    return rows.join(names, "doc_id", "left").where(~meta | F.coalesce(ok, F.lit(True))).select(*rows0.columns)
 
 
 def quality_key() -> Column:
@@ -425,14 +427,15 @@ def merge_multi(rows: DataFrame) -> DataFrame:
     """
     mergeable = (F.col("bucket") == "project_metadata_items") & F.col("field_key").isin(list(MERGED))
     sol = F.col("field_key") == "project_solicitation_number"
-    code = _code_only(row_value())
-    base = rows.where(mergeable).withColumn(
-        "text", F.when(sol & (code != ""), F.concat(F.lit("Project solicitation number: "), code)).otherwise(F.col("text"))
-    )
-    v = row_value()
+    # values are read once per row; merged projections would repeat them at every use
+    base = once(once(rows.where(mergeable), "__v0", row_value()), "__code", _code_only(F.col("__v0")))
+    use = sol & (F.col("__code") != "")
+    base = base.withColumn("text", F.when(use, F.concat(F.lit("Project solicitation number: "), "__code")).otherwise(F.col("text")))
+    base = once(once(base, "v", F.when(use, F.col("__code")).otherwise(F.col("__v0"))), "norm", norm_ws("v"))
+    v = F.col("v")
     valid = F.when(sol, is_solicitation_number(v)).when(F.col("field_key") == "project_document_acquisition_note", is_valid_acquisition_note(v)).otherwise(True)
     keys = ["doc_id", "field_key"]
-    values = base.withColumn("v", v).where(valid & (norm_ws("v") != "")).groupBy(*keys, norm_ws("v").alias("norm")).agg(
+    values = base.where(valid & (F.col("norm") != "")).groupBy(*keys, "norm").agg(
         F.min(F.struct("row_seq", strip("v").alias("v"))).alias("p")
     )
     w = Window.partitionBy(*keys).orderBy("p.row_seq")
@@ -469,7 +472,7 @@ def address_score(c) -> Column:
 def merge_locations(rows: DataFrame) -> DataFrame:
     """All distinct locations of a document in one row: no value that another one contains."""
     loc = (F.col("bucket") == "project_size_location_items") & (F.col("field_key") == "project_location")
-    base = rows.where(loc).withColumn("v", row_value())
+    base = once(rows.where(loc), "v", row_value())
     rank = F.struct(address_score("v").alias("a"), quality_key().alias("q"), (-F.col("row_seq")).alias("o"))
     payload = [c for c in SPEC_COLUMNS if c != "doc_id"]
     best = base.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), *payload)).alias("w"))
