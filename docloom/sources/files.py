@@ -41,7 +41,11 @@ def upload_verdict(path, size) -> Column:
 
 
 def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of an upload folder with a verdict; the content column is read only if selected."""
+    """Files of an upload folder with a verdict; the content column is read only if selected.
+
+    The file reader lists no empty files, so the empty verdict shows where lengths come from a
+    stored listing instead.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "modificationTime", "length", "content", upload_verdict("path", "length").alias("verdict"))
 
