@@ -59,7 +59,13 @@ USERS_SQL = """
 users AS (SELECT c_custkey AS user_id, c_name AS username, lower(c_name) || '@Example.com' AS email,
   CASE c_mktsegment WHEN 'MACHINERY' THEN 'management' WHEN 'BUILDING' THEN '' END AS role FROM customer)"""
 
-_SEQ = F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * F.lit(10**7) + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("int")
+def _seq():
+    return (
+        F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * F.lit(10**7) + F.col("l_suppkey") * 100
+        + F.col("l_quantity").cast("int")
+    )
+
+
 _SEQ_SQL = "(l_linenumber * 10000000000000 + l_partkey * 10000000 + l_suppkey * 100 + CAST(l_quantity AS INTEGER))"
 
 
@@ -69,7 +75,7 @@ def insights(t):
 
 def items(t):
     return t.lineitem.select(
-        F.col("l_orderkey").alias("doc_id"), _SEQ.alias("item_seq"),
+        F.col("l_orderkey").alias("doc_id"), _seq().alias("item_seq"),
         F.when(F.col("l_suppkey") % 9 == 0, " ").otherwise(pick(KEYS, F.col("l_partkey") % len(KEYS))).alias("label"),
     )
 
@@ -139,7 +145,7 @@ def spec(t):
     deadline = pick(KEYS, k).endswith("_date_time")
     value = F.concat(F.lit("value "), (F.col("l_partkey") % 7).cast("string"), F.when(F.col("l_suppkey") % 5 == 0, F.lit(" of the works")).otherwise(""))
     return t.lineitem.select(
-        F.col("l_orderkey").alias("doc_id"), pick([f[1] for f in FIELDS], k).alias("bucket"), _SEQ.alias("row_seq"), pick(KEYS, k).alias("field_key"),
+        F.col("l_orderkey").alias("doc_id"), pick([f[1] for f in FIELDS], k).alias("bucket"), _seq().alias("row_seq"), pick(KEYS, k).alias("field_key"),
         F.when(deadline, pick([f[2] for f in FIELDS], k)).otherwise(F.concat(pick([f[2] for f in FIELDS], k), F.lit(": "), value)).alias("text"),
         F.when(deadline, F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T10:00:00"))).otherwise("").alias("date"),
         F.round(F.col("l_discount") * 1000).cast("int").alias("confidence"), (F.col("l_returnflag") != "N").alias("date_grounded"),

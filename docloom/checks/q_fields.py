@@ -78,7 +78,7 @@ def spec_items(t):
         lab.startswith("set_aside"), "set_asides").otherwise("eligibility_criteria")
     val = F.when(lab.endswith("_date_time"), F.date_format("l_shipdate", "MMMM d, yyyy")).otherwise(F.concat(F.lit("value "), (F.col("l_partkey") % 7).cast("string")))
     return t.lineitem.select(
-        F.col("l_orderkey").alias("doc_id"), types.alias("extraction_type"), B._SEQ.alias("item_seq"),
+        F.col("l_orderkey").alias("doc_id"), types.alias("extraction_type"), B._seq().alias("item_seq"),
         F.when(F.col("l_suppkey") % 4 == 0, "").otherwise(lab).alias("label"), F.when(F.col("l_suppkey") % 4 == 0, "").otherwise(val).alias("value"),
         F.concat(F.initcap(lab), F.lit(": "), val).alias("requirement"), F.lit(None).cast("string").alias("date_time"), F.col("l_linenumber").alias("page"),
         F.lit("s").alias("section"), F.when(F.col("l_tax") > 0.02, F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(" says "), val)).otherwise("").alias("source_text"),
@@ -312,7 +312,7 @@ def _(t):
     return FD.merge_warnings(w.unionByName(w)).drop("dropped_count")
 
 
-@query("fd25_field_confidence", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(round_even(least(CASE WHEN l_linestatus = 'F' THEN 90 + 10 * c WHEN l_returnflag = 'R' THEN 30 + 25 * c ELSE least(30, 30 * c) END,
+@query("fd25_field_confidence", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(round_even(least(CASE WHEN l_linestatus = 'F' THEN 90 + 10 * c WHEN l_returnflag = 'R' THEN 30 + 25 * c ELSE least(30, 30 * c) END,
   CASE WHEN l_tax > 0.06 THEN 72 ELSE 100 END, CASE WHEN l_tax < 0.02 THEN 58 ELSE 100 END, CASE WHEN l_quantity > 40 THEN 95 ELSE 100 END), 0) AS BIGINT) AS confidence
 FROM (SELECT *, CASE WHEN l_quantity > 25 THEN 0.55 ELSE l_quantity / 32 END AS c FROM lineitem)""")
 def _(t):

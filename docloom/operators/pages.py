@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT, Config
 from docloom.functions.headings import heading_title, is_heading
 from docloom.functions.numbers import mean_4dp
-from docloom.functions.text import col, collapse, lines_of, ordered_join, strip, word_count
+from docloom.functions.text import WS, bound, col, collapse, lines_of, ordered_join, strip
 from docloom.plans.scans import exclusive_scan, once
 
 # Character classes of the quality score.
@@ -18,19 +18,22 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 def page_quality(text, cfg: Config = DEFAULT) -> Column:
     """Share of readable characters with penalties, 0 to 1."""
-    s = strip(F.coalesce(col(text), F.lit("")))
-    n = F.length(s)
-    ratio = F.regexp_count(s, F.lit(READABLE)) / n
-    replaced = F.length(s) - F.length(F.replace(s, F.lit("\ufffd"), F.lit("")))
-    penalty = F.least(F.lit(0.4), replaced / n / 0.05 * 0.2)
-    ratio = ratio * F.when(s.rlike(CONTROL), 0.5).otherwise(1.0)
-    ratio = ratio * F.when((word_count(s) < 5) & (ratio < 0.6), 0.6).otherwise(1.0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - penalty))
-    return (
-        F.when(n == 0, 0.0)
-        .when(n < cfg.min_page_text_length, 0.15)
-        .otherwise(F.round(score * F.when(n < 80, 0.75).otherwise(1.0), 4))
-    )
+
+    def scored(s):
+        n = F.length(s)
+        # runs of readable characters are removed in one pass; what is left is unreadable
+        readable = n - F.length(F.regexp_replace(s, READABLE + "+", ""))
+        penalty = F.least(F.lit(0.4), (n - F.length(F.replace(s, F.lit("\ufffd"), F.lit("")))) / n / 0.05 * 0.2)
+
+        def finish(ratio):
+            few = (ratio < 0.6) & (F.size(F.split(s, WS + "+")) < 5)
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(few, ratio * 0.6).otherwise(ratio) - penalty))
+            return F.round(score * F.when(n < 80, 0.75).otherwise(1.0), 4)
+
+        ratio = readable / n * F.when(s.rlike(CONTROL), 0.5).otherwise(1.0)
+        return F.when(n == 0, 0.0).when(n < cfg.min_page_text_length, 0.15).otherwise(bound(ratio, finish))
+
+    return bound(strip(F.coalesce(col(text), F.lit(""))), scored)
 
 
 def choose_page_text(native: DataFrame, ocr: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -1,0 +1,15 @@
+"""Parallelism of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of few splits over all cores by key; large inputs pass untouched.
+
+    A file with a single row group keeps one core busy however expensive its rows are. Inputs
+    with enough splits never pay for a shuffle here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores, key)
