@@ -50,8 +50,7 @@ class PrefixCoder:
         self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple] = {}
         self.loose = regex.compile(r" (?:\s|\Z)")
-        self.written: dict[str, bytes] = {}
-        self.read = {b"%d" % r: t for t, r in ranks.items()}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def _merge_all(self, text: bytes, below: int) -> list[bytes]:
         """Plain merging of the bytes of one token with the ranks below its own."""
@@ -155,42 +154,41 @@ class PrefixCoder:
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text."""
-        return list(map(int, self.encode_written(text).split()))
+        return [int(i) for ids, _ in self.chunks(text) for i in ids.split()]
 
-    def encode_written(self, text: str) -> bytes:
-        """The ids in decimal, joined by one space.
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def _written(self, text: str) -> tuple[bytes, bytes]:
+        ids = self.pieces_of(text)
+        return b" ".join([b"%d" % i for i in ids]), self.decode(ids)
+
+    def chunks(self, text: str) -> list[tuple[bytes, bytes]]:
+        """For each stretch of the text, its ids in decimal joined by one space, and the bytes they decode to.
 
         The pattern always starts a new piece at a space that a non-space follows, so a text whose spaces are all
-        of that kind is encoded chunk by chunk, and chunks are remembered. Any other text is split as a whole.
+        of that kind is encoded chunk by chunk, and chunks are remembered. Any other text is one stretch.
         """
         if not text:
-            return b""
-        if PATTERN != self.split.pattern or self.loose.search(text):
-            return b" ".join([b"%d" % i for i in self.pieces_of(text)])
+            return []
+        if self.split.pattern != PATTERN or self.loose.search(text):
+            return [self._written(text)]
         first, *rest = text.split(" ")
-        known = self.written
+        known = self.known
         out = [known.get(c) for c in rest]
         if None in out:
             if len(known) >= CACHE:
                 known.clear()
-            for n, ids in enumerate(out):
-                if ids is None:
+            for n, made in enumerate(out):
+                if made is None:
                     chunk = rest[n]
-                    ids = known.get(chunk)
-                    if ids is None:
-                        ids = b" ".join([b"%d" % i for i in self.pieces_of(" " + chunk)])
+                    made = known.get(chunk)
+                    if made is None:
+                        made = self._written(" " + chunk)
                         if len(chunk) <= CACHE_CHARS:
-                            known[chunk] = ids
-                    out[n] = ids
-        if first:
-            out.insert(0, b" ".join([b"%d" % i for i in self.pieces_of(first)]))
-        return b" ".join(out)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def decode_written(self, ids: bytes) -> bytes:
-        return b"".join(map(self.read.__getitem__, ids.split()))
+                            known[chunk] = made
+                    out[n] = made
+        return [self._written(first), *out] if first else out
 
 
 class EncodedText:
@@ -315,10 +313,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in pieces(batches, 64):
             counts, ids_hash, text_hash = [], [], []
             for text in utf8(batch, "_text"):
-                ids = coder.encode_written(text.decode(errors="replace"))
+                made = coder.chunks(text.decode(errors="replace"))
+                ids = b" ".join([i for i, _ in made])
                 counts.append(ids.count(b" ") + (ids != b""))
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(coder.decode_written(ids)).hexdigest())
+                text_hash.append(hashlib.sha256(b"".join([b for _, b in made])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = docs.select("doc_id", F.col("text").alias("_text"))
