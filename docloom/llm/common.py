@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # a key is hot when it alone holds this share of all rows; at most 1 / share keys can be
@@ -14,6 +14,18 @@ HOT_LEAST = 1000
 SALTS = 64
 
 
+ARROW_ROWS = 1_000
+ARROW_BYTES = 8 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Bounds what one Arrow batch holds: tables of long texts otherwise reach tens of MB a batch, several times per task."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short slices, so that few texts exist as Python objects at a time."""
     for batch in batches:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, warc
 
+from docloom.llm.common import prepared
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
