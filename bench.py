@@ -30,7 +30,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("docloom-bench")
         .config("spark.sql.shuffle.partitions", str(max(int(cpus), 8))).config("spark.driver.memory", "16g")
         .config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.local.dir", scratch)
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("docloom.input.partitions", cpus).config("spark.checkpoint.dir", f"{scratch}/stages").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

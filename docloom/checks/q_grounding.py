@@ -44,7 +44,7 @@ def batched(t):
 @query("gr3_validate_items", f"""WITH {ITEMS_SQL}, b AS (SELECT doc_id, item_seq, item_seq // 12 AS bn, CASE WHEN item_seq % 3 = 0 THEN label || ': ' || value ELSE upper(label) END AS requirement FROM items)
 SELECT doc_id, item_seq, requirement FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, bn, substr({ws_sql('requirement')}, 1, 200) ORDER BY item_seq) = 1""")
 def _(t):
-    return G.validate_items(batched(t)).select("doc_id", "item_seq", "requirement")
+    return G.validate_items(batched(t), key_chars=200).select("doc_id", "item_seq", "requirement")
 
 
 @query("gr4_section_refs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '§4.4.' || (o_orderkey % 9) WHEN 1 THEN '4.4 Entirety' WHEN 2 THEN '4.4.2 Notice' ELSE 'Annex' END AS label FROM orders""")
@@ -73,25 +73,25 @@ nq AS (SELECT *, {cite_sql('s')} AS nf, {cite_sql('substr(s, 1, 80)')} AS n8 FRO
 @query("gr5_resolve_pages", f"""WITH {QUOTES_SQL}, h AS (SELECT nq.doc_id, item_seq, page_number, page_number BETWEEN ps AND pe AS ins FROM nq JOIN hay USING (doc_id) WHERE (length(nf) >= 24 AND contains(hay, nf)) OR (length(n8) >= 20 AND contains(hay, n8)))
 SELECT nq.doc_id, nq.item_seq AS item_id, coalesce(min(page_number) FILTER (WHERE ins), min(page_number))::BIGINT AS resolved FROM nq LEFT JOIN h ON h.doc_id = nq.doc_id AND h.item_seq = nq.item_seq GROUP BY 1, 2""")
 def _(t):
-    return G.resolve_pages(quotes(t), as_pages(t.documents), fuzzy=False).select("doc_id", "item_id", "resolved")
+    return G.resolve_pages(quotes(t), as_pages(t.documents), fuzzy=False, prefix=80).select("doc_id", "item_id", "resolved")
 
 
 @query("gr5_resolve_pages_fuzzy")
 def _(t):
-    return G.resolve_pages(quotes(t), as_pages(t.documents)).select("doc_id", "item_id", "resolved")
+    return G.resolve_pages(quotes(t), as_pages(t.documents), prefix=80, fuzzy_prefix=50).select("doc_id", "item_id", "resolved")
 
 
 @query("gr6_canonicalize_items")
 def _(t):
-    r = G.resolve_pages(quotes(t), as_pages(t.documents))
+    r = G.resolve_pages(quotes(t), as_pages(t.documents), prefix=80, fuzzy_prefix=50)
     c = as_chunks(t.documents).select("doc_id", (F.col("chunk_order") - 1).alias("item_seq"), "chunk_text", "section_title")
-    return G.canonicalize_items(r.join(c, ["doc_id", "item_seq"]).withColumn("total_pages", F.lit(0)).withColumn("date_time", F.lit(""))).select(
+    return G.canonicalize_items(r.join(c, ["doc_id", "item_seq"]).withColumn("total_pages", F.lit(0)).withColumn("date_time", F.lit("")), prefix=40, max_source=2000).select(
         "doc_id", "item_id", "page", "section", "confidence", "citation_verified", "requirement")
 
 
 @query("gr7_merge_items", f"WITH {ITEMS_SQL} SELECT doc_id, extraction_type, item_seq FROM items QUALIFY row_number() OVER (PARTITION BY doc_id, extraction_type, substr({ws_sql('requirement')}, 1, 200) ORDER BY item_seq) = 1")
 def _(t):
-    return G.merge_items(as_items(t.documents)).select("doc_id", "extraction_type", "item_seq")
+    return G.merge_items(as_items(t.documents), key_chars=200).select("doc_id", "extraction_type", "item_seq")
 
 
 @query("gr8_aggregate_confidence", f"WITH {ITEMS_SQL}, q AS (SELECT *, CAST(round(confidence * 10000) AS BIGINT) AS c FROM items) SELECT doc_id, extraction_type, (2 * sum(c) + count(*)) // (2 * count(*)) / 10000 AS confidence, count(*) AS n_items FROM q GROUP BY 1, 2")
@@ -109,13 +109,13 @@ INDOC_SQL = QUOTES_SQL + """, ind AS (SELECT nq.doc_id, nq.item_seq, coalesce(bo
 
 @query("gr10_quote_in_document", f"WITH {INDOC_SQL} SELECT doc_id, item_seq AS item_id, ok AS in_document FROM ind")
 def _(t):
-    return G.quote_in_document(quotes(t), as_pages(t.documents)).select("doc_id", "item_id", "in_document")
+    return G.quote_in_document(quotes(t), as_pages(t.documents), prefix=32).select("doc_id", "item_id", "in_document")
 
 
 @query("gr11_citation_lookup", f"""WITH {INDOC_SQL} SELECT doc_id, substr(nf, 1, 160) AS key, arg_min(page, item_seq)::BIGINT AS page, arg_min(section, item_seq) AS section, substr(arg_min(s, item_seq), 1, 2000) AS source_text
 FROM nq JOIN ind USING (doc_id, item_seq) WHERE ok GROUP BY 1, 2""")
 def _(t):
-    return G.citation_lookup(quotes(t), as_pages(t.documents)).drop("section_path")
+    return G.citation_lookup(quotes(t), as_pages(t.documents), 32, 160, 2000).drop("section_path")
 
 
 @query("gr12_canonicalize_sources", f"""WITH {INDOC_SQL}, lk AS (SELECT doc_id, substr(nf, 1, 160) AS key, arg_min(page, item_seq) AS p FROM nq JOIN ind USING (doc_id, item_seq) WHERE ok GROUP BY 1, 2)
@@ -123,7 +123,7 @@ SELECT nq.doc_id, nq.item_seq AS source_id, coalesce(lk.p, 99)::BIGINT AS page F
 def _(t):
     q = quotes(t)
     s = q.select("doc_id", F.col("item_seq").alias("source_id"), "source_text", F.lit(99).alias("page"), "section")
-    return G.canonicalize_sources(s, G.citation_lookup(q, as_pages(t.documents))).select("doc_id", "source_id", "page")
+    return G.canonicalize_sources(s, G.citation_lookup(q, as_pages(t.documents), 32, 160, 2000), 160).select("doc_id", "source_id", "page")
 
 
 def sources(t):
@@ -136,12 +136,12 @@ def plain_items(t):
 
 @query("gr13_best_item_match")
 def _(t):
-    return G.best_item_match(sources(t), plain_items(t)).select("doc_id", "source_id", F.round("ratio", 6).alias("ratio"), "m_page")
+    return G.best_item_match(sources(t), plain_items(t), 160).select("doc_id", "source_id", F.round("ratio", 6).alias("ratio"), "m_page")
 
 
 @query("gr14_enforce_verbatim")
 def _(t):
-    return G.enforce_verbatim(sources(t), plain_items(t), as_pages(t.documents))
+    return G.enforce_verbatim(sources(t), plain_items(t), as_pages(t.documents), 32, 160, 2000)
 
 
 @query("gr15_snap_quotes")
@@ -155,12 +155,12 @@ def _(t):
     hits = c.select(F.col("doc_id").alias("query_id"), "doc_id", "chunk_id", "chunk_text", "section_title", "page_start", "page_end")
     cites = as_items(t.documents).select(F.col("doc_id").alias("query_id"), "doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_seq").cast("string")).alias("chunk_id"),
                                          F.col("item_seq").alias("cite_id"), "source_text", "page", F.lit("").alias("section"))
-    return G.ground_citations(cites, hits, as_pages(t.documents))
+    return G.ground_citations(cites, hits, as_pages(t.documents), 80, 50, 512, 2000)
 
 
 @query("gr17_source_references", f"""WITH {ITEMS_SQL} SELECT doc_id, item_seq, page, substr(section, 1, 512) AS section_label, substr(source_text, 1, 2000) AS source_text, substr(requirement, 1, 500) AS excerpt, CAST(round(confidence, 4) AS DOUBLE) AS confidence, extraction_type AS trace_type FROM items""")
 def _(t):
-    return G.source_references(as_items(t.documents)).withColumn("trace_type", F.col("trace.type")).drop("trace", "section_path")
+    return G.source_references(as_items(t.documents), 512, 1024, 2000, 500).withColumn("trace_type", F.col("trace.type")).drop("trace", "section_path")
 
 
 def id_items(t):
@@ -172,20 +172,20 @@ def id_items(t):
 @query("gr18_backfill_ids", rf"""WITH {PAGES_SQL}, cv AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number) AS c FROM page_rows WHERE page_number <= 5 GROUP BY 1)
 SELECT doc_id, 'Project No.: ' || regexp_extract(c, '(?i)PROJECT\s*NO\.?\s*:?\s*([A-Z0-9][-A-Z0-9/]*)', 1) AS value FROM cv WHERE regexp_matches(c, '(?i)PROJECT\s*NO\.?\s*:?\s*([A-Z0-9][-A-Z0-9/]*)')""")
 def _(t):
-    return G.backfill_ids(as_pages(t.documents), id_items(t)).where("value like 'Project No.%'").select("doc_id", "value")
+    return G.backfill_ids(as_pages(t.documents), id_items(t), 5).where("value like 'Project No.%'").select("doc_id", "value")
 
 
 @query("gr19_backfill_contract_time", rf"""WITH {ITEMS_SQL}, {PAGE_ROWS_SQL},
 cv AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number) AS c FROM page_rows WHERE page_number <= 5 GROUP BY 1)
 SELECT doc_id, regexp_extract(c, '(?i)CONTRACT\s*TIME\s*:?\s*(\d+)', 1) || ' calendar days' AS value FROM cv WHERE regexp_matches(c, 'Contract Time: \d+ calendar days') AND doc_id IN (SELECT doc_id FROM items WHERE label IN ('bid_deadline', 'question_deadline', 'project_end_date'))""")
 def _(t):
-    return G.backfill_contract_time(as_pages(t.documents), as_items(t.documents)).select("doc_id", "value")
+    return G.backfill_contract_time(as_pages(t.documents), as_items(t.documents), 5).select("doc_id", "value")
 
 
 @query("gr20_backfill_locations", rf"""WITH {PAGES_SQL}, cv AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number) AS c FROM page_rows WHERE page_number <= 5 GROUP BY 1)
 SELECT doc_id, trim(trim(regexp_replace(regexp_extract(c, '(?i)LOCATION\s*:?\s*([^\n\r]{{3,160}})', 1), '\s+', ' ', 'g')), ' :-') AS value FROM cv WHERE regexp_matches(c, '(?i)LOCATION\s*:?\s*([^\n\r]{{3,160}})')""")
 def _(t):
-    return G.backfill_locations(as_pages(t.documents), as_items(t.documents).withColumn("label", F.lit("owner"))).select("doc_id", "value")
+    return G.backfill_locations(as_pages(t.documents), as_items(t.documents).withColumn("label", F.lit("owner")), 5).select("doc_id", "value")
 
 
 @query("gr21_split_certified_checks", f"""WITH {ITEMS_SQL}, r AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND label = 'certified_check' THEN 'certified_checks' ELSE label END AS lb FROM items),
@@ -215,14 +215,14 @@ def _(t):
     return G.retry_plan(t.documents, spec, ins)
 
 
-@query("gr24_apply_retry", f"""WITH {ITEMS_SQL}, o AS (SELECT doc_id, extraction_type, item_seq, requirement, 0 AS nw FROM items WHERE item_seq < 20 UNION ALL SELECT doc_id, extraction_type, item_seq + 1125899906842624, CASE WHEN doc_id % 2 = 0 THEN requirement ELSE requirement || ' again' END, 1 FROM items WHERE item_seq < 20),
-m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, extraction_type, substr({ws_sql('requirement')}, 1, 200) ORDER BY item_seq) = 1),
+@query("gr24_apply_retry", f"""WITH {ITEMS_SQL}, o AS (SELECT doc_id, extraction_type, item_seq, requirement, 0 AS nw FROM items WHERE item_seq < 20 UNION ALL SELECT doc_id, extraction_type, item_seq, CASE WHEN doc_id % 2 = 0 THEN requirement ELSE requirement || ' again' END, 1 FROM items WHERE item_seq < 20),
+m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, extraction_type, substr({ws_sql('requirement')}, 1, 200) ORDER BY nw, item_seq) = 1),
 g AS (SELECT doc_id, extraction_type FROM m GROUP BY 1, 2 HAVING count(*) > (SELECT count(*) FROM items i WHERE i.item_seq < 20 AND i.doc_id = m.doc_id AND i.extraction_type = m.extraction_type))
 SELECT doc_id, extraction_type, item_seq FROM m WHERE (doc_id, extraction_type) IN (SELECT * FROM g) UNION ALL SELECT doc_id, extraction_type, item_seq FROM o WHERE nw = 0 AND (doc_id, extraction_type) NOT IN (SELECT * FROM g)""".replace(" WHERE item_seq < 20", "").replace("WHERE i.item_seq < 20 AND ", "WHERE "))
 def _(t):
     i = as_items(t.documents).select("doc_id", "extraction_type", F.col("item_seq").cast("bigint").alias("item_seq"), "requirement")
     new = i.withColumn("requirement", F.when(F.col("doc_id") % 2 == 0, F.col("requirement")).otherwise(F.concat("requirement", F.lit(" again"))))
-    return G.apply_retry(i, new).select("doc_id", "extraction_type", "item_seq")
+    return G.apply_retry(i, new, 200).select("doc_id", "extraction_type", "item_seq")
 
 
 @query("gr25_citation_targets", f"""WITH {ITEMS_SQL}, d AS (SELECT doc_id, extraction_type AS owner_id, page, item_seq AS source_seq, item_seq % 3 = 1 AS hl FROM items QUALIFY row_number() OVER (PARTITION BY doc_id, extraction_type, page, {ws_sql('source_text')} ORDER BY item_seq) = 1)
@@ -234,4 +234,4 @@ def _(t):
 
 @query("gr26_identity_context", f"""WITH {ITEMS_SQL}, g AS (SELECT doc_id, substr(arg_min(value, item_seq) FILTER (WHERE label = 'project_name' AND trim(value) <> ''), 1, 120) AS project_name FROM items GROUP BY 1) SELECT doc_id, project_name FROM g WHERE project_name IS NOT NULL""")
 def _(t):
-    return G.identity_context(as_items(t.documents)).select("doc_id", "project_name")
+    return G.identity_context(as_items(t.documents), 120).select("doc_id", "project_name")

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.plans.spread import spread
 
-# tables whose rows are expensive to process, with the key they are spread by
-SPREAD = {"documents": "doc_id", "pages": "page_id"}
+# session key: number of partitions that documents and pages are dealt to, for single-file inputs on one machine
+INPUT_PARTITIONS = "docloom.input.partitions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,7 +26,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread(df, SPREAD[name]) if name in SPREAD else df
+        parts = self.spark.conf.get(INPUT_PARTITIONS, None)
+        return df.repartition(int(parts)) if parts and name in ("documents", "pages") else df
 
 
 def _plain(df: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ def word_count(c) -> Column:
     return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, WS + "+")))
 
 
-def head(c, n: int) -> Column:
-    return F.substring(col(c), 1, n)
+def head(c, n: int | None) -> Column:
+    """The first n characters; the whole text where no limit is given."""
+    return col(c) if n is None else F.substring(col(c), 1, n)
 
 
 def contains_any(text: Column, needles) -> Column:

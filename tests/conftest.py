@@ -14,7 +14,8 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.local.dir", scratch).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.local.dir", scratch).config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{scratch}/stages").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
