@@ -22,7 +22,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import pieces, utf8
+from docloom.llm.common import fresh, pieces, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE = 400_000
@@ -277,13 +277,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: list[str] |
     keep = ["doc_id"] if keep is None else keep
     ranks = vocabulary(docs.sparkSession, path)
     fields = [docs.schema[c] for c in keep]
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    (own,) = fresh([*keep, "tokens"], "_text")
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(own))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "tokens array<int>"
 
     def run(batches):
         coder = _coder(ranks.value)
         for batch in pieces(batches, 64):
-            ids = pa.array([coder.encode(x.decode(errors="replace")) for x in utf8(batch, "_text")], pa.list_(pa.int32()))
+            ids = pa.array([coder.encode(x.decode(errors="replace")) for x in utf8(batch, own)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], ids], [*[f.name for f in fields], "tokens"])
 
     return slim.mapInArrow(run, schema)

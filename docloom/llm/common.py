@@ -38,6 +38,17 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like those given that no column has yet; Spark compares names without case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], count: str, spread: list[str], rows: int) -> DataFrame:
     """Left join on a key of which `right` has one row, with the number `count` of left rows it meets.
 

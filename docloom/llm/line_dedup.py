@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import pieces, salted_join, utf8
+from docloom.llm.common import fresh, pieces, salted_join, utf8
 from docloom.plans.stage import stage_root
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -246,22 +246,23 @@ class LineIndex:
         hits = salted_join(self.state.postings, often, ["key"], "n_docs", ["doc_id"], rows)
         return hits.where(F.col("keeper") != F.col("doc_id")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, keep: list[str] | None = None) -> DataFrame:
-        """Documents without their repeated lines: columns `keep`, then n_lines, n_dropped and kept_text.
+    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, keep: list[str] | None = None, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
+        """Documents without their repeated lines: columns `keep`, then line counts and text under `names`.
 
         A null or empty text is one empty line. One shuffle carries the texts to their lists of lines.
         """
         keep = ["doc_id"] if keep is None else keep
         min_chars = self.min_chars
         fields = [docs.schema[c] for c in keep]
-        slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
-        joined = slim.join(self.drops(min_docs).withColumnsRenamed({"doc_id": "_id", "keys": "_keys"}), "_id", "left")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines bigint, n_dropped bigint, kept_text string"
+        own_id, own_text, own_keys = fresh(keep, "_id", "_text", "_keys")
+        slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("bigint").alias(own_id), F.col("text").alias(own_text))
+        joined = slim.join(self.drops(min_docs).withColumnsRenamed({"doc_id": own_id, "keys": own_keys}), own_id, "left")
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "`%s` bigint, `%s` bigint, `%s` string" % names
 
         def run(batches):
             for batch in pieces(batches):
                 lines, dropped, kept = [], [], []
-                for text, keys in zip(utf8(batch, "_text"), batch.column("_keys").to_pylist(), strict=True):
+                for text, keys in zip(utf8(batch, own_text), batch.column(own_keys).to_pylist(), strict=True):
                     parts = text.split(b"\n")
                     if keys:
                         keys = set(keys)
@@ -273,7 +274,7 @@ class LineIndex:
                     kept.append(b"\n".join(rest))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(f.name) for f in fields], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    [*[f.name for f in fields], "n_lines", "n_dropped", "kept_text"],
+                    [*[f.name for f in fields], *names],
                 )
 
         return joined.mapInArrow(run, schema)

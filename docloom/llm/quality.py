@@ -29,7 +29,8 @@ POOL = 3_000
 ROUNDS = 3
 SURE = 0.97
 PER_ROUND = 400
-TERMS = 400
+TERMS = 500
+STEMS = (8, 7, 6, 5)
 LEAST_DOCS = 5
 REJECT = 0.5
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -41,8 +42,12 @@ _SPACE = b" \t\n\x0b\x0c\r"
 
 
 def terms(text: bytes) -> set[bytes]:
-    """Distinct lower-case words, and runs of two or more symbols or lone bars."""
+    """Distinct lower-case words, their beginnings, and runs of two or more symbols or lone bars."""
     found = set(text.translate(_WORDS).split())
+    stems = found
+    for size in STEMS:
+        stems = {w[:size] for w in stems}
+        found = found | stems
     found.update(x for x in set(text.translate(_SYMBOLS).split()) if len(x) > 1 or x == b"|")
     return found
 
@@ -250,7 +255,7 @@ def _gather(seen: DataFrame, common: DataFrame, spark) -> tuple:
     """The sample on the driver: at most SAMPLE + POOL rows, with the terms that at least LEAST_DOCS of them share."""
     slim = seen.select("doc_id", F.explode_outer("terms").alias("t")).join(common, "t", "left_semi").groupBy("doc_id").agg(F.collect_set("t").alias("terms"))
     got = seen.drop("terms").dropDuplicates(["doc_id"]).join(slim, "doc_id", "left").toArrow()
-    meta = np.array(got.column("meta").to_pylist(), float).reshape(got.num_rows, -1)
+    meta = np.array(got.column("meta").to_pylist(), float)
     return got.column("doc_id").to_pylist(), got.column("quality").to_pylist(), got.column("toxic").to_pylist(), [set(t or ()) for t in got.column("terms").to_pylist()], meta
 
 

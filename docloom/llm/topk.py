@@ -137,6 +137,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, s
         return pd.DataFrame(found, columns=["block", "query_id", "vec_id", "score"])
 
     def searched(asked: DataFrame, there: DataFrame) -> DataFrame:
+        asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own beside those of the shards
         return cut(asked.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInPandas(run, out))
 
     first = searched(queries.withColumns({"shard": home, "floor": F.lit(None).cast("string")}), copies.where(F.col("shard") == home))
