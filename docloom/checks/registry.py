@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.plans.stage import safe_unions
+
 
 # session key: number of partitions that documents and pages are dealt to, for single-file inputs on one machine
 INPUT_PARTITIONS = "docloom.input.partitions"
@@ -47,6 +49,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            safe_unions(spark)
             return _plain(fn(Tables(spark, sf_dir)))
 
         if name in QUERIES:

@@ -19,6 +19,15 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Plan unions without taking over the partitioning of their branches.
+
+    Spark 4.1 may treat a union of equally partitioned branches as partitioned by the same key and leave out the
+    exchange before a window or join, which then sees the rows of a key in parts. This is the one place that turns it off.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage result as a table in the shared folder and read it back.
 
