@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plans.stage import safe_unions
+
 # a key is hot when it alone holds this share of all rows; at most 1 / share keys can be
 HOT_SHARE = 1e-4
 HOT_LEAST = 1000
@@ -23,6 +25,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    safe_unions(spark)
     return spark
 
 
