@@ -32,6 +32,7 @@ PER_ROUND = 400
 TERMS = 500
 STEMS = (8, 7, 6, 5)
 LEAST_DOCS = 5
+FOLDS = 5
 REJECT = 0.5
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _SYMBOLS = bytes(b if 33 <= b < 127 and not chr(b).isalnum() else 32 for b in range(256))
@@ -117,22 +118,6 @@ class Model:
         return sigmoid(np.clip(self.views(present, meta), -12, 12) @ self.mix[:-1] + self.mix[-1])
 
 
-def choose_terms(rows: list[set[bytes]], y: np.ndarray, count: int = TERMS) -> list[bytes]:
-    """Terms with the largest chi-square against the target, those of few documents left out."""
-    seen: dict[bytes, list[int]] = {}
-    for found, label in zip(rows, y.tolist(), strict=True):
-        for t in found:
-            seen.setdefault(t, [0, 0])[int(label)] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    ranked = []
-    for t, (zero, one) in seen.items():
-        n = zero + one
-        if n >= LEAST_DOCS:
-            expected = n * n1 / (n1 + n0)
-            ranked.append((-((one - expected) ** 2) / expected - (zero - (n - expected)) ** 2 / max(1e-9, n - expected), t))
-    return [t for _, t in sorted(ranked)[:count]]
-
-
 def presence(rows: list[set[bytes]], words: list[bytes]) -> np.ndarray:
     at = {t: i for i, t in enumerate(words)}
     out = np.zeros((len(rows), len(words)))
@@ -144,11 +129,8 @@ def presence(rows: list[set[bytes]], words: list[bytes]) -> np.ndarray:
     return out
 
 
-def co_train(rows: list[set[bytes]], meta: np.ndarray, y: np.ndarray, pool: list[set[bytes]], pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit both views on four of five labelled rows; the fifth calibrates them."""
-    held = np.arange(len(y)) % 5 == 4
-    words = choose_terms([r for r, h in zip(rows, held, strict=True) if not h], y[~held])
-    text, pool_text = presence(rows, words), presence(pool, words)
+def co_train(words: list[bytes], text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Fit both views on the labelled rows that are not `held`; the held ones calibrate them."""
     mean, scale = meta[~held].mean(0), meta[~held].std(0)
     scale[scale < 1e-9] = 1.0
     known, unknown = (meta - mean) / scale, (pool_meta - mean) / scale
@@ -160,7 +142,7 @@ def co_train(rows: list[set[bytes]], meta: np.ndarray, y: np.ndarray, pool: list
             given = sorted(extra[v])
             labels = np.concatenate([y[~held], np.array([extra[v][i] for i in given], float)])
             fitted[v] = logistic(np.vstack([own, asked[given]]), labels)
-        if turn == rounds or not len(pool):
+        if turn == rounds or not len(pool_text):
             break
         for v, (_, asked) in enumerate(views):
             p = sigmoid(asked @ fitted[v][:-1] + fitted[v][-1])
@@ -224,39 +206,66 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
     chosen = here.orderBy(turn, "doc_id").limit(sample)
     rest = ids.join(known, "doc_id", "left_anti").distinct().orderBy(turn, "doc_id").limit(pool)
     wanted = cut(chosen.unionByName(rest, allowMissingColumns=True))  # at most sample + pool rows
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(FOLDS)) == 0
+    wanted = wanted.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), fold.alias("held"))
 
     def run(batches):
         for batch in pieces(batches):
             rows, meta = _features(batch)
-            arrays = [batch.column(c) for c in ("doc_id", "quality", "toxic")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([list(r) for r in rows], pa.list_(pa.binary())), pa.array(meta.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "toxic", "terms", "meta"])
-
-    slim = _slim(docs).join(F.broadcast(wanted.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    seen = cut(slim.mapInArrow(run, "doc_id bigint, quality int, toxic int, terms array<binary>, meta array<double>"))
-    common = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    spark = docs.sparkSession
-    table = _gather(seen, cut(common.select("t")), spark)
-    if not len(table[0]):
-        return {}
-    doc, quality, toxic, rows, meta = table
-    order = np.argsort(np.array([xxhash.xxh64_intdigest(b"%d" % d) for d in doc], np.uint64), kind="stable")
-    has = [i for i in order.tolist() if quality[i] is not None]
-    pool_at = [i for i in order.tolist() if quality[i] is None]
+            arrays = [batch.column(c) for c in ("doc_id", "quality", "toxic", "held")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([list(r) for r in rows], pa.list_(pa.binary())), pa.array(meta.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "toxic", "held", "terms", "meta"])
+
+    slim = _slim(docs).join(F.broadcast(wanted), "doc_id")
+    seen = cut(slim.mapInArrow(run, "doc_id bigint, quality int, toxic int, held boolean, terms array<binary>, meta array<double>"))
+    targets = {"low": F.col("quality") <= 0, "toxic": F.col("toxic") > 0}
+    fitted_on = seen.where("quality is not null and not held")
+    sizes = fitted_on.agg(F.count("*").alias("n"), *[F.count_if(y).alias(k) for k, y in targets.items()]).first()
+    counts = fitted_on.select(F.explode("terms").alias("t"), *[y.alias(k) for k, y in targets.items()]).groupBy("t")
+    counts = cut(counts.agg(F.count("*").alias("n"), *[F.count_if(k).alias(k) for k in targets]).where(F.col("n") >= LEAST_DOCS))
+    words = {k: _chosen(counts, k, sizes[k], sizes["n"]) for k in targets}
+    return _fitted(seen, words)
+
+
+def _chosen(counts: DataFrame, target: str, ones: int, rows: int) -> list[bytes]:
+    """The TERMS terms with the largest chi-square against a target, ties by term."""
+    if not ones or ones == rows:
+        return []
+    expected = F.col("n") * (ones / rows)
+    apart = F.col(target) - expected
+    ranked = counts.select("t", (apart * apart * (1 / expected + 1 / (F.col("n") - expected))).alias("x")).orderBy(F.desc("x"), "t").limit(TERMS)
+    return [bytes(r.t) for r in ranked.collect()]
+
+
+def _fitted(seen: DataFrame, words: dict[str, list[bytes]]) -> dict[str, Model]:
+    """Models from the sample, of which only the chosen terms reach the driver."""
+    every = sorted(set().union(*words.values()))
+    place = {t: i for i, t in enumerate(every)}
+
+    def run(batches):
+        for batch in pieces(batches):
+            own = [sorted(place[t] for t in found if t in place) for found in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "quality", "toxic", "held", "meta")], pa.array(own, pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "held", "meta", "at"])
+
+    slim = seen.mapInArrow(run, "doc_id bigint, quality int, toxic int, held boolean, meta array<double>, at array<int>")
+    rows = sorted(slim.collect(), key=lambda r: (xxhash.xxh64_intdigest(b"%d" % r.doc_id), r.meta))
+    known, pool = [r for r in rows if r.quality is not None], [r for r in rows if r.quality is None]
+    held = np.array([r.held for r in known], bool)
+    meta = lambda part: np.array([r.meta for r in part], float).reshape(len(part), -1)
     out = {}
-    for name, y in (("low", [1.0 - (quality[i] > 0) for i in has]), ("toxic", [float(toxic[i] > 0) for i in has])):
-        y = np.array(y)
-        if len(y) < 20 or y.sum() < 4 or (1 - y).sum() < 4:
+    for name, own in words.items():
+        y = np.array([float(r.quality <= 0) if name == "low" else float(r.toxic > 0) for r in known])
+        if len(y) < 20 or min(y[~held].sum(), (1 - y[~held]).sum()) < 4 or not held.any():
             continue
-        out[name] = co_train([rows[i] for i in has], meta[has], y, [rows[i] for i in pool_at], meta[pool_at])
-    return out
+        column = {place[t]: i for i, t in enumerate(own)}
 
+        def text(part, column=column, own=own):
+            x = np.zeros((len(part), len(own)))
+            for i, r in enumerate(part):
+                x[i, [column[j] for j in r.at if j in column]] = 1.0
+            return x
 
-def _gather(seen: DataFrame, common: DataFrame, spark) -> tuple:
-    """The sample on the driver: at most SAMPLE + POOL rows, with the terms that at least LEAST_DOCS of them share."""
-    slim = seen.select("doc_id", F.explode_outer("terms").alias("t")).join(common, "t", "left_semi").groupBy("doc_id").agg(F.collect_set("t").alias("terms"))
-    got = seen.drop("terms").dropDuplicates(["doc_id"]).join(slim, "doc_id", "left").toArrow()
-    meta = np.array(got.column("meta").to_pylist(), float)
-    return got.column("doc_id").to_pylist(), got.column("quality").to_pylist(), got.column("toxic").to_pylist(), [set(t or ()) for t in got.column("terms").to_pylist()], meta
+        out[name] = co_train(own, text(known), meta(known), y, held, text(pool), meta(pool) if pool else meta(known)[:0])
+    return out
 
 
 def _scored(models: dict[str, Model], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
