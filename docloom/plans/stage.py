@@ -19,6 +19,13 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def safe_unions(spark: SparkSession) -> None:
     """Plan unions without taking over the partitioning of their branches.
 

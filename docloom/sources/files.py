@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions.text import col
+from docloom.plans.stage import cut, exists
 
 # Accepted upload types and the size limit.
 MIME_TYPES = {
@@ -19,13 +20,17 @@ SPEC_ROW = (
     "struct<field_key:string,text:string,date:string,confidence:int,"
     "sources:array<struct<page:int,section:string,source_text:string,citation_verified:boolean>>>"
 )
+TOKENS = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
 RESULT_SCHEMA = (
     "doc_id string, filename string, pipeline_status string, summary_status string, elapsed_seconds double, "
-    f"data struct<summary:struct<summary_json:struct<spec_check_fields:map<string,array<{SPEC_ROW}>>>>>"
+    "data struct<parsed:struct<parsing_quality_score:double,total_pages:int,ocr_pages:int,tables_count:int>,"
+    f"insights:array<struct<extraction_type:string,token_usage:{TOKENS},payload:struct<items:array<string>>>>,"
+    f"summary:struct<summary_json:struct<spec_check_fields:map<string,array<{SPEC_ROW}>>,"
+    f"_meta:struct<model:string,prompt_version:string,token_usage:{TOKENS},missing_extraction_types:array<string>>>>>"
 )
 MANIFEST_SCHEMA = (
     "documents array<struct<id:string,enabled:boolean,expect:struct<required_field_keys:array<string>,min_row_count:int,"
-    "min_avg_confidence:double,max_singleton_duplicates:int>>>, thresholds map<string,double>"
+    "min_avg_confidence:double,max_singleton_duplicates:int,labeled_fields:map<string,struct<match:string,values:array<string>>>>>>, thresholds map<string,double>"
 )
 
 
@@ -74,6 +79,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("documents").alias("d"), "thresholds").select("d.*", "thresholds")
 
 
+def result_insights(results: DataFrame) -> DataFrame:
+    """(doc_id, extraction_type, n_items, prompt_tokens, completion_tokens) of stored result documents."""
+    i = results.select("doc_id", F.explode("data.insights").alias("i"))
+    return i.select(
+        "doc_id", "i.extraction_type", F.when(F.col("i.payload.items").isNull(), 0).otherwise(F.size("i.payload.items")).alias("n_items"),
+        "i.token_usage.prompt_tokens", "i.token_usage.completion_tokens",
+    )
+
+
 def with_bucket(df: DataFrame, buckets: int = DEFAULT.doc_buckets) -> DataFrame:
     return df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
@@ -85,16 +99,11 @@ def replace_by_doc(df: DataFrame, path: str, buckets: int = DEFAULT.doc_buckets)
     files are prepared in the shared stage folder first, so a lost executor never leaves a
     bucket half written.
     """
-    from docloom.plans.stage import cut
-
     spark = df.sparkSession
     new = cut(with_bucket(df, buckets))
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # first write: no table yet
-        old = None
     out = new
-    if old is not None:
+    if exists(spark, path):
+        old = spark.read.parquet(path)
         touched = new.select("doc_bucket").distinct()
         keep = old.join(touched, "doc_bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
         out = cut(keep.select(*new.columns).unionByName(new))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.config import DEFAULT, Config
 from docloom.functions.text import col
+from docloom.plans.stage import exists
 
 TERMINAL = ["completed", "failed"]
 WAITING = ["queued", "uploaded"]
@@ -105,17 +108,86 @@ def threshold_stream(feedback: DataFrame, threshold: int = DEFAULT.finetune_thre
     return usable.groupBy("extraction_type").agg(F.count("*").alias("corrections")).withColumn("alert", F.col("corrections") >= threshold)
 
 
-def foreach_upsert(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str):
-    """Streaming upsert into a versioned folder.
+def threshold_alerts(feedback: DataFrame, threshold: int = DEFAULT.finetune_threshold) -> DataFrame:
+    """One alert per type, at the correction that reaches the threshold; the count is kept as state of the type."""
+    usable = feedback.where((F.col("rating") == "down") & (F.coalesce("correct_value", F.lit("")) != "") & F.col("extraction_type").isNotNull())
 
-    Every micro-batch writes the table of its batch id from that of the one before, so a
-    replayed batch writes the same result again.
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        now = before + sum(len(b) for b in batches)
+        state.update((now,))
+        if before < threshold <= now:
+            yield pd.DataFrame({"extraction_type": [key[0]], "corrections": [now]})
+
+    return usable.select("extraction_type").groupBy("extraction_type").applyInPandasWithState(
+        step, "extraction_type string, corrections bigint", "n bigint", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def stale_stream(events: DataFrame, delay: str = "5 minutes", cfg: Config = DEFAULT, minutes: int | None = None) -> DataFrame:
+    """Documents that show no event (doc_id, status, ts) for some minutes of event time after one that did not end them.
+
+    The last status of a document is its state; a timer per document emits it once the watermark has passed.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id > 0 else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+    wait = (minutes or cfg.stale_minutes) * 60_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            status, at = state.get
+            state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "last_seen": [pd.Timestamp(at, unit="ms")], "action": ["requeue" if status in WAITING else "fail"]})
+            return
+        status, at = state.get if state.exists else (None, -1)
+        for b in batches:
+            last = b.sort_values("ts").iloc[-1]
+            ms = int(last["ts"].timestamp() * 1000)
+            if ms >= at:
+                status, at = last["status"], ms
+        if status in TERMINAL:
+            if state.exists:
+                state.remove()
+            return
+        state.update((status, at))
+        state.setTimeoutTimestamp(max(at + wait, state.getCurrentWatermarkMs() + 1))
+
+    watched = events.select("doc_id", "status", "ts").withWatermark("ts", delay)
+    return watched.groupBy("doc_id").applyInPandasWithState(
+        step, "doc_id bigint, status string, last_seen timestamp, action string", "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def latest_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of a bucketed table as of a version: every bucket as its newest version wrote it."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["bucket", "version"], "left_semi").drop("version")
 
+
+def foreach_upsert(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str, buckets: int = 64):
+    """Streaming upsert into a table of versions and buckets of the key.
+
+    A micro-batch reads and rewrites only the buckets it touches, under a version of its own. The first batch of a new
+    checkpoint continues after the versions that are there; the number it starts from is stored beside the checkpoint, so
+    a replayed batch writes the same version from the same input again.
+    """
+    spark = stream.sparkSession
+    marker = f"{checkpoint.rstrip('/')}-first-version"
+    if not exists(spark, marker):
+        last = spark.read.parquet(path).agg(F.max("version")).scalar() if exists(spark, path) else None
+        first = spark.range(1).select(F.coalesce(last.cast("bigint") if last is not None else F.lit(None).cast("bigint"), F.lit(-1)).alias("v"))
+        first.select((F.col("v") + 1).alias("v")).write.parquet(marker)
+    first = spark.read.parquet(marker).first().v
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = first + batch_id
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        old = latest_table(batch.sparkSession, path, version)
+        if old is not None:
+            old = old.join(new.select("bucket").distinct(), "bucket", "left_semi").select(*batch.columns)
+        out = merge(old, batch).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,8 +70,30 @@ def test_streams(spark):
     assert [(r.extraction_type, r.corrections, r.alert) for r in run(J.threshold_stream(s, 3), d, "complete").collect()] == [("p", 3, True)]
 
 
-def test_foreach_upsert(spark):
+def test_foreach_upsert_continues_and_touches_few_buckets(spark):
     s, d = stream_of(spark, spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int"))
-    q = J.foreach_upsert(s, lambda old, new: new if old is None else S.upsert(old, new, ["k"]), d + "/out", d + "/cp2")
-    q.awaitTermination(120)
-    assert sorted((r.k, r.n) for r in spark.read.parquet(d + "/out/v0").collect()) == [("a", 1), ("b", 2)]
+    merge = lambda old, new: new if old is None else S.upsert(old, new, ["k"])
+    J.foreach_upsert(s, merge, ["k"], d + "/out", d + "/cp2").awaitTermination(120)
+    s2, d2 = stream_of(spark, spark.createDataFrame([("b", 5), ("c", 6)], "k string, n int"))
+    J.foreach_upsert(s2, merge, ["k"], d + "/out", d2 + "/cp").awaitTermination(120)
+    assert sorted((r.k, r.n) for r in J.latest_table(spark, d + "/out").collect()) == [("a", 1), ("b", 5), ("c", 6)]
+    assert {r.version for r in spark.read.parquet(d + "/out").collect()} == {0, 1}
+    assert sorted((r.k, r.n) for r in J.latest_table(spark, d + "/out", 1).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_keyed_alerts_and_stale_documents(spark):
+    fb = spark.createDataFrame([("p", "down", "x")] * 3 + [("q", "down", ""), ("r", "down", "x")], "extraction_type string, rating string, correct_value string")
+    s, d = stream_of(spark, fb)
+    assert [(r.extraction_type, r.corrections) for r in run(J.threshold_alerts(s, 3), d).collect()] == [("p", 3)]
+    rows = [(1, "queued", dt(2024, 1, 1, 8)), (2, "parsing_processing", dt(2024, 1, 1, 8)), (2, "completed", dt(2024, 1, 1, 9)), (3, "parsing_processing", dt(2024, 1, 1, 8)), (4, "queued", dt(2024, 1, 1, 12))]
+    s, d = stream_of(spark, spark.createDataFrame(rows, "doc_id bigint, status string, ts timestamp"))
+    got = run(J.stale_stream(s, minutes=30), d).collect()
+    assert sorted((r.doc_id, r.status, r.action) for r in got) == [(1, "queued", "requeue"), (3, "parsing_processing", "fail")]
+
+
+def test_result_insights(spark):
+    d = fresh()
+    with open(d + "/doc_1.json", "w") as f:
+        f.write('{"doc_id":"1","data":{"parsed":{"parsing_quality_score":0.5},"insights":[{"extraction_type":"a","payload":{"items":[{"x":1},{"x":2}]},"token_usage":{"prompt_tokens":7}},{"extraction_type":"b"}]}}')
+    rows = S.result_insights(S.read_results(spark, d)).collect()
+    assert sorted((r.extraction_type, r.n_items, r.prompt_tokens) for r in rows) == [("a", 2, 7), ("b", 0, None)]
