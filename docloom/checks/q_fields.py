@@ -111,7 +111,7 @@ SELECT doc_id, bucket, lab AS field_key, text, date, {CONF_SQL.format(cv='cv', c
   cv AND NOT (bucket = 'project_dates' AND src = '') AS citation_verified
 FROM s3 QUALIFY row_number() OVER (PARTITION BY doc_id, bucket, lab, CASE WHEN bucket IN ('project_dates', 'bond_items') THEN substr(date, 1, 80) ELSE text END ORDER BY item_seq) = 1""")
 def _(t):
-    return FD.build_spec_rows(spec_items(t)).select("doc_id", "bucket", "field_key", "text", "date", "confidence", "citation_verified")
+    return FD.build_spec_rows(spec_items(t), 80, 400).select("doc_id", "bucket", "field_key", "text", "date", "confidence", "citation_verified")
 
 
 @query("fd7_date_notes", f"""WITH {SITEMS_SQL} SELECT doc_id, CASE lab WHEN 'bid_deadline_note' THEN 'bid_deadline_date_time' ELSE 'site_visit_date_time' END AS field_key, arg_min(val, item_seq) AS note
@@ -346,7 +346,7 @@ def _(t):
 
 @query("fd29_finalize_rows")
 def _(t):
-    rows, _w = FD.finalize(FD.build_spec_rows(spec_items(t)), FD.date_notes(spec_items(t)))
+    rows, _w = FD.finalize(FD.build_spec_rows(spec_items(t), 80, 400), FD.date_notes(spec_items(t)))
     return rows
 
 

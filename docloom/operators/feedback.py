@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
 from docloom.functions.text import col, head, norm_ws, strip
+from docloom.plans.scans import once
 
 # The instruction text of a training example.
 TRAINING_SYSTEM = (
@@ -174,13 +175,11 @@ def current_values(spec: DataFrame) -> DataFrame:
         F.when(strip(_text("date")) != "", strip(_text("date"))).otherwise(after_label("text")).alias("v"),
         strip(_text("note")).alias("n"),
     )
-    values = rows.where(F.col("v") != "").groupBy("doc_id", F.col("k").alias("field_key")).agg(
-        F.max(F.struct(F.length("v"), -F.col("row_seq"), F.col("v").alias("v")))["v"].alias("value")
-    )
-    notes = rows.where(F.col("n") != "").groupBy("doc_id", F.concat("k", F.lit("_events")).alias("field_key")).agg(
-        F.max(F.struct("row_seq", F.col("n").alias("v")))["v"].alias("value")
-    )
-    return values.unionByName(notes)
+    pick = lambda kind, key, one, two, v: F.when(F.col(v) != "", F.struct(F.lit(kind).alias("kind"), key.alias("field_key"), one.cast("bigint").alias("a"), two.cast("bigint").alias("b"), F.col(v).alias("v")))
+    found = F.array_compact(F.array(
+        pick(0, F.col("k"), F.length("v"), -F.col("row_seq"), "v"), pick(1, F.concat("k", F.lit("_events")), F.col("row_seq"), F.lit(0), "n"),
+    ))
+    return rows.select("doc_id", F.explode(found).alias("f")).groupBy("doc_id", "f.field_key", "f.kind").agg(F.max(F.struct("f.a", "f.b", "f.v"))["v"].alias("value")).drop("kind")
 
 
 def values_match(a, b) -> Column:
@@ -191,18 +190,20 @@ def values_match(a, b) -> Column:
 def recheck(fb: DataFrame, values: DataFrame, checked_at=None) -> DataFrame:
     """Resolution of every correction against the newest values of its document."""
     j = fb.where(F.col("rating") == "down").join(values, ["doc_id", "field_key"], "left")
-    now, right, wrong = _text("value"), strip(_text("correct_value")), strip(_text("extracted_value"))
+    j = once(j, "__n", F.struct(norm_ws("value").alias("now"), norm_ws("correct_value").alias("right"), norm_ws("extracted_value").alias("wrong")))
+    now, right, wrong = F.col("__n.now"), F.col("__n.right"), F.col("__n.wrong")
+    alike = lambda x: (now != "") & (now.contains(x) | x.contains(now))
     outcome = (
-        F.when(right != "", F.when(values_match(now, right), "resolved").otherwise("recurred"))
+        F.when(right != "", F.when(alike(right), "resolved").otherwise("recurred"))
         .when(_text("issue_type") == "missing", F.when(now != "", "resolved").otherwise("recurred"))
-        .when((wrong != "") & (now != ""), F.when(~values_match(now, wrong), "resolved").otherwise("recurred"))
+        .when((wrong != "") & (now != ""), F.when(~alike(wrong), "resolved").otherwise("recurred"))
         .otherwise("unchecked")
     )
     out = j.withColumn("outcome", outcome)
     return out.withColumns({
         "resolution_status": F.when(F.col("outcome") == "unchecked", F.col("resolution_status")).otherwise(F.col("outcome")),
         "recheck_count": F.col("recheck_count") + F.when(F.col("outcome") == "unchecked", 0).otherwise(1),
-    }).drop("value")
+    }).drop("value", "__n")
 
 
 def recheck_counts(checked: DataFrame) -> DataFrame:

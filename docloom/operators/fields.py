@@ -111,68 +111,61 @@ def infer_field_key(rows: DataFrame) -> DataFrame:
 
 # ---- assembly
 
-def _entry(rows: DataFrame, branch: int, bucket: Column, key: Column, text: Column, dedupe: Column, date: Column | None = None, grounded: Column | None = None) -> DataFrame:
-    has = _text("source_text") != ""
-    g = grounded if grounded is not None else F.lit(None).cast("boolean")
-    conf = field_confidence(extraction_confidence("confidence"), "citation_verified", has, F.lit(False), F.lit(False))
-    return rows.select(
-        "doc_id", bucket.alias("bucket"), (F.lit(branch << 40) + F.col("item_seq")).cast("bigint").alias("row_seq"), key.alias("field_key"),
-        text.alias("text"), (date if date is not None else F.lit("")).alias("date"), conf.alias("confidence"), g.alias("date_grounded"),
-        F.lit(False).alias("calculated"), F.lit(False).alias("awaiting_value"), F.lit(False).alias("not_found"),
-        F.lit(None).cast("string").alias("note"), F.lit(None).cast("boolean").alias("mandatory"), F.lit(None).cast("int").alias("confidence_cap"),
-        "page", "section", "source_text",
-        (F.coalesce("citation_verified", F.lit(False)) & F.coalesce(g, F.lit(True))).alias("citation_verified"),
-        dedupe.alias("dedupe"),
-    )
+def _entry(branch: int, ok: Column, bucket: Column, key: Column, text: Column, dedupe: Column, date: Column | None = None, grounded: Column | None = None) -> Column:
+    """A field row that an item gives, or NULL."""
+    return F.when(ok, F.struct(
+        F.lit(branch).alias("branch"), bucket.alias("bucket"), key.alias("field_key"), text.alias("text"), (date if date is not None else F.lit("")).alias("date"),
+        (grounded if grounded is not None else F.lit(None).cast("boolean")).alias("date_grounded"), dedupe.alias("dedupe"),
+    ))
 
 
-def build_spec_rows(items: DataFrame) -> DataFrame:
-    """Field rows of every document from its extracted items, first of equal values kept."""
-    it = label_value(items)
-    t, l, v = F.col("extraction_type"), F.col("l"), F.col("v")
-    bucket_of = F.create_map(*[F.lit(x) for k, b, _ in FIELD_DEFS for x in (k, b)])
-    label_of = F.create_map(*[F.lit(x) for k, _, d in FIELD_DEFS for x in (k, d)])
-    known = l.isin([k for k, _, _ in FIELD_DEFS])
-    shown = F.try_element_at(label_of, l)
-    bucket = F.try_element_at(bucket_of, l)
-    named = F.concat(shown, F.lit(": "), v)
-    short = F.concat(l, F.lit(":"), head(v, 80))
-    parts = []
-    for n, et in ((1, "eligibility_criteria"), (2, "mandatory_documents")):
-        ok = (t == et) & known & (v != "") & (l != "project_description") & bucket.isin("project_people_items", "project_metadata_items")
-        ok = ok & ((l != EVENTS_TARGET) | is_valid_acquisition_note(v))
-        parts.append(_entry(it.where(ok), n, bucket, l, named, short))
-    meta = F.lit("project_metadata_items")
-    scope = it.where((t == "scope_of_work") & (l == "project_description") & (v != ""))
-    parts.append(_entry(scope, 3, meta, l, named, F.concat(l, F.lit(":"), head(v, 400))))
-    value = it.where((t == "payment_terms") & (v != ""))
-    parts.append(_entry(value, 4, meta, F.lit("project_value"), F.concat(F.coalesce(shown, F.lit("Project value")), F.lit(": "), v), F.concat(F.lit("project_value:"), head(v, 80))))
-    size = it.where((t == "technical_requirements") & (bucket == "project_size_location_items") & (v != ""))
-    parts.append(_entry(size, 5, bucket, l, named, short))
+def build_spec_rows(items: DataFrame, key_chars: int | None = None, scope_chars: int | None = None) -> DataFrame:
+    """Field rows of every document from its extracted items, first of equal values kept.
 
+    Every item is looked at once and gives as many rows as rules fit it. Values are compared as a whole unless
+    `key_chars` (or `scope_chars` for descriptions) says how much of them decides.
+    """
+    t, l, v = F.col("extraction_type"), F.col("l"), F.col("v")
     own = F.lower(strip(_text("label")))
-    dl = F.when(own != "", own).otherwise(l)
-    dates = it.where(t == "submission_deadlines").withColumn("dl", dl).where(F.col("dl").isin(list(DEADLINE_LABELS)))
-    when = strip(F.coalesce(F.nullif(_text("date_time"), F.lit("")), _text("value")))
-    visit = (F.col("dl") == "municipal_meeting_date_time") & contains_any(F.lower(_text("source_text")), ["site visit", "site-visit"])
-    dk = F.when(visit, "pre_bid_deadline_date_time").otherwise(F.col("dl"))
-    dlabel = F.create_map(*[F.lit(x) for kv in DEADLINE_LABELS.items() for x in kv])[dk]
-    parts.append(_entry(dates.where(when != ""), 6, F.lit("project_dates"), dk, dlabel, F.concat(dlabel, F.lit(":"), head(when, 80)), when, date_grounded(when, "source_text")))
-
-    blabel = F.create_map(*[F.lit(x) for kv in BOND_LABELS.items() for x in kv])
     after = F.when(F.instr(_text("requirement"), ":") > 0, strip(F.substr(_text("requirement"), F.instr(_text("requirement"), ":") + 1))).otherwise("")
     detail = strip(F.coalesce(F.nullif(_text("value"), F.lit("")), F.nullif(_text("source_text"), F.lit("")), after))
-    for n, et in ((7, "penalties_and_risks"), (8, "mandatory_documents")):
-        b = it.where((t == et) & own.isin(list(BOND_LABELS)) & (detail != ""))
-        parts.append(_entry(b, n, F.lit("bond_items"), own, blabel[own], F.concat(blabel[own], F.lit(":"), head(detail, 80)), detail))
-    sl = F.when(own != "", own).otherwise(l)
-    sdetail = F.when(detail != "", detail).otherwise(strip(_text("requirement")))
-    s = it.where((t == "set_asides") & sl.isin(SET_ASIDE_KEYS) & (sdetail != ""))
-    parts.append(_entry(s, 9, F.lit("set_aside_items"), sl, F.when(sl == "set_aside", sdetail).otherwise(F.concat(F.lit("Set-aside: "), sdetail)), F.concat(sl, F.lit(":"), head(sdetail, 80))))
-
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    when = strip(F.coalesce(F.nullif(_text("date_time"), F.lit("")), _text("value")))
+    it = once(label_value(items), "__x", F.struct(own.alias("own"), detail.alias("detail"), when.alias("at"), F.when(own != "", own).otherwise(l).alias("either")))
+    own, detail, when, either = (F.col("__x." + c) for c in ("own", "detail", "at", "either"))
+
+    bucket_of = F.create_map(*[F.lit(x) for k, b, _ in FIELD_DEFS for x in (k, b)])
+    label_of = F.create_map(*[F.lit(x) for k, _, d in FIELD_DEFS for x in (k, d)])
+    known = l.isin([k for k, _, _ in FIELD_DEFS])
+    shown, bucket, meta = F.try_element_at(label_of, l), F.try_element_at(bucket_of, l), F.lit("project_metadata_items")
+    named, short = F.concat(shown, F.lit(": "), v), F.concat(l, F.lit(":"), head(v, key_chars))
+    there = v != ""
+    plain = known & there & (l != "project_description") & bucket.isin("project_people_items", "project_metadata_items") & ((l != EVENTS_TARGET) | is_valid_acquisition_note(v))
+
+    visit = (either == "municipal_meeting_date_time") & contains_any(F.lower(_text("source_text")), ["site visit", "site-visit"])
+    dk = F.when(visit, "pre_bid_deadline_date_time").otherwise(either)
+    dlabel = F.try_element_at(F.create_map(*[F.lit(x) for kv in DEADLINE_LABELS.items() for x in kv]), dk)
+    blabel = F.try_element_at(F.create_map(*[F.lit(x) for kv in BOND_LABELS.items() for x in kv]), own)
+    bond = own.isin(list(BOND_LABELS)) & (detail != "")
+    bkey = F.concat(blabel, F.lit(":"), head(detail, key_chars))
+    aside = F.when(detail != "", detail).otherwise(strip(_text("requirement")))
+    found = F.array_compact(F.array(
+        _entry(1, (t == "eligibility_criteria") & plain, bucket, l, named, short),
+        _entry(2, (t == "mandatory_documents") & plain, bucket, l, named, short),
+        _entry(3, (t == "scope_of_work") & (l == "project_description") & there, meta, l, named, F.concat(l, F.lit(":"), head(v, scope_chars))),
+        _entry(4, (t == "payment_terms") & there, meta, F.lit("project_value"), F.concat(F.coalesce(shown, F.lit("Project value")), F.lit(": "), v), F.concat(F.lit("project_value:"), head(v, key_chars))),
+        _entry(5, (t == "technical_requirements") & (bucket == "project_size_location_items") & there, bucket, l, named, short),
+        _entry(6, (t == "submission_deadlines") & either.isin(list(DEADLINE_LABELS)) & (when != ""), F.lit("project_dates"), dk, dlabel, F.concat(dlabel, F.lit(":"), head(when, key_chars)), when, date_grounded(when, "source_text")),
+        _entry(7, (t == "penalties_and_risks") & bond, F.lit("bond_items"), own, blabel, bkey, detail),
+        _entry(8, (t == "mandatory_documents") & bond, F.lit("bond_items"), own, blabel, bkey, detail),
+        _entry(9, (t == "set_asides") & either.isin(SET_ASIDE_KEYS) & (aside != ""), F.lit("set_aside_items"), either, F.when(either == "set_aside", aside).otherwise(F.concat(F.lit("Set-aside: "), aside)), F.concat(either, F.lit(":"), head(aside, key_chars))),
+    ))
+    verified = F.coalesce("citation_verified", F.lit(False))
+    conf = field_confidence(extraction_confidence("confidence"), "citation_verified", _text("source_text") != "", F.lit(False), F.lit(False))
+    rows = it.select("doc_id", "item_seq", "page", "section", "source_text", verified.alias("__verified"), conf.alias("confidence"), F.explode(found).alias("f")).select(
+        "doc_id", "f.bucket", (F.col("f.branch").cast("bigint") * F.lit(1 << 40) + F.col("item_seq")).alias("row_seq"), "f.field_key", "f.text", "f.date", "confidence", "f.date_grounded",
+        F.lit(False).alias("calculated"), F.lit(False).alias("awaiting_value"), F.lit(False).alias("not_found"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("boolean").alias("mandatory"),
+        F.lit(None).cast("int").alias("confidence_cap"), "page", "section", "source_text", (F.col("__verified") & F.coalesce("f.date_grounded", F.lit(True))).alias("citation_verified"), "f.dedupe",
+    )
     w = Window.partitionBy("doc_id", "bucket", "dedupe").orderBy("row_seq")
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).select(*SPEC_COLUMNS)
 

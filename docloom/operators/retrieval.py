@@ -9,6 +9,7 @@ from docloom.config import DEFAULT, Config
 from docloom.fixed import FOCUSED_TYPES
 from docloom.functions.text import WS, col, contains_any, count_contained, head, literal_array, ordered_join, strip
 from docloom.operators.chunks import SECTION_TAGS
+from docloom.plans.stage import cut
 
 # Query expansion, timeline markers and operational markers.
 EXPANSION_KEYS = ["pre-bid", "prebid", "pre bid"]
@@ -209,10 +210,11 @@ def is_operational(title, text) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", title, text)), OPERATIONAL_MARKERS)
 
 
-def keyword_scores(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None = None, term_weight: float = 1.0) -> DataFrame:
+def keyword_scores(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None = None, term_weight: float = 1.0, keep: list[str] | None = None) -> DataFrame:
     """Score of every chunk for every extraction type, in one pass over the chunks.
 
-    `terms` may add per document and type an array of document terms.
+    `terms` may add per document and type an array of document terms. With `keep` the scores of a chunk stay
+    together in one row, beside these columns.
     """
     text = F.lower(F.concat(F.col("section_title"), F.lit(" "), F.col("chunk_text")))
     rows = chunks.withColumn("__text", text)
@@ -235,6 +237,8 @@ def keyword_scores(chunks: DataFrame, keywords: dict[str, list[str]], terms: Dat
         for ctype, b in BOOSTS.get(t, {}).items():
             boost = boost + F.when(F.col("chunk_type") == ctype, b).otherwise(0)
         per_type.append(F.struct(F.lit(t).alias("t"), (score + boost).cast("double").alias("s")))
+    if keep is not None:
+        return rows.select("doc_id", "chunk_id", "chunk_order", *keep, F.array(*per_type).alias("scores"))
     return rows.select("doc_id", "chunk_id", "chunk_order", F.explode(F.array(*per_type)).alias("e")).select(
         "doc_id", "chunk_id", "chunk_order", F.col("e.t").alias("extraction_type"), F.col("e.s").alias("score")
     )
@@ -272,9 +276,8 @@ def stratified_fill(selected: DataFrame, counts: DataFrame, factor: int = 1) ->
     return rows.select("doc_id", "extraction_type", F.posexplode(F.transform(picks, order)).alias("fill_seq", "chunk_order"))
 
 
-def _listed(selected: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Final order of (doc_id, extraction_type, chunk_order, pos) rows, operational chunks first where pinned."""
-    op = chunks.where(is_operational("section_title", "chunk_text")).select("doc_id", "chunk_order")
+def _listed(selected: DataFrame, op: DataFrame) -> DataFrame:
+    """Final order of (doc_id, extraction_type, chunk_order, pos) rows, operational chunks `op` first where pinned."""
     w = Window.partitionBy("doc_id").orderBy("chunk_order")
     pins = op.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= BROAD_MAX)
     pinned = pins.select("doc_id", F.explode(literal_array(PIN_TYPES)).alias("extraction_type"), "chunk_order", (F.col("pos") - 1000).alias("pos"))
@@ -283,22 +286,37 @@ def _listed(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = marked.select("doc_id", "extraction_type", "chunk_order", "pos", "op").unionByName(pinned.withColumn("op", F.lit(True)))
     once = rows.groupBy("doc_id", "extraction_type", "chunk_order").agg(F.min("pos").alias("pos"), F.bool_or("op").alias("op"))
     first = Window.partitionBy("doc_id", "extraction_type").orderBy("pos")
-    cut = once.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max_chunks("extraction_type"))
+    best = once.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max_chunks("extraction_type"))
     group = F.when(F.col("extraction_type").isin(PIN_TYPES) & F.col("op"), 0).otherwise(1)
     final = Window.partitionBy("doc_id", "extraction_type").orderBy(group, "chunk_order")
-    return cut.withColumn("position", F.row_number().over(final)).select("doc_id", "extraction_type", "chunk_order", "position")
+    return best.withColumn("position", F.row_number().over(final)).select("doc_id", "extraction_type", "chunk_order", "position")
+
+
+def _operational(chunks: DataFrame) -> DataFrame:
+    return chunks.where(is_operational("section_title", "chunk_text")).select("doc_id", "chunk_order")
 
 
 def pin_operational(selected: DataFrame, chunks: DataFrame) -> DataFrame:
-    return _listed(selected, chunks)
+    return _listed(selected, _operational(chunks))
+
+
+def _signals(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores, operational chunks and chunk counts from one pass over the texts, kept at a stage boundary."""
+    marked = chunks.withColumn("__op", is_operational("section_title", "chunk_text"))
+    rows = cut(keyword_scores(marked, keywords, terms, keep=["__op"]))
+    scores = rows.select("doc_id", "chunk_id", "chunk_order", F.explode("scores").alias("e")).select("doc_id", "chunk_id", "chunk_order", F.col("e.t").alias("extraction_type"), F.col("e.s").alias("score"))
+    return scores, rows.where("__op").select("doc_id", "chunk_order"), rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _keyword_list(scores: DataFrame, op: DataFrame, counts: DataFrame) -> DataFrame:
+    top = keyword_select(scores).select("doc_id", "extraction_type", "chunk_order", F.col("rn").alias("pos"))
+    fill = stratified_fill(top, counts).select("doc_id", "extraction_type", "chunk_order", (F.col("fill_seq") + 100).alias("pos"))
+    return _listed(top.unionByName(fill), op)
 
 
 def keyword_chunks(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None = None) -> DataFrame:
     """Keyword selection with stratified fill and operational pins, in final order."""
-    top = keyword_select(keyword_scores(chunks, keywords, terms)).select("doc_id", "extraction_type", "chunk_order", F.col("rn").alias("pos"))
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    fill = stratified_fill(top, counts).select("doc_id", "extraction_type", "chunk_order", (F.col("fill_seq") + 100).alias("pos"))
-    return _listed(top.unionByName(fill), chunks)
+    return _keyword_list(*_signals(chunks, keywords, terms))
 
 
 def fuse_selections(keyword: DataFrame, hybrid: DataFrame, kw_weight: float = 1.0, hy_weight: float = 1.0, k: int = DEFAULT.rrf_k) -> DataFrame:
@@ -324,11 +342,12 @@ def fuse_selections(keyword: DataFrame, hybrid: DataFrame, kw_weight: float = 1.
 
 def select_chunks(chunks: DataFrame, keywords: dict[str, list[str]], hits: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Chunks sent to extraction for every document and type."""
-    kw = keyword_chunks(chunks, keywords, terms)
+    scores, op, counts = _signals(chunks, keywords, terms)
+    kw = _keyword_list(scores, op, counts)
     if hits is None:
         return kw
-    fused = fuse_selections(kw, hits)
-    return _listed(fused.select("doc_id", "extraction_type", "chunk_order", F.col("position").alias("pos")), chunks)
+    fused = fuse_selections(cut(kw), hits)
+    return _listed(fused.select("doc_id", "extraction_type", "chunk_order", F.col("position").alias("pos")), op)
 
 
 def wider_selection(chunks: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
