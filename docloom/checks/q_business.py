@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.checks import business as B
 from docloom.checks.business import DOCS_SQL, FEEDBACK_SQL, ITEMS_SQL, JOBS_SQL, SPEC_SQL, USERS_SQL, sql_list
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.fixed import ACTIVE_STAGES, CANONICAL_FIELDS, DISPLAY_LABELS, EVENT_FIELDS
 from docloom.operators import analytics as A
@@ -15,7 +16,7 @@ SINCE = "1997-01-01 00:00:00"
 
 @query("src3_sanitize_filename", """SELECT page_id, coalesce(nullif(substr(regexp_replace(list_last(regexp_split_to_array(url, '[/\\\\]')), '[^A-Za-z0-9_.\\-]', '_', 'g'), 1, 255), ''), 'document') AS name FROM pages""")
 def _(t):
-    return t.pages.select("page_id", I.sanitize_filename("url").alias("name"))
+    return t.pages.select("page_id", I.sanitize_filename("url", LIM.filename_chars).alias("name"))
 
 
 @query("cor1_checksum", "SELECT doc_id, sha256(text) AS checksum FROM documents")
@@ -39,7 +40,7 @@ def _(t):
 @query("cor3_normalize_reference", "SELECT s_suppkey, substr(regexp_replace(upper(trim('  ref ' || s_name || '  no ' || s_nationkey || ' ')), '\\s+', '-', 'g'), 1, 128) AS ref FROM supplier")
 def _(t):
     raw = F.concat(F.lit("  ref "), "s_name", F.lit("  no "), F.col("s_nationkey").cast("string"), F.lit(" "))
-    return t.supplier.select("s_suppkey", I.normalize_reference(raw).alias("ref"))
+    return t.supplier.select("s_suppkey", I.normalize_reference(raw, LIM.reference_chars).alias("ref"))
 
 
 def uploads(t):
@@ -64,7 +65,7 @@ SELECT u.upload_id, u.reference_code, coalesce(known_id, substr(sha256(u.referen
   CASE WHEN known_id IS NOT NULL THEN known_title ELSE coalesce(first_title, u.reference_code) END AS tender_title, known_id IS NULL AS created
 FROM u JOIN f USING (reference_code) LEFT JOIN t USING (reference_code)""")
 def _(t):
-    return I.resolve_tenders(uploads(t), tenders(t))
+    return I.resolve_tenders(uploads(t), tenders(t), LIM.reference_chars)
 
 
 VTYPES = ["original", "revision", "corrigendum", "addendum", "clarification", "annexure", "other"]
@@ -226,7 +227,7 @@ def _(t):
     raw = t.conversations.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("conv"), F.when(F.col("role") == "user", " UP ").when(F.col("role") == "assistant", "down").otherwise(F.col("role")).alias("rating"),
         F.lit("k").alias("field_key"), F.lit("t").alias("extraction_type"), F.col("text").alias("extracted_value"), F.col("text").alias("correct_value"), F.col("text").alias("comment"), F.col("text").alias("source_text_context"))
-    return FB.ingest_feedback(raw).select("doc_id", "conv", "rating", "extracted_value", "comment", F.length("source_text_context").alias("n"))
+    return FB.ingest_feedback(raw, LIM).select("doc_id", "conv", "rating", "extracted_value", "comment", F.length("source_text_context").alias("n"))
 
 
 def lexicon(t):
@@ -251,7 +252,7 @@ SELECT coalesce(q.extraction_type, n.extraction_type) AS extraction_type, coales
   coalesce(hit_count, 0) + coalesce(hits, 0) AS hit_count, hits IS NOT NULL OR coalesce(is_active, false) AS is_active
 FROM q FULL JOIN n ON q.extraction_type = n.extraction_type AND q.term_normalized = n.term_normalized""")
 def _(t):
-    return FB.lexicon_from_feedback(B.feedback(t), lexicon(t))
+    return FB.lexicon_from_feedback(B.feedback(t), lexicon(t), LIM)
 
 
 @query("fb3_boost_terms", f"""WITH {FEEDBACK_SQL}, {LEXICON_SQL}, u AS (SELECT extraction_type, count(*) AS ups FROM fb WHERE rating = 'up' GROUP BY 1)
@@ -317,7 +318,7 @@ d AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY grp, field_key, is
 k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rn) AS o FROM d)
 SELECT grp AS "group", chr(10) || chr(10) || 'Lessons from prior user corrections (do NOT repeat these mistakes):' || chr(10) || string_agg('- ' || hint, chr(10) ORDER BY o) || chr(10) AS hints FROM k WHERE o <= 8 GROUP BY 1""")
 def _(t):
-    return FB.feedback_hints(B.feedback(t), GROUPS)
+    return FB.feedback_hints(B.feedback(t), GROUPS, LIM)
 
 
 VALUES_SQL = SPEC_SQL + """,
@@ -370,7 +371,7 @@ def _(t):
 @query("fb12_list_feedback", f"""WITH {FEEDBACK_SQL}, {DOCS_SQL}, p AS (SELECT * FROM fb WHERE rating = 'down' AND extraction_type = 'payment_terms' ORDER BY created_at DESC, feedback_id DESC LIMIT 50 OFFSET 50)
 SELECT feedback_id, doc_id, field_key, substr(source_text_context, 1, 200) AS source_text_context, coalesce(filename, '') AS document_filename FROM p LEFT JOIN docs USING (doc_id)""")
 def _(t):
-    return FB.list_feedback(B.feedback(t), B.docs(t), "payment_terms", "down", page=2).select("feedback_id", "doc_id", "field_key", "source_text_context", "document_filename")
+    return FB.list_feedback(B.feedback(t), B.docs(t), "payment_terms", "down", page=2, limits=LIM).select("feedback_id", "doc_id", "field_key", "source_text_context", "document_filename")
 
 
 # ---- analytics
@@ -442,7 +443,7 @@ def _(t):
 
 @query("an7_insight_snapshot")
 def _(t):
-    return A.insight_snapshot(B.users(t), B.docs(t), B.insights(t), B.feedback(t), B.jobs(t), SINCE)
+    return A.insight_snapshot(B.users(t), B.docs(t), B.insights(t), B.feedback(t), B.jobs(t), SINCE, LIM)
 
 
 @query("an8_build_insights")
@@ -512,7 +513,7 @@ SELECT doc_id, concat_ws(' ', CASE WHEN k <> '' THEN 'Processed ' || k || ' with
   'Corrections: ' || pieces || CASE WHEN nd > 6 THEN ' and ' || (nd - 6) || ' more correction(s)' ELSE '' END || '.', nu || ' field(s) confirmed correct by the reviewer.', 'Pending review (low confidence): ' || outs || '.',
   CASE WHEN summary AND nd IS NULL AND nu IS NULL AND outs IS NULL THEN 'No corrections were needed.' END) AS note FROM kf""")
 def _(t):
-    return A.admin_notes(B.docs(t), B.spec(t), B.feedback(t))
+    return A.admin_notes(B.docs(t), B.spec(t), B.feedback(t), limits=LIM)
 
 
 @query("an14_observation_notes", f"""WITH {INSIGHTS_SQL},
@@ -524,4 +525,4 @@ b AS (SELECT 1 AS o, username || ' processed the most documents (' || docs_compl
    FROM (SELECT *, avg_processing_seconds AS s FROM ui WHERE avg_processing_seconds < 86400 ORDER BY avg_processing_seconds, docs_total DESC, user_id LIMIT 1))
 SELECT o - 1 AS i, note FROM b""".replace("SELECT o - 1 AS i, note FROM b", "SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS BIGINT) AS i, note FROM b"))
 def _(t):
-    return A.observation_notes(user_rows(t))
+    return A.observation_notes(user_rows(t), LIM)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.checks import business as B
 from docloom.checks.business import SPEC_SQL, sql_list
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.functions import dates as D
 from docloom.operators import fields as FD
@@ -242,7 +243,7 @@ g AS (SELECT doc_id, field_key, count(*) AS n, arg_max(row_seq, (citation_verifi
 SELECT g.doc_id, g.field_key, g.row_seq, CASE WHEN n = 1 THEN v1 ELSE t END AS v FROM g LEFT JOIN j ON j.doc_id = g.doc_id AND j.field_key = g.field_key WHERE n = 1 OR t IS NOT NULL""")
 def _(t):
     w = worded(t).withColumn("date_grounded", F.lit(None).cast("boolean"))
-    out = FD.merge_multi(w).where(F.col("field_key").isin("project_solicitation_number", "project_document_acquisition_note", "project_description"))
+    out = FD.merge_multi(w, LIM).where(F.col("field_key").isin("project_solicitation_number", "project_document_acquisition_note", "project_description"))
     return out.select("doc_id", "field_key", "row_seq", F.trim(F.regexp_extract("text", r"(?s)^[A-Za-z ]+: (.*)$", 1)).alias("v"))
 
 

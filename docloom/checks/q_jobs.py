@@ -6,6 +6,7 @@ from docloom.checks import business as B
 from docloom.checks.business import DOCS_SQL, JOBS_SQL
 from docloom.checks.q_business import LEXICON_SQL, lexicon
 from docloom.checks.q_fields import spec
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.operators import fields as FD
 from docloom.sources import files as S
@@ -52,7 +53,7 @@ def _(t):
 @query("st3_failure_events", f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN retry_count < 3 THEN 'retry' ELSE 'fail' END AS action, CASE current_stage WHEN 'parsing_processing' THEN 'parsing_failure' ELSE 'intake_failure' END AS error_type FROM jobs""")
 def _(t):
     e = B.jobs(t).select("job_id", F.col("current_stage").alias("stage"), "retry_count", F.col("error_code").alias("message"))
-    return J.failure_events(e).select("job_id", "action", "error.error_type")
+    return J.failure_events(e, message_chars=LIM.error_chars).select("job_id", "action", "error.error_type")
 
 
 @query("st4_drop_cancelled", f"WITH {DOCS_SQL} SELECT doc_id FROM docs WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")

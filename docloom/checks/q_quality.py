@@ -7,6 +7,7 @@ from docloom.checks.business import SPEC_SQL
 from docloom.checks.q_fields import spec
 from docloom.checks.q_grounding import cite_sql
 from docloom.checks.q_retrieval import KW, SELECT_SQL, chat_hits
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.operators import conversations as CV
 from docloom.operators import evaluation as EV
@@ -64,7 +65,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS rn
 SELECT q.conv_id, q.turn, coalesce(string_agg(x, '|' ORDER BY i) FILTER (WHERE rn <= 4), '') AS f FROM q LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn GROUP BY 1, 2""")
 def _(t):
     c = t.conversations.where("role = 'assistant'").select("conv_id", "turn", "text", F.split("text", "\n").alias("qs"))
-    return c.select("conv_id", "turn", F.array_join(CV.clean_followups("qs", "text"), "|").alias("f"))
+    return c.select("conv_id", "turn", F.array_join(CV.clean_followups("qs", "text", LIM), "|").alias("f"))
 
 
 @query("cv5_latest_followups", "SELECT conv_id, arg_max(text, turn) AS follow_ups FROM conversations WHERE role = 'assistant' GROUP BY 1")
@@ -74,7 +75,7 @@ def _(t):
 
 @query("cv6_session_titles", "SELECT conv_id, substr(t, 1, 80) || CASE WHEN length(t) > 80 THEN '…' ELSE '' END AS title FROM (SELECT conv_id, trim(arg_min(text, turn), chr(10) || ' ') AS t FROM conversations WHERE role = 'user' GROUP BY 1)")
 def _(t):
-    return CV.session_titles(t.conversations)
+    return CV.session_titles(t.conversations, LIM)
 
 
 @query("ev1_golden_values", f"WITH {SPEC_SQL} SELECT doc_id, field_key, string_agg(CASE WHEN date <> '' THEN date ELSE text END, '|' ORDER BY row_seq) AS values FROM spec GROUP BY 1, 2")
@@ -170,7 +171,7 @@ def _(t):
 @query("ev14_deadline_audit", f"""WITH {SPEC_SQL}, r AS (SELECT doc_id, date, row_number() OVER (PARTITION BY doc_id ORDER BY row_seq) AS rn FROM spec WHERE field_key = 'bid_deadline_date_time'), g AS (SELECT doc_id, count(*) AS n, string_agg(date, ' | ' ORDER BY rn) FILTER (WHERE rn <= 3) AS v FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS deadlines, coalesce(v, '') AS first_values, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'multiple' ELSE 'ok' END AS state FROM (SELECT DISTINCT doc_id FROM spec) d LEFT JOIN g USING (doc_id)""")
 def _(t):
-    return EV.deadline_audit(spec(t))
+    return EV.deadline_audit(spec(t), LIM.audit_values)
 
 
 @query("ev15_verified_low", f"WITH {SPEC_SQL} SELECT doc_id, row_seq, field_key, confidence FROM spec WHERE citation_verified AND confidence < 90")

@@ -6,6 +6,7 @@ from docloom.checks.adapters import BLOCKS_SQL, CHUNKS_SQL, ITEMS_SQL, PAGES_SQL
 from docloom.checks.business import sql_list
 from docloom.checks.q_business import LEXICON_SQL, lexicon
 from docloom.checks.q_sections_chunks import any_sql
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.fixed import FOCUSED_TYPES
 from docloom.operators import lexicon as L
@@ -18,7 +19,7 @@ cover AS (SELECT doc_id, trim(substr(coalesce(string_agg('--- Page ' || page_num
 
 
 def covers(t):
-    return L.cover_text(as_pages(t.documents), as_chunks(t.documents))
+    return L.cover_text(as_pages(t.documents), as_chunks(t.documents), limits=LIM)
 
 
 @query("lx1_cover_text", f"WITH {COVER_SQL} SELECT doc_id, cover FROM cover")
@@ -52,7 +53,7 @@ def _(t):
 
 @query("lx3_mine_terms")
 def _(t):
-    return L.mined_terms(covers(t), "cover")
+    return L.mined_terms(covers(t), "cover", LIM.mined_terms)
 
 
 def mined(t):
@@ -81,7 +82,7 @@ ta AS (SELECT doc_id, extraction_type, string_agg(term, '|' ORDER BY o) AS ts FR
 SELECT d.doc_id, ty.extraction_type, gl.g AS global_terms, coalesce(ta.ts, '') AS typed_terms, coalesce(ql.q, '') AS queries
 FROM d CROSS JOIN ty LEFT JOIN gl ON gl.doc_id = d.doc_id LEFT JOIN ta ON ta.doc_id = d.doc_id AND ta.extraction_type = ty.extraction_type LEFT JOIN ql ON ql.extraction_type = ty.extraction_type""")
 def _(t):
-    out = L.document_lexicon(mined(t), L.load_lexicon(lexicon(t)))
+    out = L.document_lexicon(mined(t), L.load_lexicon(lexicon(t), LIM.lexicon_terms))
     return out.withColumns({c: F.array_join(c, "|") for c in ("global_terms", "typed_terms", "queries")})
 
 
@@ -91,7 +92,7 @@ loaded AS (SELECT *, row_number() OVER (PARTITION BY extraction_type, entry_kind
 
 @query("lx6_load_lexicon", f"WITH {LOADED_SQL} SELECT extraction_type, entry_kind, term_display, rank FROM loaded")
 def _(t):
-    return L.load_lexicon(lexicon(t)).select("extraction_type", "entry_kind", "term_display", "rank")
+    return L.load_lexicon(lexicon(t), LIM.lexicon_terms).select("extraction_type", "entry_kind", "term_display", "rank")
 
 
 @query("lx7_cache_sufficient", f"""WITH {LEXICON_SQL}, ty AS (SELECT unnest({sql_list(FOCUSED_TYPES)}) AS extraction_type),
@@ -113,14 +114,14 @@ klex AS (SELECT extraction_type, lower(requirement) AS term_normalized, count(*)
 
 @query("lx8_novel_terms", f"WITH {ITEMS_SQL}, {KNOWN_LEX_SQL} SELECT doc_id, item_seq AS term_seq, requirement AS term FROM items WHERE item_seq < 30 AND trim(regexp_replace(lower(requirement), '\\s+', ' ', 'g')) NOT IN (SELECT term_normalized FROM klex)")
 def _(t):
-    return L.novel_terms(mined(t), part_lexicon(t)).drop("norm")
+    return L.novel_terms(mined(t), part_lexicon(t), LIM.novel_terms).drop("norm")
 
 
 @query("lx8_skip_vocabulary_pass", f"""WITH {ITEMS_SQL}, {KNOWN_LEX_SQL}, {LEXICON_SQL}, ok AS (SELECT bool_and(n >= 8) AS s FROM (SELECT extraction_type, count(*) FILTER (WHERE is_active AND entry_kind = 'term') AS n FROM lex GROUP BY 1)),
 nv AS (SELECT DISTINCT doc_id FROM items WHERE item_seq < 30 AND trim(regexp_replace(lower(requirement), '\\s+', ' ', 'g')) NOT IN (SELECT term_normalized FROM klex))
 SELECT d.doc_id, (SELECT s FROM ok) AND nv.doc_id IS NULL AS skip FROM (SELECT doc_id FROM documents) d LEFT JOIN nv USING (doc_id)""")
 def _(t):
-    return L.skip_vocabulary_pass(t.documents, mined(t), lexicon(t), part_lexicon(t))
+    return L.skip_vocabulary_pass(t.documents, mined(t), lexicon(t), part_lexicon(t), LIM.novel_terms)
 
 
 @query("lx9_record_terms", f"""WITH {ITEMS_SQL}, {KNOWN_LEX_SQL},
@@ -131,13 +132,13 @@ def _(t):
     new = as_items(t.documents).select("extraction_type", F.col("requirement").alias("term"), F.lit("heuristic").alias("source"),
                                        F.timestamp_micros(F.col("doc_id") * 1000 + F.col("item_seq")).cast("timestamp_ntz").alias("seen_at"))
     lex = part_lexicon(t).withColumn("term_display", F.lit(None).cast("string"))
-    return L.record_terms(lex, new, "term").select("extraction_type", "term_normalized", "hit_count", "term_display")
+    return L.record_terms(lex, new, "term", limits=LIM).select("extraction_type", "term_normalized", "hit_count", "term_display")
 
 
 @query("lx10_persist_lexicon")
 def _(t):
     lex = lexicon(t).withColumn("source", F.lit("heuristic")).withColumn("last_seen_at", F.lit("2024-01-01").cast("timestamp"))
-    return L.persist_lexicon(lex, cut(L.document_lexicon(mined(t), L.load_lexicon(lex))), "2024-02-01 00:00:00").drop("last_seen_at")
+    return L.persist_lexicon(lex, cut(L.document_lexicon(mined(t), L.load_lexicon(lex, LIM.lexicon_terms))), "2024-02-01 00:00:00", LIM).drop("last_seen_at")
 
 
 def hits(t):
@@ -153,7 +154,7 @@ hits AS (SELECT doc_id, chunk_id, chunk_order, et AS extraction_type, ((doc_id *
 
 @query("lx11_enrich_from_hits")
 def _(t):
-    return L.enrich_from_hits(hits(t), as_chunks(t.documents))
+    return L.enrich_from_hits(hits(t), as_chunks(t.documents), limits=LIM)
 
 
 def classes(t):
@@ -185,7 +186,7 @@ docs6 AS (SELECT doc_id, string_agg(trim(term), ' ' ORDER BY o) AS tq, count(*)
 SELECT d.doc_id, st.extraction_type, q AS query FROM docs6 d CROSS JOIN st UNION ALL SELECT d.doc_id, ld.extraction_type, term_display FROM docs6 d CROSS JOIN ld
 UNION ALL SELECT doc_id, ty, tq FROM docs6 CROSS JOIN (SELECT unnest({sql_list(FOCUSED_TYPES)}) AS ty) WHERE n = 6""")
 def _(t):
-    out = L.queries_for_types(L.document_lexicon(mined(t), L.load_lexicon(lexicon(t).where("entry_kind = 'query'"))))
+    out = L.queries_for_types(L.document_lexicon(mined(t), L.load_lexicon(lexicon(t).where("entry_kind = 'query'"), LIM.lexicon_terms)), LIM)
     full = mined(t).withColumn("k", F.lower("term")).groupBy("doc_id").agg(F.count_distinct("k").alias("n"))
     last = out.groupBy("doc_id", "extraction_type").agg(F.max("query_seq").alias("query_seq")).join(full.where("n < 6"), "doc_id", "left_semi")
     return out.join(last, ["doc_id", "extraction_type", "query_seq"], "left_anti").drop("query_seq")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.checks.adapters import CHUNKS_SQL, LINES_SQL, PAGES_SQL, as_chunks, as_pages
 from docloom.checks.q_pages import PARAS_SQL, WS_SQL, order_tables, paragraphs, scored, strip_sql
+from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.functions import headings as H
 from docloom.operators import chunks as C
@@ -197,7 +198,7 @@ SELECT num.doc_id, CAST(page_number AS BIGINT) AS page, block_seq, CASE WHEN h T
 FROM num LEFT JOIN so ON so.doc_id = num.doc_id AND so.page_start = page_number AND so.title = text""")
 def _(t):
     pages = as_pages(t.documents)
-    return P.layout_blocks(pages, S.detect_sections(pages)).select(
+    return P.layout_blocks(pages, S.detect_sections(pages), block_chars=LIM.block_chars).select(
         "doc_id", "page", "block_seq", "type", "text", "y", "section_order")
 
 
@@ -208,7 +209,7 @@ def _(t):
 SELECT doc_id, doc_id % 5 + 1 AS page, 'table' AS type, substr(head || body, 1, 4000) AS text FROM tab""")
 def _(t):
     none = as_pages(t.documents).where("text is null")
-    return P.layout_blocks(none, tables=order_tables(t)).select("doc_id", "page", "type", "text")
+    return P.layout_blocks(none, tables=order_tables(t), block_chars=LIM.block_chars).select("doc_id", "page", "type", "text")
 
 
 @query("pg10_structured_text", f"""WITH {SECTIONS_SQL}
@@ -334,7 +335,7 @@ def _(t):
 
 @query("ch7_section_chunks")
 def _(t):
-    return C.section_chunks(logical(t)).withColumn("tags", F.array_join("tags", ","))
+    return C.section_chunks(logical(t), limits=LIM).withColumn("tags", F.array_join("tags", ","))
 
 
 def page_tables(t):
@@ -369,7 +370,7 @@ SELECT doc_id, table_idx, page, chunk_type FROM table_chunks t WHERE chunk_type
 def _(t):
     tables = C.table_chunks(page_tables(t))
     sections = tables.where("page = 1").select("doc_id", "chunk_type", F.substring("chunk_text", 1, 30).alias("chunk_text"))
-    return C.dedupe_table_chunks(tables, sections).select("doc_id", "table_idx", "page", "chunk_type")
+    return C.dedupe_table_chunks(tables, sections, LIM.table_key_chars).select("doc_id", "table_idx", "page", "chunk_type")
 
 
 @query("ch10_build_chunks")
@@ -378,7 +379,7 @@ def _(t):
     sections = hierarchy(t)
     parsed = P.structured_text(sections).join(pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")), "doc_id")
     tables = page_tables(t).join(t.documents.select("doc_id"), "doc_id", "left_semi")
-    return C.build_chunks(parsed, sections, tables).withColumn("tags", F.array_join("tags", ","))
+    return C.build_chunks(parsed, sections, tables, limits=LIM).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("ch11_contextualized_text", f"""WITH {CHUNKS_SQL} SELECT chunk_id,
@@ -391,7 +392,7 @@ def _(t):
 @query("ch12_embedding_requests", f"""WITH {CHUNKS_SQL} SELECT doc_id, chunk_order, (chunk_order - 1) // 100 AS batch_no,
   substr(chunk_text, 1, 9000) AS input_text FROM chunks""")
 def _(t):
-    return C.embedding_requests(as_chunks(t.documents))
+    return C.embedding_requests(as_chunks(t.documents), limits=LIM)
 
 
 @query("ch13_chunk_stats", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_type, count(*) AS n_chunks FROM chunks GROUP BY 1, 2")

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from docloom.plans.stage import safe_unions
 
-
 # session key: number of partitions that documents and pages are dealt to, for single-file inputs on one machine
 INPUT_PARTITIONS = "docloom.input.partitions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

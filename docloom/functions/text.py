@@ -45,6 +45,16 @@ def head(c, n: int | None) -> Column:
     return col(c) if n is None else F.substring(col(c), 1, n)
 
 
+def first(values, n: int | None) -> Column:
+    """The first n elements; all of them where no limit is given."""
+    return col(values) if n is None else F.slice(col(values), 1, n)
+
+
+def within(rank, n: int | None) -> Column:
+    """Whether a rank is inside a limit; always where none is given."""
+    return F.lit(True) if n is None else col(rank) <= n
+
+
 def contains_any(text: Column, needles) -> Column:
     """True where the text holds at least one of a fixed list of literals."""
     out = F.lit(False)

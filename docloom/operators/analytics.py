@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.config import UNCUT, Limits
 from docloom.fixed import CANONICAL_FIELDS, DISPLAY_LABELS, EVENT_FIELDS
-from docloom.functions.text import head, strip
+from docloom.functions.text import first, head, strip, within
 from docloom.operators.feedback import _text, after_label
 
 
@@ -114,19 +115,23 @@ def user_detail(docs: DataFrame, items: DataFrame, fb: DataFrame, user_id=None,
     return fields.unionByName(total).unionByName(by_doc)
 
 
-def insight_snapshot(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: DataFrame, jobs: DataFrame, since=None) -> DataFrame:
+def _newest(rows: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def insight_snapshot(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: DataFrame, jobs: DataFrame, since=None, limits: Limits = UNCUT) -> DataFrame:
     """One JSON value of the team statistics with its content key.
 
-    Its size is that of the report: one entry per user, 14 trend days, 25 corrections.
+    Its size is that of the report: one entry per user, and the trend days and corrections that the limits allow.
     """
     def packed(df, *order):
         cols = [c for c in df.columns if c not in ("__o",)]
         return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*cols).alias("v")))), lambda s: s["v"]).alias("x"))
 
     u = user_insights(users, docs, insights, fb, jobs, since)
-    trend = accuracy_trend(fb, since).orderBy(F.desc("day")).limit(14)
+    trend = _newest(accuracy_trend(fb, since), limits.trend_days, F.desc("day"))
     down = _since(fb.where(F.col("rating") == "down"), since)
-    recent = down.orderBy(F.desc("created_at"), F.desc("feedback_id")).limit(25).select(
+    recent = _newest(down, limits.recent_corrections, F.desc("created_at"), F.desc("feedback_id")).select(
         "created_at", "feedback_id", "field_key", "extracted_value", "correct_value", "issue_type", "comment"
     )
     parts = {
@@ -247,7 +252,7 @@ def _label_of(key: Column) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.replace(key, F.lit("_"), F.lit(" ")))
 
 
-def admin_notes(docs: DataFrame, spec: DataFrame, fb: DataFrame, threshold: int = 70) -> DataFrame:
+def admin_notes(docs: DataFrame, spec: DataFrame, fb: DataFrame, threshold: int = 70, limits: Limits = UNCUT) -> DataFrame:
     """One paragraph per document: key facts, corrections, confirmations, open reviews."""
     live = spec.where(~F.coalesce("not_found", F.lit(False)))
     value = F.nullif(F.when(F.col("field_key").endswith("_date_time"), strip(_text("date"))).otherwise(after_label("text")), F.lit(""))
@@ -262,13 +267,13 @@ def admin_notes(docs: DataFrame, spec: DataFrame, fb: DataFrame, threshold: int
     why = F.when(strip(_text("comment")) != "", strip("comment")).otherwise(strip(_text("issue_type")))
     label = _label_of(F.col("field_key"))
     piece = F.concat(
-        F.when((new != "") & (old != ""), F.concat(label, F.lit(' corrected from "'), head(old, 60), F.lit('" to "'), head(new, 60), F.lit('"')))
-        .when(new != "", F.concat(label, F.lit(' corrected to "'), head(new, 60), F.lit('"')))
+        F.when((new != "") & (old != ""), F.concat(label, F.lit(' corrected from "'), head(old, limits.note_value_chars), F.lit('" to "'), head(new, limits.note_value_chars), F.lit('"')))
+        .when(new != "", F.concat(label, F.lit(' corrected to "'), head(new, limits.note_value_chars), F.lit('"')))
         .otherwise(F.concat(label, F.lit(" flagged as wrong"))),
-        F.when(why != "", F.concat(F.lit(" ("), head(why, 80), F.lit(")"))).otherwise(""),
+        F.when(why != "", F.concat(F.lit(" ("), head(why, limits.note_reason_chars), F.lit(")"))).otherwise(""),
     )
     order = Window.partitionBy("doc_id").orderBy("created_at", "feedback_id")
-    first6 = down.select("doc_id", "created_at", "feedback_id", piece.alias("piece")).withColumn("rn", F.row_number().over(order)).where("rn <= 6")
+    first6 = down.select("doc_id", "created_at", "feedback_id", piece.alias("piece")).withColumn("rn", F.row_number().over(order)).where(within("rn", limits.note_pieces))
     pieces = first6.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "piece"))), lambda s: s["piece"]), "; ").alias("pieces"))
     counts = fb.groupBy("doc_id").agg(
         F.count_if(F.col("rating") == "down").alias("n_down"), F.count_if(F.col("rating") == "up").alias("n_up")
@@ -277,7 +282,7 @@ def admin_notes(docs: DataFrame, spec: DataFrame, fb: DataFrame, threshold: int
     low = live.where(F.col("confidence") < threshold).select("doc_id", label.alias("lab"), "row_seq").groupBy("doc_id", "lab").agg(F.min("row_seq").alias("o"))
     # at most one label per canonical field and document remains here
     outstanding = low.join(corrected, ["doc_id", "lab"], "left_anti").groupBy("doc_id").agg(
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o", "lab"))), 1, 6), lambda s: s["lab"]), ", ").alias("outstanding")
+        F.array_join(F.transform(first(F.array_sort(F.collect_list(F.struct("o", "lab"))), limits.note_fields), lambda s: s["lab"]), ", ").alias("outstanding")
     )
     j = docs.select("doc_id")
     for part in (facts, has_summary, pieces, counts, outstanding):
@@ -309,7 +314,7 @@ def _seconds(s: Column) -> Column:
     )
 
 
-def observation_notes(users: DataFrame) -> DataFrame:
+def observation_notes(users: DataFrame, limits: Limits = UNCUT) -> DataFrame:
     """Up to five sentences on the team; every pick is an aggregate, nothing is sorted."""
     tie = [-F.col("docs_total"), F.col("user_id")]
     fields = F.col("fields_extracted") >= 20
@@ -339,6 +344,6 @@ def observation_notes(users: DataFrame) -> DataFrame:
         F.when(F.col("fields_confirmed") > 0, F.concat(s("fields_confirmed"), F.lit(" field(s) explicitly confirmed correct by reviewers."))),
         F.when(F.col("docs_total") > 0, F.concat(s("docs_completed"), F.lit(" of "), s("docs_total"), F.lit(" documents completed successfully ("), F.floor(F.col("docs_completed") / F.col("docs_total") * 100 + 0.5).cast("string"), F.lit("%)."))),
     )
-    return a.select(F.posexplode(F.slice(F.array_compact(notes), 1, 5)).alias("i", "note"))
+    return a.select(F.posexplode(first(F.array_compact(notes), limits.notes)).alias("i", "note"))
 
 

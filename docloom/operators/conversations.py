@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import col, ordered_join, strip
+from docloom.config import UNCUT, Limits
+from docloom.functions.text import col, first, head, ordered_join, strip, within
 from docloom.operators.feedback import _text
 
 NOT_FOUND = "This information was not found in the document."
@@ -53,13 +54,13 @@ def finalize_answers(answers: DataFrame, cites: DataFrame) -> DataFrame:
     return j.select("query_id", refused.alias("refused"), F.when(refused, NOT_FOUND).otherwise(strip("answer")).alias("answer"), "n_citations")
 
 
-def clean_followups(questions, asked) -> Column:
-    """Usable follow-up questions: short, new, distinct, four at most."""
+def clean_followups(questions, asked, limits: Limits = UNCUT) -> Column:
+    """Usable follow-up questions: new and distinct, short and few where limits are given."""
     kept = F.filter(
-        F.transform(col(questions), strip), lambda q: (q != "") & (F.length(q) <= 200) & (F.lower(q) != F.lower(strip(col(asked))))
+        F.transform(col(questions), strip), lambda q: (q != "") & within(F.length(q), limits.followup_chars) & (F.lower(q) != F.lower(strip(col(asked))))
     )
     lows = F.transform(kept, F.lower)
-    return F.slice(F.filter(kept, lambda q, i: F.array_position(lows, F.lower(q)) == i + 1), 1, 4)
+    return first(F.filter(kept, lambda q, i: F.array_position(lows, F.lower(q)) == i + 1), limits.followups)
 
 
 def latest_followups(messages: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def latest_followups(messages: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.max(F.struct("turn", "follow_ups"))["follow_ups"].alias("follow_ups"))
 
 
-def session_titles(messages: DataFrame) -> DataFrame:
+def session_titles(messages: DataFrame, limits: Limits = UNCUT) -> DataFrame:
     """Title from the first user message, with the time-order key of the session."""
     first = messages.where(F.col("role") == "user").groupBy("conv_id").agg(F.min(F.struct("turn", "text"))["text"].alias("t"))
     t = strip("t")
-    return first.select("conv_id", F.concat(F.substring(t, 1, 80), F.when(F.length(t) > 80, "…").otherwise("")).alias("title"))
+    return first.select("conv_id", F.concat(head(t, limits.session_title_chars), F.when(~within(F.length(t), limits.session_title_chars), "…").otherwise("")).alias("title"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import col, norm_cite, strip
+from docloom.functions.text import col, first, norm_cite, strip
 from docloom.operators.feedback import _text
 
 
@@ -164,12 +164,12 @@ def chunk_profile(sections: DataFrame, logical: DataFrame, chunks: DataFrame) ->
     return s.join(l, "doc_id", "left").join(c, "doc_id", "left").fillna(0, ["logical_sections", "chunks"])
 
 
-def deadline_audit(spec: DataFrame) -> DataFrame:
-    """Documents by number of bid deadlines, with the first three values."""
+def deadline_audit(spec: DataFrame, values: int | None = None) -> DataFrame:
+    """Documents by number of bid deadlines, with the first values."""
     due = (F.col("field_key") == "bid_deadline_date_time") & (_text("date") != "")
     w = spec.groupBy("doc_id").agg(
         F.count_if(due).alias("deadlines"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(due, F.struct("row_seq", "date")))), 1, 3), lambda s: s["date"]), " | ").alias("first_values"),
+        F.array_join(F.transform(first(F.array_sort(F.collect_list(F.when(due, F.struct("row_seq", "date")))), values), lambda s: s["date"]), " | ").alias("first_values"),
     )
     return w.withColumn("state", F.when(F.col("deadlines") == 0, "missing").when(F.col("deadlines") > 1, "multiple").otherwise("ok"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.config import DEFAULT, Config
-from docloom.functions.text import col, head, norm_ws, strip
+from docloom.config import DEFAULT, UNCUT, Config, Limits
+from docloom.functions.text import col, first, head, norm_ws, strip, within
 from docloom.plans.scans import once
 
 # The instruction text of a training example.
@@ -24,30 +24,30 @@ def _text(c) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
-def ingest_feedback(raw: DataFrame) -> DataFrame:
-    """Valid ratings only, long texts cut to their column sizes."""
+def ingest_feedback(raw: DataFrame, limits: Limits = UNCUT) -> DataFrame:
+    """Valid ratings only, long texts cut to their column sizes where such are given."""
     rating = F.lower(strip(_text("rating")))
     ok = (strip(_text("field_key")) != "") & (strip(_text("extraction_type")) != "") & rating.isin("up", "down")
-    cuts = {"extracted_value": 2000, "correct_value": 2000, "comment": 1000, "source_text_context": 4000}
+    cuts = {"extracted_value": limits.value_chars, "correct_value": limits.value_chars, "comment": limits.comment_chars, "source_text_context": limits.context_chars}
     out = raw.where(ok).withColumn("rating", rating)
     out = out.withColumns({"field_key": strip("field_key"), "extraction_type": strip("extraction_type")})
     return out.withColumns({c: head(_text(c), n) for c, n in cuts.items()})
 
 
-def lexicon_from_feedback(fb: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lexicon_from_feedback(fb: DataFrame, lexicon: DataFrame, limits: Limits = UNCUT) -> DataFrame:
     """Query terms of the lexicon after the corrections in `fb` have been learned."""
     value, source = strip(_text("correct_value")), strip(_text("source_text_context"))
     terms = F.array_compact(F.array(
-        F.when((F.col("field_key") != "") & (F.length(value) >= 2), F.concat("field_key", F.lit(": "), head(value, 120))),
-        F.when(F.length(value) >= 4, head(value, 128)),
-        F.when(F.length(source) >= 20, head(source, 80)),
+        F.when((F.col("field_key") != "") & (F.length(value) >= 2), F.concat("field_key", F.lit(": "), head(value, limits.term_value_chars))),
+        F.when(F.length(value) >= 4, head(value, limits.term_exact_chars)),
+        F.when(F.length(source) >= 20, head(source, limits.term_source_chars)),
     ))
     seen = fb.where(F.col("rating") == "down").select(
         "extraction_type", "created_at", "feedback_id", F.posexplode(terms).alias("slot", "term")
-    ).withColumn("term_normalized", head(strip(F.lower("term")), 256)).where(F.col("term_normalized") != "")
+    ).withColumn("term_normalized", head(strip(F.lower("term")), limits.term_chars)).where(F.col("term_normalized") != "")
     new = seen.groupBy("extraction_type", "term_normalized").agg(
         F.count("*").alias("hits"),
-        head(F.min(F.struct("created_at", "feedback_id", "slot", "term"))["term"], 512).alias("first_display"),
+        head(F.min(F.struct("created_at", "feedback_id", "slot", "term"))["term"], limits.display_chars).alias("first_display"),
     )
     old = lexicon.where(F.col("entry_kind") == "query").select(
         "extraction_type", "term_normalized", "term_display", "hit_count", "is_active"
@@ -118,40 +118,40 @@ def mark_used(fb: DataFrame, batches: DataFrame) -> DataFrame:
     ).drop("__sent")
 
 
-def _hint() -> Column:
+def _hint(limits: Limits) -> Column:
     f, issue = F.col("field_key"), _text("issue_type")
     wrong, right, note = strip(_text("extracted_value")), strip(_text("correct_value")), strip(_text("comment"))
     q = F.lit('"')
     return (
         F.when((issue == "wrong_value") & (wrong != "") & (right != ""),
-               F.concat(f, F.lit(": do NOT extract "), q, head(wrong, 100), q, F.lit(" — correct value is "), q, head(right, 120), q))
-        .when((issue == "wrong_value") & (right != ""), F.concat(f, F.lit(": correct value should look like "), q, head(right, 120), q))
+               F.concat(f, F.lit(": do NOT extract "), q, head(wrong, limits.hint_wrong_chars), q, F.lit(" — correct value is "), q, head(right, limits.hint_right_chars), q))
+        .when((issue == "wrong_value") & (right != ""), F.concat(f, F.lit(": correct value should look like "), q, head(right, limits.hint_right_chars), q))
         .when(issue == "missing", F.concat(f, F.lit(": often missed — search cover page, timeline tables, and administrative sections carefully")))
         .when(issue == "wrong_source", F.concat(f, F.lit(": citation must be verbatim from the document section where the value actually appears")))
-        .when(note != "", F.concat(f, F.lit(": "), head(note, 200)))
-        .when(right != "", F.concat(f, F.lit(": expected "), q, head(right, 120), q))
-        .when(wrong != "", F.concat(f, F.lit(": avoid repeating "), q, head(wrong, 100), q))
+        .when(note != "", F.concat(f, F.lit(": "), head(note, limits.hint_note_chars)))
+        .when(right != "", F.concat(f, F.lit(": expected "), q, head(right, limits.hint_right_chars), q))
+        .when(wrong != "", F.concat(f, F.lit(": avoid repeating "), q, head(wrong, limits.hint_wrong_chars), q))
         .otherwise("")
     )
 
 
-def feedback_hints(fb: DataFrame, groups: dict[str, list[str]], max_hints: int = 8, lookback: int = 100) -> DataFrame:
+def feedback_hints(fb: DataFrame, groups: dict[str, list[str]], limits: Limits = UNCUT) -> DataFrame:
     """Prompt text of lessons per extraction group from its latest corrections."""
     names = F.array_compact(F.array(*[
         F.when(F.col("field_key").isin(keys), name) for name, keys in groups.items()
     ]))
     rows = fb.where(F.col("rating") == "down").withColumn("group", F.explode(names))
     recent = Window.partitionBy("group").orderBy(F.desc("created_at"), F.desc("feedback_id"))
-    # the rank limit is applied before the shuffle, so a group costs at most `lookback` rows per task
-    last = rows.withColumn("rn", F.row_number().over(recent)).where(F.col("rn") <= lookback)
-    shown = F.when(head(strip(_text("extracted_value")), 80) != "", head(strip(_text("extracted_value")), 80)).otherwise(
-        head(strip(_text("correct_value")), 80)
+    # the rank limit is applied before the shuffle, so with one a group costs few rows per task
+    last = rows.withColumn("rn", F.row_number().over(recent)).where(within("rn", limits.hint_lookback))
+    shown = F.when(head(strip(_text("extracted_value")), limits.hint_key_chars) != "", head(strip(_text("extracted_value")), limits.hint_key_chars)).otherwise(
+        head(strip(_text("correct_value")), limits.hint_key_chars)
     )
-    firsts = last.select("group", "rn", "field_key", _text("issue_type").alias("issue"), shown.alias("shown"), _hint().alias("hint")).groupBy(
+    firsts = last.select("group", "rn", "field_key", _text("issue_type").alias("issue"), shown.alias("shown"), _hint(limits).alias("hint")).groupBy(
         "group", "field_key", "issue", "shown"
     ).agg(F.min(F.struct("rn", "hint")).alias("p"))
     top = firsts.where(F.col("p.hint") != "").groupBy("group").agg(
-        F.slice(F.array_sort(F.collect_list("p")), 1, max_hints).alias("hs")
+        first(F.array_sort(F.collect_list("p")), limits.hints).alias("hs")
     )
     bullets = F.array_join(F.transform("hs", lambda h: F.concat(F.lit("- "), h["hint"])), "\n")
     return top.select(
@@ -242,7 +242,7 @@ def active_batches(batches: DataFrame, n: int = 5) -> DataFrame:
     return batches.where(~F.col("status").isin(FINISHED_BATCH)).orderBy(F.desc("created_at"), "batch_id").limit(n)
 
 
-def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=None, used=None, page: int = 1, size: int = 50) -> DataFrame:
+def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=None, used=None, page: int = 1, size: int = 50, limits: Limits = UNCUT) -> DataFrame:
     rows = fb
     if extraction_type:
         rows = rows.where(F.col("extraction_type") == extraction_type)
@@ -250,11 +250,11 @@ def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=N
         rows = rows.where(F.col("rating") == rating)
     if used is not None:
         rows = rows.where(F.col("used_in_finetune") == F.lit(bool(used)))
-    size, page = min(size, 200), max(page, 1)
+    page = max(page, 1)
     shown = rows.orderBy(F.desc("created_at"), F.desc("feedback_id")).offset((page - 1) * size).limit(size)
     names = docs.select("doc_id", F.col("filename").alias("document_filename"))
     return shown.join(names, "doc_id", "left").withColumns({
-        "document_filename": _text("document_filename"), "source_text_context": head(_text("source_text_context"), 200),
+        "document_filename": _text("document_filename"), "source_text_context": head(_text("source_text_context"), limits.listed_context_chars),
     })
 
 

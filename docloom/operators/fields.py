@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.fixed import BOND_LABELS, DEADLINE_LABELS, FIELD_DEFS, SET_ASIDE_KEYS, SINGLETON_KEYS
 from docloom.functions.dates import add_duration, date_grounded, long_date, next_business_day, parse_amount, parse_date
-from docloom.functions.text import WS, col, contains_any, head, literal_array, norm_ws, strip, word_count
+from docloom.config import UNCUT, Limits
+from docloom.fixed import BOND_LABELS, DEADLINE_LABELS, FIELD_DEFS, SET_ASIDE_KEYS, SINGLETON_KEYS
+from docloom.functions.text import WS, col, contains_any, head, literal_array, norm_ws, strip, within, word_count
 from docloom.operators.feedback import _text
 from docloom.plans.scans import once
 from docloom.plans.stage import cut
@@ -405,18 +406,18 @@ def _code_only(v: Column) -> Column:
     return F.when(strip_it, right).otherwise(v)
 
 
-# field, label, joiner, longest text
+# field, label, joiner, limit of the text
 MERGED = {
-    "project_solicitation_number": ("Project solicitation number", "; ", 4000),
-    "project_document_acquisition_note": ("Project document acquisition note", " • ", 4000),
-    "project_description": ("Project description", "\n\n", 20000),
+    "project_solicitation_number": ("Project solicitation number", "; ", "merged_chars"),
+    "project_document_acquisition_note": ("Project document acquisition note", " • ", "merged_chars"),
+    "project_description": ("Project description", "\n\n", "description_chars"),
 }
 
 
-def merge_multi(rows: DataFrame) -> DataFrame:
+def merge_multi(rows: DataFrame, limits: Limits = UNCUT) -> DataFrame:
     """Several rows of a mergeable metadata field become one, values distinct and in order.
 
-    The text limit bounds how many values can show, so no more than that many are gathered.
+    With a limit of values or characters only as many are gathered.
     """
     mergeable = (F.col("bucket") == "project_metadata_items") & F.col("field_key").isin(list(MERGED))
     sol = F.col("field_key") == "project_solicitation_number"
@@ -432,7 +433,7 @@ def merge_multi(rows: DataFrame) -> DataFrame:
         F.min(F.struct("row_seq", strip("v").alias("v"))).alias("p")
     )
     w = Window.partitionBy(*keys).orderBy("p.row_seq")
-    first = values.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 20000)
+    first = values.withColumn("rn", F.row_number().over(w)).where(within("rn", limits.merged_values))
     joined = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "p.v"))), lambda s: s["v"]).alias("vs"))
     payload = [c for c in SPEC_COLUMNS if c not in keys]
     groups = base.groupBy(*keys).agg(
@@ -440,7 +441,7 @@ def merge_multi(rows: DataFrame) -> DataFrame:
     )
     text = None
     for k, (label, joiner, limit) in MERGED.items():
-        t = F.concat(F.lit(label + ": "), F.substring(F.array_join("vs", joiner), 1, limit))
+        t = F.concat(F.lit(label + ": "), head(F.array_join("vs", joiner), getattr(limits, limit)))
         text = F.when(F.col("field_key") == k, t) if text is None else text.when(F.col("field_key") == k, t)
     single = F.col("n") == 1
     merged = groups.join(joined, keys, "left").where(single | F.col("vs").isNotNull())

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.fixed import ACTIVE_STAGES, INTEL_STAGES
-from docloom.functions.text import WS, col, strip
+from docloom.functions.text import WS, col, head, strip
 from docloom.plans.scans import bucketed_row_number, latest
 
 
-def sanitize_filename(c) -> Column:
+def sanitize_filename(c, limit: int | None = None) -> Column:
     base = F.element_at(F.split(col(c), r"[/\\]"), -1)
-    clean = F.substring(F.regexp_replace(base, r"[^A-Za-z0-9_.\-]", "_"), 1, 255)
+    clean = head(F.regexp_replace(base, r"[^A-Za-z0-9_.\-]", "_"), limit)
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("document"))
 
 
@@ -38,17 +38,17 @@ def flag_exact_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def normalize_reference(c) -> Column:
-    return F.substring(F.regexp_replace(F.upper(strip(c)), WS + "+", "-"), 1, 128)
+def normalize_reference(c, limit: int | None = None) -> Column:
+    return head(F.regexp_replace(F.upper(strip(c)), WS + "+", "-"), limit)
 
 
-def resolve_tenders(uploads: DataFrame, tenders: DataFrame) -> DataFrame:
+def resolve_tenders(uploads: DataFrame, tenders: DataFrame, reference_chars: int | None = None) -> DataFrame:
     """Tender of every upload (upload_id, reference, title); unseen references become new tenders.
 
     Identifiers of new tenders derive from the reference, so a retried job finds the same ones.
     """
     auto = F.concat(F.lit("AUTO-"), F.upper(F.substring(F.sha2(F.col("upload_id").cast("string"), 256), 1, 10)))
-    ref = F.when(strip(F.coalesce("reference", F.lit(""))) == "", auto).otherwise(normalize_reference("reference"))
+    ref = F.when(strip(F.coalesce("reference", F.lit(""))) == "", auto).otherwise(normalize_reference("reference", reference_chars))
     u = uploads.select("upload_id", ref.alias("reference_code"), F.nullif(F.coalesce("title", F.lit("")), F.lit("")).alias("title"))
     t = tenders.select("reference_code", F.col("tender_id").alias("known_id"), F.col("title").alias("known_title"))
     # the title of a new tender is that of its first upload, else the reference itself

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.config import DEFAULT, Config
+from docloom.config import DEFAULT, UNCUT, Config, Limits
 from docloom.fixed import FOCUSED_TYPES
-from docloom.functions.text import WS, col, collapse, contains_any, head, literal_array, norm_ws, ordered_join, strip
+from docloom.functions.text import WS, col, collapse, contains_any, first, head, literal_array, norm_ws, ordered_join, strip, within
 from docloom.plans.scans import once
 
 # Class markers with the tie order of the classes.
@@ -132,23 +132,23 @@ OVERRIDES = [
 ]
 
 
-def cover_text(pages: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cover_text(pages: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, limits: Limits = UNCUT) -> DataFrame:
     """Text of the first pages of each document, or of its first chunks when those are blank."""
     # page numbers start at one, so the first pages need no ranking of the document
-    first = pages.where(F.col("page_number") <= cfg.cover_max_pages)
+    opening = pages.where(F.col("page_number") <= cfg.cover_max_pages)
     part = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), strip("text"))
-    p = first.groupBy("doc_id").agg(
+    p = opening.groupBy("doc_id").agg(
         ordered_join(F.collect_list(F.when(strip("text") != "", F.struct("page_number", part.alias("text")))), "\n\n").alias("p")
     )
     piece = F.concat(
         F.lit("--- Pages "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"), F.lit(" | "),
         F.col("section_title"), F.lit(" ---\n"), strip("chunk_text"),
     )
-    c = chunks.where(F.col("chunk_order") <= 5).groupBy("doc_id").agg(
+    c = chunks.where(within("chunk_order", limits.cover_chunks)).groupBy("doc_id").agg(
         ordered_join(F.collect_list(F.struct("chunk_order", piece.alias("text"))), "\n\n").alias("c")
     )
     text = F.when(F.coalesce("p", F.lit("")) != "", F.col("p")).otherwise(F.coalesce("c", F.lit("")))
-    return p.join(c, "doc_id", "full_outer").select("doc_id", head(strip(text), cfg.cover_max_chars).alias("cover"))
+    return p.join(c, "doc_id", "full_outer").select("doc_id", head(strip(text), limits.cover_chars).alias("cover"))
 
 
 def _score(low: Column, markers: list[str]) -> Column:
@@ -187,7 +187,7 @@ def _distinct_ci(df: DataFrame, name: str, expr: Column, limit: int | None = Non
     return df.withColumn(name, kept if limit is None else F.slice(kept, 1, limit)).drop("__k", "__l")
 
 
-def with_mined(df: DataFrame, text, limit: int = 40, name: str = "mined") -> DataFrame:
+def with_mined(df: DataFrame, text, limit: int | None = None, name: str = "mined") -> DataFrame:
     """Add the document-specific phrases of a text in pattern order."""
     t = F.coalesce(col(text), F.lit(""))
 
@@ -206,7 +206,7 @@ def with_mined(df: DataFrame, text, limit: int = 40, name: str = "mined") -> Dat
     return _distinct_ci(once(df, "__raw", raw), name, F.filter("__raw", useful), limit).drop("__raw")
 
 
-def mined_terms(docs: DataFrame, text: str, limit: int = 40) -> DataFrame:
+def mined_terms(docs: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     return with_mined(docs, text, limit).select("doc_id", F.posexplode("mined").alias("term_seq", "term"))
 
 
@@ -221,9 +221,9 @@ def route_terms(terms: DataFrame) -> DataFrame:
     return terms.select("*", F.explode(term_types("term")).alias("extraction_type"))
 
 
-def load_lexicon(lexicon: DataFrame, limit: int = DEFAULT.lexicon_max_per_type) -> DataFrame:
+def load_lexicon(lexicon: DataFrame, limit: int | None = None) -> DataFrame:
     w = Window.partitionBy("extraction_type", "entry_kind").orderBy(F.desc("hit_count"), "term_display", "term_normalized")
-    return lexicon.where("is_active").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return lexicon.where("is_active").withColumn("rank", F.row_number().over(w)).where(within("rank", limit))
 
 
 def document_lexicon(mined: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -264,21 +264,21 @@ def cache_sufficient(lexicon: DataFrame, types: list[str] | None = None, minimum
     return lexicon.agg(ok.alias("sufficient"))
 
 
-def novel_terms(mined: DataFrame, loaded: DataFrame) -> DataFrame:
+def novel_terms(mined: DataFrame, loaded: DataFrame, limit: int | None = None) -> DataFrame:
     known = loaded.where(F.col("entry_kind") == "term").select(F.col("term_normalized").alias("norm")).distinct()
-    return mined.where(F.col("term_seq") < 30).withColumn("norm", norm_ws("term")).join(known, "norm", "left_anti")
+    return mined.where(within(F.col("term_seq") + 1, limit)).withColumn("norm", norm_ws("term")).join(known, "norm", "left_anti")
 
 
-def skip_vocabulary_pass(covers: DataFrame, mined: DataFrame, lexicon: DataFrame, loaded: DataFrame) -> DataFrame:
+def skip_vocabulary_pass(covers: DataFrame, mined: DataFrame, lexicon: DataFrame, loaded: DataFrame, limit: int | None = None) -> DataFrame:
     """True where the learned vocabulary is large enough and the cover brings nothing new."""
-    novel = novel_terms(mined, loaded).select("doc_id").distinct().withColumn("__novel", F.lit(True))
+    novel = novel_terms(mined, loaded, limit).select("doc_id").distinct().withColumn("__novel", F.lit(True))
     enough = cache_sufficient(lexicon).select("sufficient").scalar()
     return covers.select("doc_id").join(novel, "doc_id", "left").select(
         "doc_id", (enough & F.col("__novel").isNull()).alias("skip")
     )
 
 
-def record_terms(lexicon: DataFrame, new: DataFrame, kind: str, known: DataFrame | None = None) -> DataFrame:
+def record_terms(lexicon: DataFrame, new: DataFrame, kind: str, known: DataFrame | None = None, limits: Limits = UNCUT) -> DataFrame:
     """Lexicon after recording (extraction_type, term, source, seen_at): counters add up per use."""
     minimum = 8 if kind == "query" else 3
     display = strip(F.coalesce("term", F.lit("")))
@@ -289,7 +289,7 @@ def record_terms(lexicon: DataFrame, new: DataFrame, kind: str, known: DataFrame
         rows = rows.join(known.select("term_normalized").distinct(), "term_normalized", "left_anti")
     last = F.max(F.struct("seen_at", "display"))
     uses = rows.groupBy("extraction_type", "term_normalized").agg(
-        F.count("*").alias("uses"), head(last["display"], 512).alias("new_display"), last["seen_at"].alias("new_seen"),
+        F.count("*").alias("uses"), head(last["display"], limits.display_chars).alias("new_display"), last["seen_at"].alias("new_seen"),
         F.min(F.struct("seen_at", "source"))["source"].alias("new_source"),
     ).withColumn("entry_kind", F.lit(kind))
     j = lexicon.join(uses, ["extraction_type", "entry_kind", "term_normalized"], "full_outer")
@@ -305,25 +305,25 @@ def record_terms(lexicon: DataFrame, new: DataFrame, kind: str, known: DataFrame
     )
 
 
-def persist_lexicon(lexicon: DataFrame, doc_lexicon: DataFrame, seen_at) -> DataFrame:
+def persist_lexicon(lexicon: DataFrame, doc_lexicon: DataFrame, seen_at, limits: Limits = UNCUT) -> DataFrame:
     """Store the terms and queries of document lexicons that are not known yet."""
-    loaded = load_lexicon(lexicon)
+    loaded = load_lexicon(lexicon, limits.lexicon_terms)
     at = F.lit(seen_at).cast("timestamp")
     out = lexicon
     for kind, column, source in (("term", "typed_terms", "heuristic"), ("query", "queries", "llm")):
         rows = doc_lexicon.select("extraction_type", F.explode(column).alias("term"), F.lit(source).alias("source"), at.alias("seen_at"))
-        out = record_terms(out, rows, kind, loaded.where(F.col("entry_kind") == kind))
+        out = record_terms(out, rows, kind, loaded.where(F.col("entry_kind") == kind), limits)
     return out
 
 
-def enrich_from_hits(hits: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def enrich_from_hits(hits: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, limits: Limits = UNCUT) -> DataFrame:
     """Terms of the best-scoring chunks per document and type."""
     w = Window.partitionBy("doc_id", "extraction_type").orderBy(F.desc("score"), "chunk_id")
-    top = hits.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= 6) & (F.col("score") >= cfg.feedback_min_score))
+    top = hits.withColumn("rn", F.row_number().over(w)).where(within("rn", limits.top_hits) & (F.col("score") >= cfg.feedback_min_score))
     text = F.concat("section_title", F.lit("\n"), "chunk_text")
     # a chunk is mined once however many types it scored for
     wanted = chunks.join(top.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_semi")
-    found = with_mined(wanted.select("doc_id", "chunk_id", text.alias("t")), "t", 12).drop("t")
+    found = with_mined(wanted.select("doc_id", "chunk_id", text.alias("t")), "t", limits.hit_terms).drop("t")
     return top.select("doc_id", "chunk_id", "extraction_type", "rn").join(found, ["doc_id", "chunk_id"]).select(
         "doc_id", "extraction_type", "rn", F.posexplode("mined").alias("term_seq", "term")
     ).groupBy("doc_id", "extraction_type", F.lower("term").alias("term_key")).agg(
@@ -344,11 +344,11 @@ def route_queries(classes: DataFrame, routing: bool = True) -> DataFrame:
     return rows.groupBy("doc_id", F.col("o.extraction_type").alias("extraction_type"), F.col("o.query").alias("query")).agg(F.min("o.seq").alias("seq"))
 
 
-def queries_for_types(doc_lexicon: DataFrame) -> DataFrame:
-    """Static queries, learned queries and one query of the first six terms, distinct in order."""
+def queries_for_types(doc_lexicon: DataFrame, limits: Limits = UNCUT) -> DataFrame:
+    """Static queries, learned queries and one query of the first terms, distinct in order."""
     statics = F.create_map(*[x for t, qs in STATIC_QUERIES.items() for x in (F.lit(t), literal_array(qs))])
     rows = _distinct_ci(doc_lexicon, "__terms", F.concat("global_terms", "typed_terms"))
-    term_query = F.array_join(F.slice("__terms", 1, 6), " ")
+    term_query = F.array_join(first("__terms", limits.query_terms), " ")
     merged = F.concat(statics[F.col("extraction_type")], "queries", F.array(term_query))
     rows = _distinct_ci(rows, "__queries", F.filter(F.transform(merged, strip), lambda q: q != ""))
     return rows.select("doc_id", "extraction_type", F.posexplode("__queries").alias("query_seq", "query"))

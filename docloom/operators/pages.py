@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT, Config
 from docloom.functions.headings import heading_title, is_heading
 from docloom.functions.numbers import mean_4dp
-from docloom.functions.text import WS, bound, col, collapse, lines_of, ordered_join, strip
+from docloom.functions.text import WS, bound, col, collapse, head, lines_of, ordered_join, strip
 from docloom.plans.scans import exclusive_scan, once
 
 # Character classes of the quality score.
@@ -197,7 +197,7 @@ def parse_summary(pages: DataFrame, sections: DataFrame, tables: DataFrame, bloc
     return out.fillna(0, ["section_count", "tables_count", "layout_blocks_count"])
 
 
-def layout_blocks(pages: DataFrame, sections: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+def layout_blocks(pages: DataFrame, sections: DataFrame | None = None, tables: DataFrame | None = None, block_chars: int | None = None) -> DataFrame:
     """Heading lines and paragraph runs per page, numbered inside the page, tables after them.
 
     `block_seq` is the position on the page; a paragraph's y is the number of blocks of the
@@ -218,7 +218,7 @@ def layout_blocks(pages: DataFrame, sections: DataFrame | None = None, tables: D
     ).select(
         "doc_id", F.col("page_number").cast("int").alias("page"), "block_seq",
         F.when(F.col("run.heading"), "heading").otherwise("paragraph").alias("type"),
-        F.substring("run.text", 1, 4000).alias("text"),
+        head("run.text", block_chars).alias("text"),
         F.when(F.col("run.heading"), "sectionHeading").otherwise("body").alias("role"),
         F.when(F.col("run.heading"), 0.0)
         .otherwise((F.col("blocks_before") + F.col("block_seq")).cast("double")).alias("y"),
@@ -237,7 +237,7 @@ def layout_blocks(pages: DataFrame, sections: DataFrame | None = None, tables: D
     body = strip(table_to_text("headers", "rows"))
     t = tables.where(body != "").select(
         "doc_id", "page", (F.col("table_idx") + 1_000_000).cast("int").alias("block_seq"), F.lit("table").alias("type"),
-        F.substring(body, 1, 4000).alias("text"), F.lit("table").alias("role"), F.lit(None).cast("double").alias("y"),
+        head(body, block_chars).alias("text"), F.lit("table").alias("role"), F.lit(None).cast("double").alias("y"),
         F.lit(None).cast("int").alias("section_order"),
     )
     return text.select(*cols).unionByName(t)

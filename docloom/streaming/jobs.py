@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.config import DEFAULT, Config
-from docloom.functions.text import col
+from docloom.functions.text import col, head
 from docloom.plans.stage import exists
 
 TERMINAL = ["completed", "failed"]
@@ -67,7 +67,7 @@ def sweep_stale(docs: DataFrame, jobs: DataFrame, now, cfg: Config = DEFAULT, mi
     return stale.select("doc_id", "status", F.when(again, "requeue").otherwise("fail").alias("action"), F.when(~again, reason).alias("reason"))
 
 
-def failure_events(errors: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def failure_events(errors: DataFrame, cfg: Config = DEFAULT, message_chars: int | None = None) -> DataFrame:
     """Retry or fail decision with a structured error per failed attempt (stage, retry_count, message)."""
     stage = F.col("stage")
     kind = (
@@ -76,7 +76,7 @@ def failure_events(errors: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     ok = F.col("retry_count") < cfg.max_retries
     return errors.select("job_id", F.when(ok, "retry").otherwise("fail").alias("action"), F.struct(
-        kind.alias("error_type"), stage.alias("stage"), ok.alias("recoverable"), F.col("retry_count").alias("retry_count"), F.substring("message", 1, 2000).alias("message")
+        kind.alias("error_type"), stage.alias("stage"), ok.alias("recoverable"), F.col("retry_count").alias("retry_count"), head("message", message_chars).alias("message")
     ).alias("error"))
 
 
