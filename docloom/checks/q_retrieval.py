@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from docloom.checks.adapters import BLOCKS_SQL, CHUNKS_SQL, ITEMS_SQL, PAGES_SQL, as_chunks, as_items, as_pages
 from docloom.checks.business import sql_list
+from docloom.checks.limits import L as LIM
 from docloom.checks.q_business import LEXICON_SQL, lexicon
+from docloom.checks.q_pages import WS_SQL
 from docloom.checks.q_sections_chunks import any_sql
-from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.fixed import FOCUSED_TYPES
 from docloom.operators import lexicon as L
@@ -416,7 +417,14 @@ def _(t):
     return R.select_chunks(as_chunks(t.documents), KW, hits(t).where("score >= 0.5"))
 
 
-@query("rt15_wider_selection")
+def _squeeze_sql(side: str) -> str:
+    return rf"trim(regexp_replace(substr(text, greatest(at0 - {side}, 0) + 1, at0 - greatest(at0 - {side}, 0) + n + {side}), '{WS_SQL}+', ' ', 'g'))"
+
+
+WIDER_SQL = FILL_SQL.replace("THEN 14 ELSE 10", "THEN 28 ELSE 20").replace("THEN 8 ELSE 4", "THEN 16 ELSE 8")
+
+
+@query("rt15_wider_selection", f"WITH {WIDER_SQL} SELECT doc_id, extraction_type, chunk_order, rn AS pos FROM tk UNION ALL SELECT doc_id, extraction_type, chunk_order, fill_seq + 1000 FROM fl")
 def _(t):
     return R.wider_selection(as_chunks(t.documents), KW)
 
@@ -455,9 +463,12 @@ def _(t):
     return t.documents.select("doc_id", R.trim_middle("text", 8000, "|...|").alias("text"))
 
 
-@query("rt24_keyword_search")
+@query("rt24_keyword_search", rf"""WITH {PAGES_SQL}, h AS (SELECT doc_id, page_number, text, regexp_extract_all(text, '(?i)bid|project|the') AS hs, regexp_split_to_array(text, '(?i)bid|project|the') AS gs FROM page_rows),
+e AS (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM h),
+p AS (SELECT doc_id, page_number, i - 1 AS seq, hs[i] AS term, length(hs[i]) AS n, text, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS at0 FROM e)
+SELECT doc_id, page_number, seq, term, {_squeeze_sql('45')} AS snippet, {_squeeze_sql('15')} AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, seq) AS rn FROM p QUALIFY rn <= 300""")
 def _(t):
-    return R.keyword_search(as_pages(t.documents), ["bid", "project", "the"])
+    return R.keyword_search(as_pages(t.documents), ["bid", "project", "the"], 300)
 
 
 @query("rt25_keyword_map", """SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'own:' || c_name || ':a,b' ELSE 'd1:One:x,y;d2:Two:z' END AS map, c_mktsegment = 'BUILDING' AS customised FROM customer""")

@@ -285,7 +285,7 @@ mc AS (SELECT doc_id, min(section_order) AS section_order, count(*) FILTER (WHER
    min(page_start) AS page_start, max(page_end) AS page_end FROM runs2 WHERE cover GROUP BY doc_id, run),
 logical AS (
   SELECT doc_id, section_order, CASE WHEN nt = 1 THEN ft ELSE 'Cover / Front Matter' END AS title, content, page_start, page_end, 1 AS level,
-    CASE WHEN nt = 1 THEN ft ELSE 'Cover / Front Matter' END AS section_path, NULL AS parent_section_order, 'cover_metadata' AS chunk_type FROM mc
+    CASE WHEN nt = 1 THEN ft ELSE 'Cover / Front Matter' END AS section_path, CAST(NULL AS BIGINT) AS parent_section_order, 'cover_metadata' AS chunk_type FROM mc
   UNION ALL SELECT doc_id, section_order, title, content, page_start, page_end, level, section_path, parent_section_order, {ctype_sql()}
   FROM cov WHERE NOT cover AND content <> '')"""
 
@@ -328,12 +328,39 @@ def _(t):
     return text.select("doc_id", F.posexplode(C.text_units("text")).alias("unit_no", "unit"))
 
 
-@query("ch6_split_with_overlap")
+def parts_sql(source: str, most: int = 1600, tail: int = 160) -> str:
+    """CTEs that split the texts of `source` (id, text) into `parts` (id, leaf, n_leaves, part); the fold is a recursion over pieces."""
+    ws = WS_SQL
+    return rf"""
+split_b AS (SELECT id, bi, {strip_sql('bs[bi]')} AS b FROM (SELECT id, bs, unnest(range(1, len(bs) + 1)) AS bi FROM (SELECT id, regexp_split_to_array(text, '\n{ws}*\n') AS bs FROM {source}))),
+split_l AS (SELECT id, bi, li, {strip_sql('ls[li]')} AS line FROM (SELECT id, bi, ls, unnest(range(1, len(ls) + 1)) AS li FROM (SELECT id, bi, string_split(b, chr(10)) AS ls FROM split_b WHERE b <> ''))),
+split_u AS (SELECT *, sum(CASE WHEN li > 1 AND regexp_matches(line, '^\d+(\.\d+)+{ws}+[A-Za-z]') THEN 1 ELSE 0 END) OVER (PARTITION BY id, bi ORDER BY li) AS un FROM split_l),
+split_n AS (SELECT id, bi, un, string_agg(line, chr(10) ORDER BY li) AS unit FROM split_u GROUP BY 1, 2, 3),
+split_x AS (SELECT id, bi, un, xs, length(unit) > {most} AS long, unnest(range(1, len(xs) + 1)) AS k FROM (SELECT *, CASE WHEN length(unit) > {most} THEN string_split(unit, chr(10)) ELSE [unit] END AS xs FROM split_n)),
+split_p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY bi, un, k) AS i, xs[k] AS t, CASE WHEN long THEN 1 ELSE 2 END AS gap, long AND k = 1 AS opens, count(*) OVER (PARTITION BY id) AS n FROM split_x),
+split_r AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS part, CAST(0 AS BIGINT) AS used, n FROM split_p
+  UNION ALL SELECT id, i, list_concat(done, list_filter([CASE WHEN carry THEN part END, CASE WHEN rest IS NOT NULL AND gap = 1 AND spent + size > {most} THEN rest END], lambda x: x IS NOT NULL)),
+    CASE WHEN rest IS NULL OR (gap = 1 AND spent + size > {most}) THEN t ELSE rest || chr(10) || chr(10) || t END,
+    CASE WHEN rest IS NOT NULL AND gap = 1 AND spent + size > {most} THEN length(t) ELSE CASE WHEN rest IS NULL AND NOT carry THEN 0 ELSE spent END + size END, n
+  FROM (SELECT *, CASE WHEN carry THEN CASE WHEN {strip_sql(f'right(part, {tail})')} <> '' THEN right(part, {tail}) END ELSE part END AS rest, CASE WHEN carry THEN length(right(part, {tail})) ELSE used END AS spent
+    FROM (SELECT split_p.id, split_p.i, done, part, used, split_p.n, t, gap, length(t) + gap AS size, part IS NOT NULL AND (opens OR (gap = 2 AND used + length(t) + gap > {most})) AS carry FROM split_r JOIN split_p ON split_p.id = split_r.id AND split_p.i = split_r.i + 1))),
+split_e AS (SELECT id, unnest(range(1, len(xs) + 1)) AS j, xs FROM (SELECT id, list_filter(list_transform(list_append(done, part), lambda x: {strip_sql('x')}), lambda x: x <> '') AS xs FROM split_r WHERE i = n)),
+split_k AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS j, CAST([] AS VARCHAR[]) AS kept, CAST(len(xs) AS BIGINT) AS n FROM split_e
+  UNION ALL SELECT split_e.id, split_e.j, CASE WHEN length(xs[split_e.j]) < {tail} AND coalesce(contains(kept[-1], xs[split_e.j]), false) THEN kept ELSE list_append(kept, xs[split_e.j]) END, n FROM split_k JOIN split_e ON split_e.id = split_k.id AND split_e.j = split_k.j + 1),
+parts AS (SELECT id, leaf - 1 AS leaf, len(kept) AS n_leaves, kept[leaf] AS part FROM (SELECT id, kept, unnest(range(1, len(kept) + 1)) AS leaf FROM split_k WHERE j = n))"""
+
+
+@query("ch6_split_with_overlap", f"WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {parts_sql('src')} SELECT id AS doc_id, leaf AS part, part AS text FROM parts")
 def _(t):
     return t.documents.select("doc_id", F.posexplode(C.split_with_overlap("text")).alias("part", "text"))
 
 
-@query("ch7_section_chunks")
+@query("ch7_section_chunks", f"""WITH RECURSIVE {LOGICAL_SQL.strip()},
+typed AS (SELECT * REPLACE (CASE WHEN chunk_type = 'general_section' THEN {ctype_sql()} ELSE chunk_type END AS chunk_type) FROM logical),
+src AS (SELECT doc_id || '-' || section_order AS id, content AS text FROM logical), {parts_sql('src')}
+SELECT doc_id, title AS section_title, part AS chunk_text, CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end, chunk_type, section_order, CAST(level AS BIGINT) AS section_level, section_path, CAST(parent_section_order AS BIGINT) AS parent_section_order,
+  leaf AS leaf_index, CAST(n_leaves AS BIGINT) AS leaf_count, substr(content, 1, 6000) AS parent_text, length(content) AS parent_char_count, {tags_sql('title', 'chunk_type')} AS tags, regexp_extract(title, '^(\\d+(\\.\\d+)*)', 1) AS section_prefix, CASE WHEN leaf > 0 THEN 160 ELSE 0 END AS overlap_chars
+FROM typed JOIN parts ON parts.id = doc_id || '-' || section_order""")
 def _(t):
     return C.section_chunks(logical(t), limits=LIM).withColumn("tags", F.array_join("tags", ","))
 

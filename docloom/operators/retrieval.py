@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
 from docloom.fixed import FOCUSED_TYPES
-from docloom.functions.text import WS, col, contains_any, count_contained, head, literal_array, ordered_join, strip
+from docloom.functions.text import WS, col, contains_any, count_contained, head, literal_array, ordered_join, strip, within
 from docloom.operators.chunks import SECTION_TAGS
 from docloom.plans.stage import cut
 
@@ -421,7 +421,7 @@ def batch_requests(selected: DataFrame, chunks: DataFrame, identity: DataFrame |
     return g.withColumn("model", tier)
 
 
-def keyword_search(pages: DataFrame, terms: list[str], limit: int = 300) -> DataFrame:
+def keyword_search(pages: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
     """Case-insensitive occurrences of literal terms with snippets, in page order.
 
     Positions come from splitting the page at the matches; the limit per document is applied
@@ -451,7 +451,7 @@ def keyword_search(pages: DataFrame, terms: list[str], limit: int = 300) -> Data
         squeeze(F.substr("text", lo15 + 1, at - lo15 + n + 15)).alias("anchor"),
     )
     w = Window.partitionBy("doc_id").orderBy("page_number", "seq")
-    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    return found.withColumn("rn", F.row_number().over(w)).where(within("rn", limit))
 
 
 def keyword_map(users: DataFrame, defaults: list[tuple[str, str, list[str]]]) -> DataFrame:
