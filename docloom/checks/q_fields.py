@@ -196,9 +196,10 @@ def notes(t):
 
 @query("fd14_attach_notes", f"""WITH {SPEC_SQL}, n AS (SELECT l_orderkey AS doc_id, ['site_visit_date_time', 'bid_deadline_date_time', 'project_document_acquisition_note'][CAST(max(l_partkey) % 3 + 1 AS INTEGER)] AS fk,
    CASE WHEN max(l_partkey) % 2 = 0 THEN 'Mandatory visit ' ELSE 'Not mandatory ' END || max(l_partkey) AS n, max(l_partkey) % 2 = 0 AS m FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
-f AS (SELECT doc_id, field_key, min(row_seq) AS r FROM spec GROUP BY 1, 2)
-SELECT s.doc_id, s.field_key, s.row_seq, coalesce(n.n, nullif(note, '')) AS note, CASE WHEN n.fk = 'site_visit_date_time' THEN m END AS mandatory, not_found FROM spec s LEFT JOIN f ON f.doc_id = s.doc_id AND f.r = s.row_seq LEFT JOIN n ON n.doc_id = f.doc_id AND n.fk = f.field_key
-UNION ALL SELECT n.doc_id, fk, 1152921504606846976 + 10 + CASE fk WHEN 'bid_deadline_date_time' THEN 1 ELSE 6 END, n.n, CASE WHEN fk = 'site_visit_date_time' THEN m END, true FROM n LEFT JOIN f ON f.doc_id = n.doc_id AND f.field_key = fk WHERE f.r IS NULL AND fk <> 'project_document_acquisition_note'""")
+w AS (SELECT doc_id, field_key, row_seq, note, not_found, row_number() OVER (PARTITION BY doc_id, field_key ORDER BY row_seq) AS r FROM spec),
+f AS (SELECT w.doc_id, w.field_key, w.row_seq, n.n AS nn, n.fk, n.m FROM w JOIN n ON n.doc_id = w.doc_id AND n.fk = w.field_key WHERE w.r = 1)
+SELECT w.doc_id, w.field_key, w.row_seq, coalesce(f.nn, nullif(w.note, '')) AS note, CASE WHEN f.fk = 'site_visit_date_time' THEN f.m END AS mandatory, w.not_found FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.field_key = w.field_key AND f.row_seq = w.row_seq
+UNION ALL SELECT n.doc_id, n.fk, 1152921504606846976 + 10 + CASE n.fk WHEN 'bid_deadline_date_time' THEN 1 ELSE 6 END, n.n, CASE WHEN n.fk = 'site_visit_date_time' THEN n.m END, true FROM n ANTI JOIN f ON f.doc_id = n.doc_id AND f.fk = n.fk WHERE n.fk <> 'project_document_acquisition_note'""")
 def _(t):
     return FD.attach_notes(spec(t), notes(t)).select("doc_id", "field_key", "row_seq", "note", "mandatory", "not_found")
 
