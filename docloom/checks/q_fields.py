@@ -248,11 +248,18 @@ def _(t):
     return out.select("doc_id", "field_key", "row_seq", F.trim(F.regexp_extract("text", r"(?s)^[A-Za-z ]+: (.*)$", 1)).alias("v"))
 
 
-@query("fd18_address_score", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 0 END::BIGINT AS score, s_suppkey % 4 = 0 AS bare FROM supplier""")
-def _(t):
-    k = F.col("s_suppkey") % 4
-    v = F.when(k == 0, "In the City of Bell Gardens").when(k == 1, "410 Oak Road").when(k == 2, "410 Oak Road, Dayton, OH 45402").otherwise("Clark County")
-    return t.supplier.select("s_suppkey", FD.address_score(v).alias("score"), FD.is_bare_jurisdiction(v).alias("bare"))
+@query("fd18_address_score", r"""WITH n AS (SELECT s_suppkey AS id, upper(n_name) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+a AS (SELECT id, 1 AS kind, 'City of ' || v AS v FROM n UNION ALL SELECT id, 2, s_name || ', ' || v || ' AB ' || (10000 + id) FROM n JOIN supplier ON s_suppkey = id UNION ALL SELECT doc_id, 3, trim(split_part(text, chr(10), 1)) FROM documents),
+b AS (SELECT *, regexp_matches(v, '(^|\W)\d{2,6}(\W|$)') AS st, contains(v, ',') AS cm, regexp_matches(v, '(^|\W)[A-Z]{2}\s+\d{5}(-\d{4})?(\W|$)') AS zip FROM a),
+c AS (SELECT *, regexp_matches(v, '(?i)^\s*(in\s+the\s+city\s+of|city\s+of)(\W|$)') AND NOT cm AND NOT st AS bare FROM b)
+SELECT id, kind, CASE WHEN v = '' OR bare THEN 0 ELSE st::INT * 2 + cm::INT + zip::INT END::BIGINT AS score, bare FROM c""")
+def _(t):
+    n = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.upper("n_name").alias("v"), "s_name")
+    place = n.select("id", F.lit(1).alias("kind"), F.concat(F.lit("City of "), "v").alias("v"))
+    full = n.select("id", F.lit(2).alias("kind"), F.concat("s_name", F.lit(", "), "v", F.lit(" AB "), (F.col("id") + 10000).cast("string")).alias("v"))
+    lines = t.documents.select(F.col("doc_id").alias("id"), F.lit(3).alias("kind"), F.trim(F.split("text", "\n")[0]).alias("v"))
+    a = place.unionByName(full).unionByName(lines)
+    return a.select("id", "kind", FD.address_score("v").alias("score"), FD.is_bare_jurisdiction("v").alias("bare"))
 
 
 @query("fd19_merge_locations", f"""WITH {WORDED_SQL}, l AS (SELECT doc_id, nv, k, max((citation_verified, confidence, -row_seq)) AS q, count(*) AS c FROM wv WHERE field_key = 'project_location' GROUP BY 1, 2, 3),

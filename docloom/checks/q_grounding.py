@@ -29,10 +29,14 @@ _CASE = " ".join(f"WHEN '{v}' THEN '{c}'" for c, vs in G.LABEL_ALIASES.items() f
 _LIST = "[" + ", ".join(f"'{v}'" for v in _VARIANTS) + "]"
 
 
-@query("gr2_canonical_label", f"SELECT o_orderkey, CASE v {_CASE} ELSE upper(replace(v, '_', ' ')) END AS label FROM (SELECT o_orderkey, {_LIST}[CAST(o_orderkey % {len(_VARIANTS)} + 1 AS INTEGER)] AS v FROM orders)")
+@query("gr2_canonical_label", f"""WITH {ITEMS_SQL}, e AS (SELECT event_type, event_id FROM events)
+SELECT doc_id, item_seq, CASE label {_CASE} ELSE upper(replace(label, '_', ' ')) END AS label FROM items
+UNION ALL SELECT event_id, -1, CASE event_type || '_date_time' {_CASE} ELSE upper(event_type) || ' DATE TIME' END FROM e""")
 def _(t):
-    v = F.element_at(F.array(*[F.lit(x) for x in _VARIANTS]), (F.col("o_orderkey") % len(_VARIANTS) + 1).cast("int"))
-    return t.orders.select("o_orderkey", G.canonical_label(F.upper(F.replace(v, F.lit("_"), F.lit(" ")))).alias("label"))
+    spoken = lambda c: G.canonical_label(F.upper(F.replace(c, F.lit("_"), F.lit(" "))))
+    items = as_items(t.documents).select("doc_id", F.col("item_seq").cast("bigint").alias("item_seq"), spoken(F.col("label")).alias("label"))
+    events = t.events.select(F.col("event_id").alias("doc_id"), F.lit(-1).cast("bigint").alias("item_seq"), spoken(F.concat("event_type", F.lit("_date_time"))).alias("label"))
+    return items.unionByName(events)
 
 
 def batched(t):
@@ -172,7 +176,7 @@ def id_items(t):
 @query("gr18_backfill_ids", rf"""WITH {PAGES_SQL}, cv AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number) AS c FROM page_rows WHERE page_number <= 5 GROUP BY 1)
 SELECT doc_id, 'Project No.: ' || regexp_extract(c, '(?i)PROJECT\s*NO\.?\s*:?\s*([A-Z0-9][-A-Z0-9/]*)', 1) AS value FROM cv WHERE regexp_matches(c, '(?i)PROJECT\s*NO\.?\s*:?\s*([A-Z0-9][-A-Z0-9/]*)')""")
 def _(t):
-    return G.backfill_ids(as_pages(t.documents), id_items(t), 5).where("value like 'Project No.%'").select("doc_id", "value")
+    return G.backfill_ids(as_pages(t.documents), id_items(t), 5).select("doc_id", "value")
 
 
 @query("gr19_backfill_contract_time", rf"""WITH {ITEMS_SQL}, {PAGE_ROWS_SQL},

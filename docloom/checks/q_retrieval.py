@@ -185,12 +185,9 @@ ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY extraction_type
 g AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term_seq) AS o FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(term)) ORDER BY term_seq) AS rn FROM mined) WHERE rn = 1),
 docs6 AS (SELECT doc_id, string_agg(trim(term), ' ' ORDER BY o) AS tq, count(*) AS n FROM g WHERE o <= 6 GROUP BY 1)
 SELECT d.doc_id, st.extraction_type, q AS query FROM docs6 d CROSS JOIN st UNION ALL SELECT d.doc_id, ld.extraction_type, term_display FROM docs6 d CROSS JOIN ld
-UNION ALL SELECT doc_id, ty, tq FROM docs6 CROSS JOIN (SELECT unnest({sql_list(FOCUSED_TYPES)}) AS ty) WHERE n = 6""")
+UNION ALL SELECT doc_id, ty, tq FROM docs6 CROSS JOIN (SELECT unnest({sql_list(FOCUSED_TYPES)}) AS ty)""")
 def _(t):
-    out = L.queries_for_types(L.document_lexicon(mined(t), L.load_lexicon(lexicon(t).where("entry_kind = 'query'"), LIM.lexicon_terms)), LIM)
-    full = mined(t).withColumn("k", F.lower("term")).groupBy("doc_id").agg(F.count_distinct("k").alias("n"))
-    last = out.groupBy("doc_id", "extraction_type").agg(F.max("query_seq").alias("query_seq")).join(full.where("n < 6"), "doc_id", "left_semi")
-    return out.join(last, ["doc_id", "extraction_type", "query_seq"], "left_anti").drop("query_seq")
+    return L.queries_for_types(L.document_lexicon(mined(t), L.load_lexicon(lexicon(t).where("entry_kind = 'query'"), LIM.lexicon_terms)), LIM).drop("query_seq")
 
 
 @query("lx14_unknown_labels", f"WITH {ITEMS_SQL} SELECT label, count(*) AS n FROM items WHERE label NOT IN ('project_name', 'owner') GROUP BY 1")
@@ -287,9 +284,10 @@ def _(t):
 
 
 def search_chunks(t):
-    """Documents that have a vector, grouped by vector label."""
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(
-        F.col("label").cast("bigint").alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_order"), F.col("text").alias("chunk_text"),
+    """All documents as chunks; vectors are dealt to them in turn, and the vector's label groups them."""
+    vectors = t.embeddings.agg(F.count("*")).scalar()
+    return t.documents.withColumn("at", F.pmod("doc_id", vectors)).join(t.embeddings, F.col("at") == F.col("vec_id")).select(
+        F.col("label").cast("bigint").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_order"), F.col("text").alias("chunk_text"),
         F.col("source").alias("section_title"), F.array("lang").alias("tags"), "embedding")
 
 
@@ -300,7 +298,7 @@ def search_queries(t):
 
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 BM25_SQL = f"""
-sc AS (SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS chunk_id, {TOK.format("text || ' ' || source || ' ' || lang")} AS toks, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+sc AS (SELECT CAST(label AS BIGINT) AS doc_id, doc_id AS chunk_id, {TOK.format("text || ' ' || source || ' ' || lang")} AS toks, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id),
 qq AS (SELECT item_id AS query_id, item_id % 10 AS doc_id, list_distinct({TOK.format('text')}) AS ts, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON item_id = vec_id),
 qt AS (SELECT query_id, doc_id, unnest(ts) AS term FROM qq), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM sc),
 tf AS (SELECT doc_id, chunk_id, dl, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, len(toks) AS dl, unnest(toks) AS term FROM sc) GROUP BY 1, 2, 3, 4), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -331,11 +329,11 @@ def _(t):
     return R.rrf(r, ("doc_id", "chunk_id")).withColumn("score", F.round("score", 6))
 
 
-@query("rt10_prefer_rerank", f"""WITH {HITS_SQL}, p AS (SELECT doc_id, chunk_id, chunk_order, CASE WHEN chunk_order % 2 = 0 THEN chunk_order / 100 ELSE score END AS score FROM hits WHERE extraction_type = 'payment_terms')
-SELECT doc_id, chunk_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_order, chunk_id) - 1 AS rank FROM p""")
+@query("rt10_prefer_rerank", f"""WITH {HITS_SQL}, p AS (SELECT doc_id, extraction_type, chunk_id, chunk_order, CASE WHEN chunk_order % 2 = 0 THEN chunk_order / 100 ELSE score END AS score FROM hits)
+SELECT doc_id, extraction_type, chunk_id, score, row_number() OVER (PARTITION BY doc_id, extraction_type ORDER BY score DESC, chunk_order, chunk_id) - 1 AS rank FROM p""")
 def _(t):
-    h = hits(t).where("extraction_type = 'payment_terms'").withColumn("query_id", F.col("doc_id")).withColumn("rerank_score", F.when(F.col("chunk_order") % 2 == 0, F.col("chunk_order") / 100))
-    return R.prefer_rerank(h).select("doc_id", "chunk_id", "score", "rank")
+    h = hits(t).withColumn("query_id", F.concat_ws("-", F.col("doc_id").cast("string"), "extraction_type")).withColumn("rerank_score", F.when(F.col("chunk_order") % 2 == 0, F.col("chunk_order") / 100))
+    return R.prefer_rerank(h).select("doc_id", "extraction_type", "chunk_id", "score", "rank")
 
 
 KW = R.default_keywords()
