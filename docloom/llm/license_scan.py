@@ -117,3 +117,24 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
     )
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def scan_sql(templates: tuple[Template, ...] = PHRASES + NOTICES) -> str:
+    """The scan of `documents` in SQL, for checks."""
+    rows = ", ".join(f"({i}, '{t.label}', {str(t.exact).lower()}, '{t.text}')" for i, t in enumerate(templates))
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT t, label, exact, string_split(txt, ' ') AS tw, len(string_split(txt, ' ')) AS n FROM (VALUES {rows}) v(t, label, exact, txt)),
+tg AS (SELECT t, q, tw[q + 1] || ' ' || tw[q + 2] AS gram FROM (SELECT t, tw, unnest(range(0, n - 1)) AS q FROM t)),
+g AS (SELECT doc_id, p - 1 AS p, ws[p] || ' ' || ws[p + 1] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w)),
+m AS (SELECT doc_id, t, p - q AS d, q FROM g JOIN tg USING (gram)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d) AS sp FROM (
+  SELECT doc_id, t, d, CASE WHEN exact OR d - lag(d) OVER (PARTITION BY doc_id, t ORDER BY d) <= {NEAR} IS NOT TRUE THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT doc_id, t, d FROM m) JOIN t USING (t))),
+c AS (SELECT doc_id, t, sp, min(d) AS d, count(DISTINCT q) AS dq, count(DISTINCT x) AS covered FROM (SELECT doc_id, t, sp, m.d, q, unnest([q, q + 1]) AS x FROM m JOIN s USING (doc_id, t, d)) GROUP BY 1, 2, 3),
+f AS (SELECT c.*, label, exact, covered / n AS share, dq = n - 1 AS whole FROM c JOIN t USING (t)),
+r AS (SELECT doc_id, count(*) FILTER (exact AND whole) AS n_base, min(d) FILTER (exact AND whole) AS first_word, max(d) FILTER (exact AND whole) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN whole ELSE share >= {MATCH} END) AS labels,
+  max(CASE WHEN NOT exact OR whole THEN share ELSE 0 END) AS score FROM f GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN r USING (doc_id)
+"""

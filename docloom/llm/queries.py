@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, warc
-
 from docloom.llm.common import prepared
 
 
@@ -72,6 +71,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM d GROUP BY doc_id
 """,
     "op2_url_filter": url_filter.JUDGE_SQL,
+    "op5_license_scan": license_scan.scan_sql(),
     "op6_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 q AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
