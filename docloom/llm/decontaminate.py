@@ -237,3 +237,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
         docs = docs.mapInArrow(run, fields)
     return docs
+
+
+#: The best windows of `documents` for items of at least WORDS words, in SQL, for checks.
+WINDOWS_SQL = rf"""
+WITH i AS (SELECT item_id, ws, len(ws) - {WORDS - 1} AS m FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x80-\x{{10FFFF}}]+') AS ws FROM benchmark)),
+ig AS (SELECT item_id, m, array_to_string(ws[j:j + {WORDS - 1}], ' ') AS gram, count(*) AS ci FROM (SELECT item_id, ws, m, unnest(range(1, m + 1)) AS j FROM i WHERE m > 0) GROUP BY ALL),
+d AS (SELECT doc_id, ws, len(ws) - {WORDS - 1} AS n FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x80-\x{{10FFFF}}]+') AS ws FROM documents)),
+dg AS (SELECT doc_id, n, p - 1 AS p, array_to_string(ws[p:p + {WORDS - 1}], ' ') AS gram FROM (SELECT doc_id, ws, n, unnest(range(1, n + 1)) AS p FROM d WHERE n > 0)),
+h AS (SELECT doc_id, item_id, p, gram, ci, m, n, least(m, n) AS size FROM dg JOIN ig USING (gram)),
+s AS (SELECT DISTINCT doc_id, item_id, size, m, unnest(range(greatest(0, p - size + 1), least(p, n - size) + 1)) AS s FROM h),
+c AS (SELECT s.doc_id, s.item_id, s.s, s.size, s.m, h.gram, least(count(*), any_value(h.ci)) AS shared FROM s JOIN h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.p BETWEEN s.s AND s.s + s.size - 1 GROUP BY ALL),
+w AS (SELECT doc_id, item_id, s, size, sum(shared) / (m + size - sum(shared)) AS score FROM c GROUP BY doc_id, item_id, s, size, m)
+SELECT doc_id, item_id, s AS start_word, size + {WORDS - 1} AS n_words, round(score, 9) AS similarity FROM w WHERE score >= {SIMILARITY}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, s) = 1
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, warc
 from docloom.llm.common import prepared
@@ -38,7 +39,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 9).alias("similarity"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,7 @@ SELECT q.page_id, q.payload_bytes, q.payload_digest, CASE WHEN q.page_id <> g.fi
        CASE WHEN q.page_id <> g.first THEN g.first END AS refers_to
 FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """,
+    "op7_decontamination": decontaminate.WINDOWS_SQL,
     "op9_top_k": r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
