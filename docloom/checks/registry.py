@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from docloom.plans.stage import safe_unions
 
-# session key: number of partitions that documents and pages are dealt to, for single-file inputs on one machine
+# session key: number of partitions that these tables are dealt to, for single-file inputs on one machine
+DEALT = ("documents", "pages", "lineitem", "orders")
 INPUT_PARTITIONS = "docloom.input.partitions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ class Tables:
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         parts = self.spark.conf.get(INPUT_PARTITIONS, None)
-        return df.repartition(int(parts)) if parts and name in ("documents", "pages") else df
+        return df.repartition(int(parts)) if parts and name in DEALT else df
 
 
 def _plain(df: DataFrame) -> DataFrame:

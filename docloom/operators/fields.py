@@ -149,17 +149,22 @@ def build_spec_rows(items: DataFrame, key_chars: int | None = None, scope_chars:
     bond = own.isin(list(BOND_LABELS)) & (detail != "")
     bkey = F.concat(blabel, F.lit(":"), head(detail, key_chars))
     aside = F.when(detail != "", detail).otherwise(strip(_text("requirement")))
-    found = F.array_compact(F.array(
-        _entry(1, (t == "eligibility_criteria") & plain, bucket, l, named, short),
-        _entry(2, (t == "mandatory_documents") & plain, bucket, l, named, short),
-        _entry(3, (t == "scope_of_work") & (l == "project_description") & there, meta, l, named, F.concat(l, F.lit(":"), head(v, scope_chars))),
-        _entry(4, (t == "payment_terms") & there, meta, F.lit("project_value"), F.concat(F.coalesce(shown, F.lit("Project value")), F.lit(": "), v), F.concat(F.lit("project_value:"), head(v, key_chars))),
-        _entry(5, (t == "technical_requirements") & (bucket == "project_size_location_items") & there, bucket, l, named, short),
-        _entry(6, (t == "submission_deadlines") & either.isin(list(DEADLINE_LABELS)) & (when != ""), F.lit("project_dates"), dk, dlabel, F.concat(dlabel, F.lit(":"), head(when, key_chars)), when, date_grounded(when, "source_text")),
-        _entry(7, (t == "penalties_and_risks") & bond, F.lit("bond_items"), own, blabel, bkey, detail),
-        _entry(8, (t == "mandatory_documents") & bond, F.lit("bond_items"), own, blabel, bkey, detail),
-        _entry(9, (t == "set_asides") & either.isin(SET_ASIDE_KEYS) & (aside != ""), F.lit("set_aside_items"), either, F.when(either == "set_aside", aside).otherwise(F.concat(F.lit("Set-aside: "), aside)), F.concat(either, F.lit(":"), head(aside, key_chars))),
-    ))
+    # only the rules of an item's own type are tried
+    rules = {
+        "eligibility_criteria": [_entry(1, plain, bucket, l, named, short)],
+        "mandatory_documents": [_entry(2, plain, bucket, l, named, short), _entry(8, bond, F.lit("bond_items"), own, blabel, bkey, detail)],
+        "scope_of_work": [_entry(3, (l == "project_description") & there, meta, l, named, F.concat(l, F.lit(":"), head(v, scope_chars)))],
+        "payment_terms": [_entry(4, there, meta, F.lit("project_value"), F.concat(F.coalesce(shown, F.lit("Project value")), F.lit(": "), v), F.concat(F.lit("project_value:"), head(v, key_chars)))],
+        "technical_requirements": [_entry(5, (bucket == "project_size_location_items") & there, bucket, l, named, short)],
+        "submission_deadlines": [_entry(6, either.isin(list(DEADLINE_LABELS)) & (when != ""), F.lit("project_dates"), dk, dlabel, F.concat(dlabel, F.lit(":"), head(when, key_chars)), when, date_grounded(when, "source_text"))],
+        "penalties_and_risks": [_entry(7, bond, F.lit("bond_items"), own, blabel, bkey, detail)],
+        "set_asides": [_entry(9, either.isin(SET_ASIDE_KEYS) & (aside != ""), F.lit("set_aside_items"), either, F.when(either == "set_aside", aside).otherwise(F.concat(F.lit("Set-aside: "), aside)), F.concat(either, F.lit(":"), head(aside, key_chars)))],
+    }
+    found = None
+    for kind, entries in rules.items():
+        own_rules = F.array(*entries)
+        found = F.when(t == kind, own_rules) if found is None else found.when(t == kind, own_rules)
+    found = F.array_compact(found)
     verified = F.coalesce("citation_verified", F.lit(False))
     conf = field_confidence(extraction_confidence("confidence"), "citation_verified", _text("source_text") != "", F.lit(False), F.lit(False))
     rows = it.select("doc_id", "item_seq", "page", "section", "source_text", verified.alias("__verified"), conf.alias("confidence"), F.explode(found).alias("f")).select(
