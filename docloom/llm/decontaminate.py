@@ -13,7 +13,9 @@ could be verified is left out by this.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,8 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS, size: int = WORDS):
         self.similarity, self.radius = similarity, radius
+        exact = Fraction(str(similarity))
+        self.share = exact / (1 + exact)
         self.ids, self.words, self.sizes, self.hashes, self.counts, self.fps = [], [], [], [], [], []
         where: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
@@ -150,7 +154,7 @@ class Items:
 
     def _best(self, n: int, own: np.ndarray, hits: np.ndarray, k: int) -> tuple[int, int, int, float] | None:
         size = min(len(self.hashes[n]), len(own))
-        need = self.similarity * (len(self.hashes[n]) + size) / (1 + self.similarity)
+        need = math.ceil(self.share * (len(self.hashes[n]) + size))
         starts = self._starts(hits, size, len(own), need)
         if not len(starts):
             return None
@@ -173,7 +177,7 @@ class Items:
         return best
 
     @staticmethod
-    def _starts(hits: np.ndarray, size: int, total: int, need: float) -> np.ndarray:
+    def _starts(hits: np.ndarray, size: int, total: int, need: int) -> np.ndarray:
         """Window offsets that hold at least `need` of the hits."""
         if len(hits) < need:
             return np.empty(0, np.int64)

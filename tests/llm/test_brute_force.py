@@ -202,6 +202,17 @@ def test_decontamination(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_at_exactly_the_similarity():
+    """A window whose needed shingles are a whole number, which floats round up: 56 of 63 left intact are 56/70."""
+    for n in (67, 130, 256):
+        item = [f"w{i}" for i in range(n)]
+        left = (n - 4) * 8 // 9 + 4
+        words = item[:left] + [f"x{i}" for i in range(n - left)]
+        assert plain_best(words, item) == 0.8
+        found = decontaminate.Items([(1, " ".join(item))]).matches(decontaminate.word_hashes(decontaminate.normalise(" ".join(words).encode())))
+        assert [(m[0], m[4]) for m in found] == [(1, 0.8)], n
+
+
 def test_decontamination_long_text_in_chunks(monkeypatch):
     text = decontaminate.normalise(("Some, words. here " * 300).encode())
     whole = decontaminate.word_hashes(text)
