@@ -13,6 +13,8 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,22 +140,82 @@ def _kind(data: bytes | None) -> str | None:
     return "der" if is_key(data) else "keyfile" if is_keyfile(data) else None
 
 
-def _parts(run: str) -> list[str]:
-    """The run as a whole, and its lines up to where the length in the DER header says that a key ends."""
-    lines = run.split("\n")
-    out = [run] if len(lines) == 1 else [run, lines[0].rstrip("\r")]
-    head = unbase64(lines[0][:40])
-    if len(lines) > 1 and head and head[0] == 0x30 and len(head) > 6:
-        n = head[1] & 0x7F if head[1] > 0x80 else 0
-        total = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-        size = at = 0
-        for line in lines:
-            at += len(line) + 1
-            size += len(line.rstrip("\r="))
-            if size >= -(-total * 4 // 3):
-                out.append(run[: at - 1].rstrip("\r"))
-                break
-    return out
+def _peek(chars: str, start: int, at: int, size: int) -> bytes:
+    """`size` bytes at byte `at` of what is encoded from character `start`."""
+    first = start + at // 3 * 4
+    part = chars[first : first + (at % 3 + size + 2) // 3 * 4]
+    return (unbase64(part[: len(part) - (len(part) % 4 == 1)]) or b"")[at % 3 : at % 3 + size]
+
+
+def _fields(chars: str, start: int) -> Iterator[int]:
+    """Ends, in bytes, behind which a key file that begins at a character may be whole."""
+
+    def number(at: int) -> int | None:
+        raw = _peek(chars, start, at, 4)
+        return int.from_bytes(raw, "big") if len(raw) == 4 else None
+
+    if _peek(chars, start, 0, 15) == b"openssh-key-v1\0":
+        at = 15
+        for _ in range(3):
+            if (size := number(at)) is None:
+                return
+            at += 4 + size
+        keys = number(at)
+        at += 4
+        for _ in range(0 if keys is None else keys + 1):
+            if (size := number(at)) is None:
+                return
+            at += 4 + size
+        if keys is not None:
+            yield at
+        return
+    at, n = 0, 0
+    while (size := number(at)) is not None:
+        if size <= 67 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", _peek(chars, start, at + 4, size)):
+            if n:
+                return  # the next key begins
+        elif not n:
+            return
+        at += 4 + size
+        n += 1
+        if n >= 2:
+            yield at
+
+
+def _keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in a run of base64 lines.
+
+    Every line may begin a key, and its own lengths say behind which line it ends. The search goes on behind a
+    key, and with the next line where there was none.
+    """
+    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\r\n]+", run)]
+    sizes = [len(run[a:b].rstrip("=")) for a, b in lines]
+    chars = "".join(run[a : a + n] for (a, _), n in zip(lines, sizes, strict=True))
+    before = [0, *accumulate(sizes)]
+    ends = {n: i for i, n in enumerate(before)}  # characters up to an end of line: the number of lines
+    at = 0
+    while at < len(lines):
+        start = before[at]
+        behind, kind = None, None
+        if chars.startswith("M", start):  # a DER sequence
+            head = _peek(chars, start, 0, 6)
+            n = head[1] & 0x7F if len(head) > 1 and head[1] > 0x80 else 0
+            total = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1] if len(head) > 1 else 0)
+            behind = ends.get(start - (-total * 4 // 3))
+            kind = _kind(unbase64(chars[start : before[behind]])) if behind and n <= 4 else None
+        elif chars.startswith(("AAAA", "b3BlbnNzaC1rZXktdjEA"), start):  # a key file
+            for size in _fields(chars, start):
+                behind = ends.get(start - (-size * 4 // 3), behind)
+            if behind is None and not chars.startswith("AAAA", start):
+                kind = _kind(unbase64(chars[start:]))  # its fields do not end in this run
+                if kind:
+                    yield lines[at][0], len(run), kind
+                kind = None
+            elif behind is not None:
+                kind = _kind(unbase64(chars[start : before[behind]]))
+        if kind:
+            yield lines[at][0], lines[behind - 1][1], kind
+        at = behind if kind else at + 1
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -179,13 +241,12 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
         out += [(*m.span(), 3) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     if b"x" * 40 in runs:
         for m in _BASE64.finditer(text):
-            for part in _parts(m[0]):
-                if kind := _kind(unbase64(part)):
-                    out.append((m.start(), m.start() + len(part), KINDS.index(kind)))
-                    break
+            out += [(m.start() + a, m.start() + b, KINDS.index(kind)) for a, b, kind in _keys(m[0])]
         for m in _HEX_KEY.finditer(text):
-            if len(m[0]) % 2 == 0 and (kind := _kind(bytes.fromhex(m[0]))):
-                out.append((*m.span(), KINDS.index(kind)))
+            odd = len(m[0]) % 2
+            for a in range(odd + 1):  # a digit too many stands before or behind
+                if kind := _kind(bytes.fromhex(m[0][a : len(m[0]) - odd + a])):
+                    out.append((m.start() + a, m.end() - odd + a, KINDS.index(kind)))
     return sorted(set(out))
 
 

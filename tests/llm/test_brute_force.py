@@ -313,6 +313,33 @@ def test_secrets_structure():
         assert found(text) == []
 
 
+def test_secrets_in_every_line_of_a_run():
+    """Keys behind keys, behind other lines and among them, and hex runs with a digit too many."""
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    plain = lambda x: base64.b64encode(x).rstrip(b"=").decode()
+    wrapped = lambda x, n: re.sub("(.{%d})(?=.)" % n, r"\1\n", plain(x))
+    ed = [der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex("2b6570"))), der(4, der(4, bytes([k]) * 32))) for k in range(3)]
+    rsa = der(0x30, der(2, b"\0"), *[der(2, b"\x01" + bytes([i + 1]) * n) for i, n in enumerate((127, 3, 127, 63, 63, 63, 63, 63))])
+    ssh = [field(b"ssh-ed25519") + field(bytes([k]) * 32) for k in range(2)]
+    private = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(ssh[0]) + field(b"k" * 136)
+    assert len(plain(ed[0])) == 64
+
+    def found(text):
+        return [(text[a:b], secrets.KINDS[k]) for a, b, k in secrets.confirmed_spans(text, text.encode())]
+
+    keys = [(plain(x), "der") for x in ed]
+    digest = "0123456789abcdef" * 4
+    for between in ("\n", "\r\n", "\n" + digest + "\n", "\nword\n"):
+        assert found(between.join(k for k, _ in keys)) == keys
+        assert found(digest + between + between.join(k for k, _ in keys)) == keys
+    whole = [(wrapped(rsa, 64), "der"), (wrapped(private, 70), "keyfile"), *[(plain(x), "keyfile") for x in ssh], (wrapped(ssh[0], 44), "keyfile"), keys[0]]
+    for order in (whole, whole[::-1]):
+        assert found("\n".join(k for k, _ in order)) == order
+        assert found("\n".join(digest + "\n" + k for k, _ in order)) == order
+    assert found("\n".join([digest] * 500)) == [] and found(plain(ed[0][:-1]) + "\n" + plain(ed[1])) == [keys[1]]
+    assert found("x " + ed[0].hex() + "0 y") == found("x 0" + ed[0].hex() + " y") == [(ed[0].hex(), "der")]
+
+
 def test_cuckoo_filter_insert_delete():
     rnd = np.random.default_rng(1)
     keys = rnd.integers(0, 1 << 64, 4000, np.uint64, endpoint=False)
