@@ -17,7 +17,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, warc
+import corpus_pipeline
+from docloom.llm import bpe, decontaminate, license_scan, line_dedup, near_copies, quality, secrets, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 RANKS = bpe.read_ranks(open(public_tokenizers.path(bpe.VOCABULARY), "rb").read())
@@ -402,3 +403,83 @@ def test_quality_on_held_out_labels(spark):
     assert rows["keep"][clean].mean() > 0.99
     again = quality.fit(docs, labels.where(~hidden), sample=2_000, pool=1_000)
     assert np.allclose(again["toxic"].mix, models["toxic"].mix)
+
+
+def plain_near_copies(texts):
+    """Components of five-word Jaccard similarity of 0.8 or more, by the smallest id."""
+    parts = {}
+    for d, text in texts.items():
+        words = text.lower().split()
+        parts[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if 5 * len(parts[a] & parts[b]) >= 4 * len(parts[a] | parts[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in texts}
+
+
+def edited(rnd, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rnd.randrange(len(words))] = f"edit{rnd.randrange(10**6)}"
+    return words
+
+
+def test_near_copies(spark, monkeypatch):
+    """Copies on both sides of 0.8 and exactly there, a large group, common passages, and sets of few words."""
+    rnd = random.Random(21)
+    passage = [f"p{i}" for i in range(30)]
+    texts = ["", " \n", "one", "One", "one two three", "a b c d e", "A b  c d e"]
+    for _ in range(40):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(5, 200))]
+        texts += [" ".join(edited(rnd, base, rnd.randint(0, 5))) for _ in range(4)]
+    large = [f"v{i}" for i in range(120)]
+    texts += [" ".join(edited(rnd, large, rnd.randint(0, 4))) for _ in range(80)]
+    texts += [" ".join(passage + [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(3, 40))]) for _ in range(60)]
+    exact = [f"u{i}" for i in range(94)]  # 90 shingles; 80 of them in both, and 10 more in one
+    texts += [" ".join(exact[:84]), " ".join(exact), " ".join(exact + [f"u{i}" for i in range(94, 104)])]
+    rows = dict(enumerate(texts))
+    want = plain_near_copies(rows)
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(5)
+    for common, often in ((near_copies.COMMON, 2), (0, 2), (near_copies.COMMON, 10**6)):
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        monkeypatch.setattr(near_copies, "OFTEN", often)
+        assert {r.doc_id for r in near_copies.keep_one(df).collect()} == set(want.values())
+    over = [d for d in want if want[d] != d and (plain_fingerprint(rows[d]) ^ plain_fingerprint(rows[want[d]])).bit_count() > 3]
+    assert len(over) > 20
+
+
+def test_pipeline_run(spark, tmp_path):
+    """All stages in a row against plain ones; without labels the first one keeps everything."""
+    rnd = random.Random(22)
+    items = [(i, " ".join(f"b{rnd.randrange(500)}" for _ in range(67))) for i in range(3)]
+    often = [f"this line number {i} stands in a good many documents" for i in range(3)]
+    texts = {}
+    for d in range(160):
+        words = texts[rnd.randrange(d)].split() if d and rnd.random() < 0.5 else [f"w{rnd.randrange(2000)}" for _ in range(rnd.randint(8, 150))]
+        text = " ".join(edited(rnd, words, rnd.randint(0, 2)))
+        if rnd.random() < 0.1:
+            text += " " + " ".join(rnd.choice(items)[1].split()[: rnd.choice([50, 60, 67])] + ["x", "y", "z"] * 6)
+        texts[d] = text + "\n" + rnd.choice(often) if rnd.random() < 0.3 else text
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lines = {}
+    for d, text in texts.items():
+        for line in set(text.split("\n")):
+            lines.setdefault(line, []).append(d)
+    keeper = {line: max(ids) for line, ids in lines.items() if len(ids) >= 5 and len(line.strip()) >= 40}
+    now = {d: "\n".join(x for x in text.split("\n") if keeper.get(x, d) == d) for d, text in texts.items()}
+    roots = plain_near_copies(now)
+    now = {d: text for d, text in now.items() if roots[d] == d}
+    clean = {d: text for d, text in now.items() if not any(plain_best(re.findall(r"\w+", text.lower()), item.split()) for _, item in items)}
+    assert len(texts) > len(now) > len(clean) > 20
+    got = {r.doc_id: (list(r.tokens), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {d: (TIK.encode_ordinary(text), len(TIK.encode_ordinary(text))) for d, text in clean.items()}
