@@ -1,10 +1,10 @@
-"""Benchmark decontamination with SimHash over item-sized windows.
+"""Benchmark decontamination by item-sized windows.
 
 A document is contaminated by an item if a window of the item's number of words has a weighted five-word
 shingle similarity (sum of minima over sum of maxima of the shingle counts) of at least 0.8 with it.
-Windows are taken at every word offset that can reach that similarity, fingerprinted, and compared with the
-item's fingerprint through a multi-index: the 64 bits are divided into radius + 1 blocks, of which two
-fingerprints within the radius share at least one. Candidates are verified by the exact similarity.
+Windows are taken at every word offset that can reach that similarity, found through an index of the items' shingles
+in place of a multi-index of their fingerprints, and verified by the exact similarity. The differing bits of SimHash
+fingerprints are told with each result and decide nothing: a window at 0.8 may differ in any number of bits.
 
 A window that shares no shingle with an item has similarity zero, and one at 0.8 shares 8/9 of them, so
 offsets are enumerated only around places where that many of an item's shingles stand. Nothing that
@@ -26,7 +26,6 @@ from docloom.llm.common import pieces, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 24
 ITEMS_PER_BLOCK = 5_000
 BYTES_PER_BLOCK = 16 << 20
 CHUNK = 1 << 20
@@ -92,10 +91,10 @@ def _pack(ones: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: their shingles, where those stand, and the multi-index of their fingerprints."""
+    """A block of benchmark items: their shingles, where those stand, and their fingerprints."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS, size: int = WORDS):
-        self.similarity, self.radius = similarity, radius
+    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, size: int = WORDS):
+        self.similarity = similarity
         exact = Fraction(str(similarity))
         self.share = exact / (1 + exact)
         self.ids, self.words, self.sizes, self.hashes, self.counts, self.fps = [], [], [], [], [], []
@@ -122,7 +121,6 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[known >> np.uint64(44)] = True
             self.maps[k] = seen
-        self.parts = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), radius + 1)]
 
     def _places(self, own: np.ndarray, k: int) -> np.ndarray:
         """Positions of shingles that some item has."""
@@ -159,22 +157,25 @@ class Items:
         if not len(starts):
             return None
         best = None
-        breaks = np.flatnonzero(np.diff(starts) > 1) + 1
-        for run in np.split(starts, breaks):
-            for lo in range(0, len(run), 4096):
-                part = run[lo : lo + 4096]
-                sums = np.zeros((len(part) + size, 64), np.int32)
-                np.cumsum(_votes(own[part[0] : part[-1] + size]), 0, out=sums[1:])
-                prints = _pack(sums[size:] - sums[:-size] > 0)
-                for s, bits in zip(part.tolist(), prints.tolist(), strict=True):
-                    apart = bits ^ self.fps[n]
-                    if not any(apart & p == 0 for p in self.parts) or (d := apart.bit_count()) > self.radius:
-                        continue
-                    common = sum((Counter(own[s : s + size].tolist()) & self.counts[n]).values())
-                    score = common / (len(self.hashes[n]) + size - common)
-                    if score >= self.similarity and (best is None or score > best[3]):
-                        best = (s, size + k - 1, d, score)
-        return best
+        goal, known = self.counts[n], len(self.hashes[n])
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            first = int(run[0])
+            here = Counter(own[first : first + size].tolist())
+            common = sum((here & goal).values())
+            for s in run.tolist():
+                if s > first:  # one shingle leaves the window and one comes in
+                    gone, new = int(own[s - 1]), int(own[s + size - 1])
+                    common -= here[gone] <= goal[gone]
+                    here[gone] -= 1
+                    here[new] += 1
+                    common += here[new] <= goal[new]
+                score = common / (known + size - common)
+                if score >= self.similarity and (best is None or score > best[1]):
+                    best = (s, score)
+        if best is None:
+            return None
+        bits = int(_pack(_votes(own[best[0] : best[0] + size]).sum(0) > 0)[0]) ^ self.fps[n]
+        return best[0], size + k - 1, bits.bit_count(), best[1]
 
     @staticmethod
     def _starts(hits: np.ndarray, size: int, total: int, need: int) -> np.ndarray:

@@ -214,6 +214,23 @@ def test_decontamination_at_exactly_the_similarity():
         assert [(m[0], m[4]) for m in found] == [(1, 0.8)], n
 
 
+def test_decontamination_of_repeating_items():
+    """Two alternating words against themselves shifted by one: 8/10, with fingerprints far apart."""
+    rnd = random.Random(8)
+    bits = []
+    for n in range(20):
+        item = [f"a{n}", f"b{n}"] * 6 + [f"a{n}"]
+        text = item[1:] + item[1:2]
+        found = decontaminate.Items([(n, " ".join(item))]).matches(decontaminate.word_hashes(decontaminate.normalise(" ".join(text).encode())))
+        assert [(m[0], m[4]) for m in found] == [(n, plain_best(text, item))] == [(n, 0.8)]
+        bits.append(found[0][3])
+    assert max(bits) > 24
+    for _ in range(200):
+        item, text = rnd.choices("ab", k=rnd.randint(5, 14)), rnd.choices("ab", k=rnd.randint(0, 60))
+        found = decontaminate.Items([(1, " ".join(item))]).matches(decontaminate.word_hashes(decontaminate.normalise(" ".join(text).encode())))
+        assert (found[0][4] if found else None) == plain_best(text, item)
+
+
 def test_decontamination_long_text_in_chunks(monkeypatch):
     text = decontaminate.normalise(("Some, words. here " * 300).encode())
     whole = decontaminate.word_hashes(text)
