@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +66,45 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], count: str, sp
     parts = F.when(F.col(count) >= least, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
     copies = right.withColumn("_salt", F.explode(parts))
     return marked.join(copies, [*on, "_salt"], "left").drop("_salt")
+
+
+def streamed(
+    rows: DataFrame, shard: str, role: str, shards: int, hold: Callable[[pa.Table], object],
+    meet: Callable[[object, pa.Table], Iterator[pa.RecordBatch]], schema: str, gather: int = 1,
+) -> DataFrame:
+    """Stream the rows of role 1 of every shard past what `hold` makes of its rows of role 0.
+
+    A task holds the role 0 rows of one shard at a time, which its maker bounds, and about `gather` rows of the
+    others; no row is copied for the sake of the meeting. Shards without rows of role 0 give nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept, held, met = None, [], None, []
+
+        def meeting() -> Iterator[pa.RecordBatch]:
+            nonlocal kept, held, met
+            if met and (kept or held is not None):
+                if held is None:
+                    held, kept = hold(pa.Table.from_batches(kept)), []
+                yield from meet(held, pa.Table.from_batches(met))
+            met = []
+
+        for batch in batches:
+            marks = list(zip(batch.column(shard).to_pylist(), batch.column(role).to_pylist(), strict=True))
+            at = 0
+            while at < len(marks):
+                to = at
+                while to < len(marks) and marks[to] == marks[at]:
+                    to += 1
+                if marks[at][0] != current:
+                    yield from meeting()
+                    current, kept, held = marks[at][0], [], None
+                (met if marks[at][1] else kept).append(batch.slice(at, to - at))
+                if sum(b.num_rows for b in met) >= gather:
+                    yield from meeting()
+                at = to
+        yield from meeting()
+
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+    return rows.repartition(parts, shard).sortWithinPartitions(shard, role).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, warc
+from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, variants, warc
 from docloom.llm.common import prepared
 
 
@@ -55,9 +55,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_quality_classifier, op4_byte_bpe, op5_license_scan, op6_warc, op7_decontamination, op8_simhash, op9_top_k, op10_secrets)
+    for f in (
+        op1_line_dedup, op2_url_filter, op3_quality_classifier, op4_byte_bpe, op5_license_scan, op6_warc, op7_decontamination, op8_simhash, op9_top_k, op10_secrets,
+        op11_spelling_variants,
+    )
 }
 
 SQL = {
@@ -83,6 +90,7 @@ SELECT q.page_id, q.payload_bytes, q.payload_digest, CASE WHEN q.page_id <> g.fi
 FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """,
     "op7_decontamination": decontaminate.WINDOWS_SQL,
+    "op11_spelling_variants": variants.VARIANTS_SQL,
     "op9_top_k": r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
