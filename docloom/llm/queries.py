@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, license_scan, line_dedup, quality, secrets, simhash, topk, url_filter, variants, warc
+from docloom.llm import bpe, decontaminate, license_scan, line_dedup, negatives, quality, secrets, simhash, suffix_tree, topk, url_filter, variants, warc
 from docloom.llm.common import prepared
 
 
@@ -59,11 +59,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return suffix_tree.score_documents(docs, suffix_tree.learn(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_url_filter, op3_quality_classifier, op4_byte_bpe, op5_license_scan, op6_warc, op7_decontamination, op8_simhash, op9_top_k, op10_secrets,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_hard_negatives, op13_lm_scoring,
     )
 }
 
@@ -91,6 +100,7 @@ FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """,
     "op7_decontamination": decontaminate.WINDOWS_SQL,
     "op11_spelling_variants": variants.VARIANTS_SQL,
+    "op12_hard_negatives": negatives.NEGATIVES_SQL,
     "op9_top_k": r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
