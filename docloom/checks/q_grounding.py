@@ -148,7 +148,24 @@ def _(t):
     return G.enforce_verbatim(sources(t), plain_items(t), as_pages(t.documents), 32, 160, 2000)
 
 
-@query("gr15_snap_quotes")
+def strip_sql(c):
+    return f"regexp_replace(regexp_replace({c}, '^{WS_SQL}+', ''), '{WS_SQL}+$', '')"
+
+
+# the longest of all runs of as many words as it takes for one run to reach 24 characters
+@query("gr15_snap_quotes", f"""WITH {QUOTES_SQL},
+pw AS (SELECT doc_id, page_number, {ws_sql('text')} AS hw FROM page_rows),
+qw AS (SELECT qu.doc_id, item_seq, s, page, {ws_sql('s')} AS ns, string_split(trim(regexp_replace(s, '{WS_SQL}+', ' ', 'g')), ' ') AS w, coalesce(hw, '') AS hw FROM qu LEFT JOIN pw ON pw.doc_id = qu.doc_id AND page_number = page),
+part AS (SELECT *, ns <> '' AND contains(hw, ns) AS stands FROM qw),
+st AS (SELECT doc_id, item_seq, w, hw, unnest(range(1, len(w) + 1)) AS i FROM part WHERE NOT stands AND ns <> '' AND hw <> ''),
+en AS (SELECT *, unnest(range(i, len(w) + 1)) AS j FROM st),
+rn AS (SELECT doc_id, item_seq, i, j - i + 1 AS size, array_to_string(w[i:j], ' ') AS run, hw FROM en),
+ok AS (SELECT *, length(run) AS chars FROM rn WHERE size >= 3 AND length(run) >= 10 AND contains(hw, lower(run))),
+en2 AS (SELECT doc_id, item_seq, max(size) FILTER (WHERE chars >= 24) AS enough FROM ok GROUP BY 1, 2),
+pk AS (SELECT ok.* FROM ok JOIN en2 USING (doc_id, item_seq) WHERE (chars >= 12 AND size >= coalesce(enough, 0)) OR (i = 1 AND size = 3)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_seq ORDER BY chars >= 12 AND size >= coalesce(enough, 0) DESC, chars DESC, size DESC, i) = 1)
+SELECT part.doc_id, part.item_seq AS item_id, s AS source_text, page::BIGINT AS page, CASE WHEN stands THEN {strip_sql('s')} ELSE pk.run END AS snapped, stands OR pk.run IS NOT NULL AS highlightable
+FROM part LEFT JOIN pk ON pk.doc_id = part.doc_id AND pk.item_seq = part.item_seq""")
 def _(t):
     return G.snap_quotes(quotes(t).select("doc_id", "item_id", "source_text", "page"), as_pages(t.documents))
 
