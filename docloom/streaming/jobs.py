@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.config import DEFAULT, Config
@@ -127,17 +128,27 @@ def threshold_alerts(feedback: DataFrame, threshold: int = DEFAULT.finetune_thre
 def stale_stream(events: DataFrame, delay: str = "5 minutes", cfg: Config = DEFAULT, minutes: int | None = None) -> DataFrame:
     """Documents that show no event (doc_id, status, ts) for some minutes of event time after one that did not end them.
 
-    The last status of a document is its state; a timer per document emits it once the watermark has passed.
+    A document has its last status and whether it was requeued as state, and one timer. A waiting document is requeued
+    at the first silence and its timer starts again; at the next silence it fails, whatever else came between. Others
+    fail at once. An end forgets the document.
     """
     wait = (minutes or cfg.stale_minutes) * 60_000
+    columns = ["doc_id", "status", "last_seen", "action", "reason"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            status, at = state.get
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "last_seen": [pd.Timestamp(at, unit="ms")], "action": ["requeue" if status in WAITING else "fail"]})
+            status, at, requeued = state.get
+            seen = pd.Timestamp(at, unit="ms")
+            if status in WAITING and not requeued:
+                state.update((status, at, True))
+                state.setTimeoutTimestamp(max(at + 2 * wait, state.getCurrentWatermarkMs() + 1))
+                yield pd.DataFrame([[key[0], status, seen, "requeue", None]], columns=columns)
+            else:
+                state.remove()
+                reason = "queued job never picked up (re-enqueue already attempted)" if status in WAITING else f"processing died mid-stage ({status})"
+                yield pd.DataFrame([[key[0], status, seen, "fail", reason]], columns=columns)
             return
-        status, at = state.get if state.exists else (None, -1)
+        status, at, requeued = state.get if state.exists else (None, -1, False)
         for b in batches:
             last = b.sort_values("ts").iloc[-1]
             ms = int(last["ts"].timestamp() * 1000)
@@ -147,15 +158,92 @@ def stale_stream(events: DataFrame, delay: str = "5 minutes", cfg: Config = DEFA
             if state.exists:
                 state.remove()
             return
-        state.update((status, at))
+        state.update((status, at, requeued))
         state.setTimeoutTimestamp(max(at + wait, state.getCurrentWatermarkMs() + 1))
 
     watched = events.select("doc_id", "status", "ts").withWatermark("ts", delay)
     return watched.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id bigint, status string, last_seen timestamp, action string", "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout
+        step, "doc_id bigint, status string, last_seen timestamp, action string, reason string", "status string, at bigint, requeued boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+class StageLog(StatefulProcessor):
+    """Open starts of one (job, stage): events wait until the watermark has passed them and are then taken in order."""
+
+    def __init__(self, open_after: int):
+        self.open_after = open_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts bigint, event_id bigint, state string")
+        self.last = handle.getValueState("last", "ts bigint, state string, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t.timestamp() * 1_000_000), int(e), s) for b in rows for t, e, s in zip(b["ts"], b["event_id"], b["state"])]
+        self.waiting.appendList(new)
+        for ts in {ts for ts, _, _ in new}:
+            self.handle.registerTimer(ts // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else []:
+            (ready if row[0] // 1000 < now else later).append(tuple(row))
+        self.waiting.put(later) if later else self.waiting.clear()
+        ts, state, told = self.last.get() if self.last.exists() else (None, None, False)
+        out = []
+        for at, _, new in sorted(ready, key=lambda r: r[:2]):
+            if new == "started":
+                if state == "started" and not told:
+                    out.append((ts, None, "open"))
+            else:
+                out.append((ts if state == "started" else None, at, new))
+            ts, state, told = at, new, False
+        if state == "started" and not told:
+            if ts // 1000 + self.open_after < now:
+                out.append((ts, None, "open"))
+                told = True
+            else:
+                self.handle.registerTimer(ts // 1000 + self.open_after + 1)
+        if state is not None:
+            self.last.update((ts, state, told))
+        if out:
+            moments = lambda k: pd.Series([None if r[k] is None else pd.Timestamp(r[k], unit="us") for r in out], dtype="datetime64[us]")
+            started, ended = moments(0), moments(1)
+            seconds = (ended - started).dt.total_seconds()
+            yield pd.DataFrame({"job_id": key[0], "stage": key[1], "started_at": started, "ended_at": ended, "state": [r[2] for r in out], "seconds": seconds})
+
+    def close(self) -> None:
+        pass
+
+
+def stage_durations_stream(events: DataFrame, delay: str = "10 minutes", open_after: str = "1 day", literal: bool = False) -> DataFrame:
+    """`stage_durations` of a stream of events: each row as soon as the watermark has passed it, in whatever order they came.
+
+    A start with no successor is told as open once, `open_after` later; if its end comes after that, the closed row
+    with the same start replaces it. State is one open start per (job, stage) and the events the watermark has not
+    passed. Needs the RocksDB state store, which this sets for the session.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    days = pd.Timedelta(open_after)
+    stage = F.col("stage") if literal else stage_stem("stage")
+    rows = events.select("job_id", stage.alias("stage"), "event_id", "state", "ts").withWatermark("ts", delay)
+    schema = f"job_id {dict(events.dtypes)['job_id']}, stage string, started_at timestamp, ended_at timestamp, state string, seconds double"
+    return rows.groupBy("job_id", "stage").transformWithStateInPandas(StageLog(int(days.total_seconds() * 1000)), schema, "append", "EventTime")
+
+
+def fold_versions(spark: SparkSession, path: str) -> DataFrame:
+    """A table of versions and buckets as one snapshot row set: what `latest_table` reads, written under one version after all
+    others, so that the older ones can go. Returns the versions that are no longer needed."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    merged = latest_table(spark, path)
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={newest + 1}")
+    return rows.where(F.col("version") <= newest).select("version").distinct()
+
+
 def latest_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The rows of a bucketed table as of a version: every bucket as its newest version wrote it."""
     if not exists(spark, path):

@@ -1,3 +1,4 @@
+import os
 import tempfile
 from datetime import datetime as dt
 
@@ -91,6 +92,61 @@ def test_keyed_alerts_and_stale_documents(spark):
     assert sorted((r.doc_id, r.status, r.action) for r in got) == [(1, "queued", "requeue"), (3, "parsing_processing", "fail")]
 
 
+def rows_over_files(spark, build, frames):
+    """What a stream gives for files that arrive one after the other, each in a batch of its own."""
+    d = fresh()
+    os.makedirs(d + "/in")
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(d + "/in")
+    out = []
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(d + "/in")
+        query = build(stream).writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", d + "/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    return out
+
+
+def test_stale_documents_are_requeued_once_and_then_fail(spark):
+    schema = "doc_id bigint, status string, ts timestamp"
+    steps = [
+        [(1, "queued", dt(2024, 1, 1, 8)), (2, "queued", dt(2024, 1, 1, 8)), (3, "uploaded", dt(2024, 1, 1, 8))], [(9, "completed", dt(2024, 1, 1, 9))], [(2, "parsing_processing", dt(2024, 1, 1, 9, 1)), (3, "completed", dt(2024, 1, 1, 9, 1))],
+        [(9, "completed", dt(2024, 1, 1, 12))], [(9, "completed", dt(2024, 1, 1, 15))],
+    ]
+    got = rows_over_files(spark, lambda s: J.stale_stream(s, minutes=30), [spark.createDataFrame(x, schema) for x in steps])
+    assert [(r.doc_id, r.action, r.reason) for r in sorted(got, key=lambda r: (r.doc_id, r.action != "requeue"))] == [
+        (1, "requeue", None), (1, "fail", "queued job never picked up (re-enqueue already attempted)"),
+        (2, "requeue", None), (2, "fail", "processing died mid-stage (parsing_processing)"), (3, "requeue", None),
+    ]
+    # the batch sweep decides the same for documents whose job carries the mark
+    docs = spark.createDataFrame([(1, "queued", dt(2024, 1, 1, 8)), (2, "parsing_processing", dt(2024, 1, 1, 9, 1))], "doc_id bigint, status string, updated_at timestamp")
+    jobs = spark.createDataFrame([(1, "a", True, dt(2024, 1, 1)), (2, "b", True, dt(2024, 1, 1))], "doc_id bigint, job_id string, requeued boolean, created_at timestamp")
+    want = {(r.doc_id, r.action, r.reason) for r in J.sweep_stale(docs, jobs, "2024-01-01 12:00:00").collect()}
+    assert want == {(r.doc_id, r.action, r.reason) for r in got if r.action == "fail"}
+
+
+def test_stage_stream_equals_the_batch_view(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = []
+    for k in range(150):
+        job, stage, state = rnd.randrange(4), rnd.choice(["parsing", "chunking"]), rnd.choice(["started", "started", "completed", "failed"])
+        rows.append((job, k, stage + ("_completed" if state == "completed" else "_processing"), state, dt(2024, 1, 1, 8 + k // 50, k % 50, k % 7)))
+    schema = "job_id bigint, event_id bigint, stage string, state string, ts timestamp"
+    mixed = sorted(rows, key=lambda r: (r[4], rnd.random()))
+    blocks = [mixed[a : a + 30] for a in range(0, 150, 30)]
+    for a, b in zip(blocks, blocks[1:]):  # neighbouring files overlap in time
+        a[-3:], b[:3] = b[:3], a[-3:]
+    end = [(99, 999, "parsing_processing", "completed", dt(2024, 1, 9)), ]
+    frames = [spark.createDataFrame(x, schema) for x in [*blocks, end, [(99, 1000, "parsing_processing", "completed", dt(2024, 1, 12))]]]
+    got = rows_over_files(spark, lambda s: J.stage_durations_stream(s, "20 minutes", "1 hour"), frames)
+    want = J.stage_durations(spark.createDataFrame(rows, schema)).collect()
+    shown = lambda r: (r.job_id, r.stage, str(r.started_at), str(r.ended_at), r.state, None if r.seconds is None or r.seconds != r.seconds else round(r.seconds, 3))
+    # an open row that was closed later is replaced by the closed one
+    closed = {shown(r)[:3] for r in got if r.state != "open"}
+    final = sorted(x for x in map(shown, got) if x[0] != 99 and not (x[4] == "open" and x[:3] in closed))
+    assert final == sorted(map(shown, want))
+
+
 def test_result_insights(spark):
     d = fresh()
     with open(d + "/doc_1.json", "w") as f:
