@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions.text import col
-from docloom.plans.stage import cut, exists
+from docloom.sources import folder
+from docloom.sources.snapshots import replace_documents, with_bucket
 
 # Accepted upload types and the size limit.
 MIME_TYPES = {
@@ -46,18 +47,22 @@ def upload_verdict(path, size) -> Column:
 
 
 def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of an upload folder with a verdict; the content column is read only if selected.
+    """Files of an upload folder with a verdict, empty and unreadable ones too; `head` holds the first bytes."""
+    folder.register(spark)
+    files = spark.read.format(folder.FORMAT).load(path)
+    verdict = F.when(F.col("head").isNull() & (F.col("length") > 0), "unreadable_file").otherwise(upload_verdict("path", "length"))
+    return files.select("path", "modificationTime", "length", "head", verdict.alias("verdict"))
 
-    The file reader lists no empty files, so the empty verdict shows where lengths come from a
-    stored listing instead.
-    """
+
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """The files with their whole content; the content is read only if selected, and empty files are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "modificationTime", "length", "content", upload_verdict("path", "length").alias("verdict"))
 
 
 def validate_mime(files: DataFrame) -> DataFrame:
     """Compares the extension with the first bytes of the content."""
-    magic = F.substring("content", 1, 4)
+    magic = F.substring("head" if "head" in files.columns else "content", 1, 4)
     kind = F.when(magic == F.lit(b"%PDF"), "pdf").when(magic == F.lit(b"PK\x03\x04"), "docx")
     mime = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
     return files.withColumns({
@@ -88,26 +93,9 @@ def result_insights(results: DataFrame) -> DataFrame:
     )
 
 
-def with_bucket(df: DataFrame, buckets: int = DEFAULT.doc_buckets) -> DataFrame:
-    return df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-
-
-def replace_by_doc(df: DataFrame, path: str, buckets: int = DEFAULT.doc_buckets) -> None:
-    """Replace the rows of the given documents in a table partitioned by document bucket.
-
-    Only the touched buckets are rewritten: their other documents are carried over. The new
-    files are prepared in the shared stage folder first, so a lost executor never leaves a
-    bucket half written.
-    """
-    spark = df.sparkSession
-    new = cut(with_bucket(df, buckets))
-    out = new
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = new.select("doc_bucket").distinct()
-        keep = old.join(touched, "doc_bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-        out = cut(keep.select(*new.columns).unionByName(new))
-    out.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+def replace_by_doc(df: DataFrame, path: str, buckets: int = DEFAULT.doc_buckets, documents: DataFrame | None = None) -> int:
+    """Replace the rows of documents in a table of versions and document buckets, all at once or not at all; see `snapshots`."""
+    return replace_documents(df, path, documents, buckets)
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], counters: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@ import os
 import tempfile
 from datetime import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.sources import files as S
+from docloom.sources import snapshots as N
 from docloom.streaming import jobs as J
 
 
@@ -12,12 +14,64 @@ def fresh():
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+DOCS = "doc_id bigint, v string"
+
+
+def values(df):
+    return sorted((r.doc_id, r.v) for r in df.collect())
+
+
 def test_replace_by_doc_keeps_other_documents(spark):
     path = fresh() + "/t"
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, v string")
-    S.replace_by_doc(df, path, buckets=2)
-    S.replace_by_doc(spark.createDataFrame([(2, "x"), (2, "y")], "doc_id bigint, v string"), path, buckets=2)
-    assert sorted((r.doc_id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "x"), (2, "y"), (3, "c")]
+    assert N.read_snapshot(spark, path) is None
+    assert S.replace_by_doc(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], DOCS), path, buckets=2) == 0
+    assert S.replace_by_doc(spark.createDataFrame([(2, "x"), (2, "y")], DOCS), path, buckets=2) == 1
+    assert values(N.read_snapshot(spark, path)) == [(1, "a"), (2, "x"), (2, "y"), (3, "c")]
+    assert values(N.read_snapshot(spark, path, 0)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_documents_without_rows_are_deleted(spark):
+    path = fresh() + "/t"
+    S.replace_by_doc(spark.createDataFrame([(k, "a") for k in range(9)], DOCS), path, buckets=3)
+    gone = spark.createDataFrame([(k,) for k in range(8)], "doc_id bigint")
+    S.replace_by_doc(spark.createDataFrame([(4, "b")], DOCS), path, buckets=3, documents=gone)
+    assert values(N.read_snapshot(spark, path)) == [(4, "b"), (8, "a")]
+    S.replace_by_doc(spark.createDataFrame([], DOCS), path, buckets=3, documents=spark.createDataFrame([(4,), (8,)], "doc_id bigint"))
+    assert values(N.read_snapshot(spark, path)) == [] and N.read_snapshot(spark, path).columns == ["doc_id", "v"]
+
+
+def test_a_write_that_dies_changes_nothing(spark, monkeypatch):
+    path = fresh() + "/t"
+    S.replace_by_doc(spark.createDataFrame([(1, "a"), (2, "b")], DOCS), path, buckets=2)
+
+    def die(*_):
+        raise OSError("killed between the data and the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(N, "commit", die)
+        with pytest.raises(OSError):
+            S.replace_by_doc(spark.createDataFrame([(1, "half")], DOCS), path, buckets=2)
+    assert N.versions(spark, path) == [0] and values(N.read_snapshot(spark, path)) == [(1, "a"), (2, "b")]
+    # files of a commit without its success mark do not count either
+    N.commit(spark, path, 1, {0: 1, 1: 1})
+    os.remove(f"{path}/_commits/v1/_SUCCESS")
+    assert values(N.read_snapshot(spark, path)) == [(1, "a"), (2, "b")]
+    # the next write takes the same number and its own files
+    assert S.replace_by_doc(spark.createDataFrame([(1, "new")], DOCS), path, buckets=2) == 1
+    assert values(N.read_snapshot(spark, path)) == [(1, "new"), (2, "b")]
+
+
+def test_old_versions_are_folded(spark):
+    path = fresh() + "/t"
+    for k in range(4):
+        S.replace_by_doc(spark.createDataFrame([(k, f"v{k}"), (9, f"v{k}")], DOCS), path, buckets=4)
+    before = values(N.read_snapshot(spark, path))
+    assert N.fold(spark, path, keep=2) and N.versions(spark, path) == [2, 3]
+    assert values(N.read_snapshot(spark, path)) == before == [(0, "v0"), (1, "v1"), (2, "v2"), (3, "v3"), (9, "v3")]
+    assert (9, "v2") in values(N.read_snapshot(spark, path, 2))
+    with pytest.raises(ValueError):
+        N.read_snapshot(spark, path, 0)
+    assert N.fold(spark, path, keep=2) == []
 
 
 def test_scan_uploads(spark):
@@ -27,11 +81,26 @@ def test_scan_uploads(spark):
             f.write(body)
     rows = {r.path[-5:]: (r.verdict, r.mime_verdict) for r in S.validate_mime(S.scan_uploads(spark, d)).collect()}
     assert rows["a.pdf"] == ("ok", "ok") and rows[".docx"[-5:]] == ("ok", "mime_extension_mismatch")
-    assert rows["c.txt"][0] == "invalid_file_type" and "d.pdf" not in rows
+    assert rows["c.txt"][0] == "invalid_file_type" and rows["d.pdf"][0] == "empty_file"
     listing = spark.createDataFrame([("d.pdf", 0), ("e.pdf", 60 * 1024 * 1024)], "path string, length bigint")
     assert [r.v for r in listing.orderBy("path").select(S.upload_verdict("path", "length").alias("v")).collect()] == ["empty_file", "file_too_large"]
 
 
+def test_folders_are_listed_beside_each_other(spark):
+    d = fresh()
+    for name in ("a.pdf", "x/b.pdf", "x/deep/c.docx", "y/.hidden", "y/empty.docx"):
+        os.makedirs(os.path.dirname(f"{d}/{name}"), exist_ok=True)
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(b"" if "empty" in name else b"PK\x03\x04 and more")
+    os.symlink(f"{d}/nowhere", f"{d}/x/gone.pdf")
+    files = S.scan_uploads(spark, d)
+    assert files.rdd.getNumPartitions() == 3
+    got = {r.path[len(d) + 1 :]: (r.length, r.verdict, bytes(r["head"] or b"")) for r in files.collect()}
+    assert got["x/deep/c.docx"] == (13, "ok", b"PK\x03\x04") and got["y/empty.docx"][1] == "empty_file" and got["y/.hidden"][1] == "invalid_file_type"
+    assert set(got) >= {"a.pdf", "x/b.pdf", "x/deep/c.docx", "y/.hidden", "y/empty.docx"}
+    assert S.read_uploads(spark, d).where("verdict = 'ok'").select("content").count() == 3
+
+
 def test_results_and_manifest(spark):
     d = fresh()
     with open(d + "/doc_1.json", "w") as f:
