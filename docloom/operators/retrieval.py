@@ -10,6 +10,7 @@ from docloom.fixed import FOCUSED_TYPES
 from docloom.functions.text import WS, col, contains_any, count_contained, head, literal_array, ordered_join, strip, within
 from docloom.operators.chunks import SECTION_TAGS
 from docloom.plans.stage import cut
+from docloom.sources.snapshots import replace_documents
 
 # Query expansion, timeline markers and operational markers.
 EXPANSION_KEYS = ["pre-bid", "prebid", "pre bid"]
@@ -148,19 +149,39 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """BM25 of the chunks of a query's document; statistics come from the whole collection.
+def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_id, chunk_order, dl, term, tf) of chunks, and for each chunk a row of the empty term with its length.
 
-    Only postings of query terms are kept: they are found inside the token arrays before any
-    shuffle of postings, and term frequencies are counted on the map side.
+    The one pass over the texts: chunk counts, lengths, document frequencies and term frequencies all come from it. With
+    `asked` (term) only those terms are kept; they are picked before any shuffle of tokens.
     """
-    q = queries.select("query_id", "doc_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     body = F.concat_ws(" ", "chunk_text", "section_title", "tags")
-    tok = chunks.select("doc_id", "chunk_id", "chunk_order", tokens(body).alias("toks")).withColumn("dl", F.size("toks"))
-    stats = tok.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tok.select("doc_id", "chunk_id", "chunk_order", "dl", F.explode("toks").alias("term")).join(
-        q.select("term").distinct(), "term", "left_semi"
-    ).groupBy("doc_id", "chunk_id", "chunk_order", "dl", "term").agg(F.count("*").alias("tf"))
+    tok = chunks.select("doc_id", "chunk_id", "chunk_order", tokens(body).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
+    each = tok.select("doc_id", "chunk_id", "chunk_order", "dl", F.explode(F.concat(F.array(F.lit("")), F.col("toks"))).alias("term"))
+    if asked is not None:
+        each = each.join(asked.select("term").union(chunks.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi")
+    keys = ["doc_id", "chunk_id", "chunk_order", "dl", "term"]
+    return each.groupBy(*keys).agg(F.count("*").alias("tf"))
+
+
+def index_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> int:
+    """Put chunks into a stored index: the documents of the batch, or those named, have these postings and no others.
+
+    The index is a table of versions and document buckets, so a batch rewrites the buckets of its documents only, and
+    searches go on with the last committed version meanwhile.
+    """
+    return replace_documents(postings(chunks), path, documents if documents is not None else chunks.select("doc_id"))
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "doc_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+
+
+def bm25_search(queries: DataFrame, index: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """BM25 of the chunks of a query's document; statistics come from the whole index, as `postings` or `read_snapshot` give it."""
+    q = _query_terms(queries)
+    stats = index.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = index.join(q.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -174,6 +195,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> DataFr
     )
 
 
+def bm25(queries: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """BM25 of the chunks of a query's document without a stored index: the postings of the asked terms are written once."""
+    return bm25_search(queries, cut(postings(chunks, _query_terms(queries))), cfg)
+
+
 def ranked(hits: DataFrame, k: int | None = None, keys=("query_id",)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_order", "chunk_id")
     out = hits.withColumn("rank", F.row_number().over(w) - 1)

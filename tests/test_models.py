@@ -122,3 +122,34 @@ def test_rrf(spark):
     df = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int")
     got = {r.chunk_id: r.score for r in R.rrf(df).collect()}
     assert max(got, key=got.get) == "b" and abs(got["b"] - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_a_grown_index_equals_a_full_one(spark):
+    from docloom.sources.snapshots import read_snapshot
+
+    import tempfile
+
+    rnd = random.Random(9)
+    words = ["bond", "bid", "Site", "visit", "due,", "owner", "été"]
+    schema = "doc_id bigint, chunk_id string, chunk_order int, chunk_text string, section_title string, tags array<string>"
+    chunk = lambda d, k: (d, f"{d}-{k}", k, " ".join(rnd.choices(words, k=rnd.randint(0, 12))), rnd.choice(["Bid", None, ""]), rnd.choice([["visit"], [], None]))
+    old = [chunk(d, k) for d in range(12) for k in range(4)]
+    kept = [c for c in old if c[0] > 3]
+    new = [chunk(d, k) for d in (0, 1, 20) for k in range(3)]  # 0 and 1 come again, 2 and 3 go, 20 is new
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/index"
+    R.index_chunks(spark.createDataFrame(old, schema), path)
+    R.index_chunks(spark.createDataFrame(new, schema), path, spark.createDataFrame([(d,) for d in (0, 1, 2, 3, 20)], "doc_id bigint"))
+    full = spark.createDataFrame(kept + new, schema)
+    index = read_snapshot(spark, path)
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(index) == show(R.postings(full).select(*index.columns))
+    queries = spark.createDataFrame([(d, d, q) for d in range(21) for q in ("bid bond bid", "visit été nowhere", "")], "query_id bigint, doc_id bigint, query string")
+    assert show(R.bm25_search(queries, index)) == show(R.bm25(queries, full)) and len(show(R.bm25(queries, full))) > 20
+
+
+def test_bm25_reads_texts_once(spark):
+    plan = R.postings(spark.createDataFrame([(1, "a", 1, "x y", "t", ["g"])], "doc_id bigint, chunk_id string, chunk_order int, chunk_text string, section_title string, tags array<string>"))
+    q = spark.createDataFrame([(1, 1, "x")], "query_id bigint, doc_id bigint, query string")
+    text = R.bm25(q, plan.sparkSession.createDataFrame([(1, "a", 1, "x y", "t", ["g"])], "doc_id bigint, chunk_id string, chunk_order int, chunk_text string, section_title string, tags array<string>"))
+    shown = text._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk_text" not in shown  # everything comes from the postings
