@@ -353,7 +353,7 @@ p AS (SELECT field_key, count(*) AS corrections, count(*) FILTER (WHERE resoluti
   count(*) FILTER (WHERE resolution_status = 'pending') AS pending FROM fb WHERE rating = 'down' GROUP BY 1 ORDER BY corrections DESC, field_key LIMIT 20)
 SELECT * FROM p UNION ALL SELECT '*', CAST(sum(corrections) AS BIGINT), CAST(sum(resolved) AS BIGINT), CAST(sum(recurred) AS BIGINT), CAST(sum(pending) AS BIGINT) FROM p""")
 def _(t):
-    return FB.learning_effectiveness(B.feedback(t))
+    return FB.learning_effectiveness(B.feedback(t), 20)
 
 
 @query("fb11_feedback_stats", f"""WITH {FEEDBACK_SQL}, a AS (SELECT coalesce(extraction_type, '*') AS extraction_type, count(*) AS total, count(*) FILTER (WHERE rating = 'up') AS up, count(*) FILTER (WHERE rating = 'down') AS down,
@@ -365,13 +365,13 @@ def _(t):
 
 @query("fb11_active_batches", f"WITH {BATCHES_SQL} SELECT batch_id, extraction_type, status FROM batches WHERE status NOT IN ('succeeded', 'failed', 'cancelled') ORDER BY created_at DESC, batch_id LIMIT 5")
 def _(t):
-    return FB.active_batches(batches(t)).select("batch_id", "extraction_type", "status")
+    return FB.active_batches(batches(t), 5).select("batch_id", "extraction_type", "status")
 
 
 @query("fb12_list_feedback", f"""WITH {FEEDBACK_SQL}, {DOCS_SQL}, p AS (SELECT * FROM fb WHERE rating = 'down' AND extraction_type = 'payment_terms' ORDER BY created_at DESC, feedback_id DESC LIMIT 50 OFFSET 50)
 SELECT feedback_id, doc_id, field_key, substr(source_text_context, 1, 200) AS source_text_context, coalesce(filename, '') AS document_filename FROM p LEFT JOIN docs USING (doc_id)""")
 def _(t):
-    return FB.list_feedback(B.feedback(t), B.docs(t), "payment_terms", "down", page=2, limits=LIM).select("feedback_id", "doc_id", "field_key", "source_text_context", "document_filename")
+    return FB.list_feedback(B.feedback(t), B.docs(t), "payment_terms", "down", page=2, size=50, limits=LIM).select("feedback_id", "doc_id", "field_key", "source_text_context", "document_filename")
 
 
 # ---- analytics
@@ -408,6 +408,11 @@ def _(t):
 
 
 @query("an3_problem_fields", f"WITH {FEEDBACK_SQL} SELECT field_key, count(*) AS corrections FROM fb WHERE rating = 'down' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def _(t):
+    return A.problem_fields(B.feedback(t), top=15)
+
+
+@query("an3_problem_fields_whole", f"WITH {FEEDBACK_SQL} SELECT field_key, count(*) AS corrections FROM fb WHERE rating = 'down' GROUP BY 1")
 def _(t):
     return A.problem_fields(B.feedback(t))
 
@@ -419,7 +424,7 @@ def _(t):
 
 @query("an4_top_error_codes", f"WITH {JOBS_SQL} SELECT error_code, count(*) AS count FROM jobs WHERE current_stage = 'failed' AND error_code <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def _(t):
-    return A.top_error_codes(B.jobs(t))
+    return A.top_error_codes(B.jobs(t), top=8)
 
 
 @query("an5_activity_timeline", f"WITH {DOCS_SQL} SELECT CAST(created_at AS DATE) AS day, count(*) AS uploads, count(*) FILTER (WHERE status = 'completed') AS completed FROM docs GROUP BY 1")
@@ -429,7 +434,7 @@ def _(t):
 
 @query("an6_user_documents", f"WITH {DOCS_SQL} SELECT doc_id, filename, status, round(size_bytes / 1048576, 1) AS size_mb, created_at FROM docs WHERE uploaded_by = 7 ORDER BY created_at DESC, doc_id DESC LIMIT 200")
 def _(t):
-    return A.user_documents(B.docs(t), 7)
+    return A.user_documents(B.docs(t), 7, top=200)
 
 
 @query("an6_user_detail", f"""WITH {DOCS_SQL}, {FEEDBACK_SQL}, {ITEMS_SQL},
@@ -449,7 +454,7 @@ def _(t):
 @query("an8_build_insights")
 def _(t):
     import datetime
-    out = A.build_insights(B.users(t), B.docs(t), B.insights(t), B.feedback(t), B.jobs(t), 400, datetime.datetime(1999, 1, 1))
+    out = A.build_insights(B.users(t), B.docs(t), B.insights(t), B.feedback(t), B.jobs(t), 400, datetime.datetime(1999, 1, 1), LIM)
     parts = None
     for name, df in out.items():
         one = df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("row"))
@@ -470,13 +475,33 @@ SELECT n.doc_id, n.filename, canon.field_key, label, CASE WHEN w.doc_id IS NOT N
   coalesce(correction, '') AS correction, coalesce(reason, '') AS reason
 FROM n CROSS JOIN canon LEFT JOIN w ON w.doc_id = n.doc_id AND w.field_key = canon.field_key LEFT JOIN s ON s.doc_id = n.doc_id AND s.field_key = canon.field_key""")
 def _(t):
-    return A.field_matrix(B.docs(t), B.spec(t), B.feedback(t))
+    return A.field_matrix(B.docs(t), B.spec(t), B.feedback(t), top=100)
 
 
 @query("an10_event_matrix", f"""WITH {DOCS_SQL}, {SPEC_SQL}, ev AS ({_EVENTS}), n AS (SELECT doc_id FROM docs ORDER BY created_at DESC, doc_id DESC LIMIT 100),
 nt AS (SELECT doc_id, field_key, arg_max(note, row_seq) AS note FROM spec JOIN n USING (doc_id) WHERE note <> '' GROUP BY 1, 2)
 SELECT n.doc_id, ev.field_key || '_events' AS field_key, label, CASE WHEN note IS NOT NULL THEN 'Correct' ELSE 'Not found' END AS status, coalesce(note, '') AS correction
 FROM n CROSS JOIN ev LEFT JOIN nt ON nt.doc_id = n.doc_id AND nt.field_key = ev.field_key WHERE ev.field_key IN (SELECT field_key FROM nt)""")
+def _(t):
+    return A.event_matrix(B.docs(t), B.spec(t), top=100)
+
+
+@query("an9_field_matrix_whole", f"""WITH {DOCS_SQL}, {FEEDBACK_SQL}, {SPEC_SQL}, canon AS ({_CANON}),
+n AS (SELECT doc_id, filename FROM docs),
+w AS (SELECT DISTINCT ON (doc_id, field_key) doc_id, field_key, correct_value AS correction, CASE WHEN issue_type = '' AND comment = '' THEN 'Marked wrong' WHEN issue_type = '' THEN comment WHEN comment = '' THEN issue_type ELSE issue_type || ' — ' || comment END AS reason
+  FROM fb WHERE rating = 'down' ORDER BY doc_id, field_key, correct_value <> '' DESC, created_at DESC, feedback_id DESC),
+s AS (SELECT DISTINCT doc_id, field_key FROM spec)
+SELECT n.doc_id, n.filename, canon.field_key, label, CASE WHEN w.doc_id IS NOT NULL THEN 'Wrong' WHEN s.doc_id IS NOT NULL THEN 'Correct' ELSE 'Not found' END AS status,
+  coalesce(correction, '') AS correction, coalesce(reason, '') AS reason
+FROM n CROSS JOIN canon LEFT JOIN w ON w.doc_id = n.doc_id AND w.field_key = canon.field_key LEFT JOIN s ON s.doc_id = n.doc_id AND s.field_key = canon.field_key""")
+def _(t):
+    return A.field_matrix(B.docs(t), B.spec(t), B.feedback(t))
+
+
+@query("an10_event_matrix_whole", f"""WITH {DOCS_SQL}, {SPEC_SQL}, ev AS ({_EVENTS}), n AS (SELECT doc_id FROM docs),
+nt AS (SELECT doc_id, field_key, arg_max(note, row_seq) AS note FROM spec JOIN n USING (doc_id) WHERE note <> '' GROUP BY 1, 2)
+SELECT n.doc_id, ev.field_key || '_events' AS field_key, label, CASE WHEN note IS NOT NULL THEN 'Correct' ELSE 'Not found' END AS status, coalesce(note, '') AS correction
+FROM n CROSS JOIN ev LEFT JOIN nt ON nt.doc_id = n.doc_id AND nt.field_key = ev.field_key WHERE ev.field_key IN (SELECT field_key FROM nt)""")
 def _(t):
     return A.event_matrix(B.docs(t), B.spec(t))
 
@@ -491,7 +516,7 @@ def _(t):
 
 @query("an12_export_scope", f"WITH {DOCS_SQL} SELECT doc_id FROM docs WHERE uploaded_by = 7 ORDER BY created_at DESC, doc_id DESC LIMIT 100")
 def _(t):
-    return A.newest_documents(B.docs(t), user_id=A.export_scope(None, 7, False)).select("doc_id")
+    return A.newest_documents(B.docs(t), user_id=A.export_scope(None, 7, False), top=100).select("doc_id")
 
 
 _LAB = "CASE field_key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY_LABELS.items()) + " ELSE replace(field_key, '_', ' ') END"

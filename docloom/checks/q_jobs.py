@@ -1,5 +1,7 @@
 """Job events, stale sweep, streams in their batch form, upserts and summary JSON."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.checks import business as B
@@ -9,7 +11,9 @@ from docloom.checks.q_fields import spec
 from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
 from docloom.operators import fields as FD
+from docloom.plans.stage import stage_root
 from docloom.sources import files as S
+from docloom.sources.snapshots import read_snapshot
 from docloom.streaming import jobs as J
 
 STAGES = ["intake", "parsing", "chunking"]
@@ -81,3 +85,26 @@ def _(t):
 @query("snk5_summary_json")
 def _(t):
     return S.to_summary_json(spec(t), FD.field_warnings(spec(t)))
+
+
+@query("snk1_replace_by_doc", """SELECT doc_id, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE lang <> 'fr'""")
+def _(t):
+    # all documents, then a version that changes the German ones and deletes the French ones
+    docs, path = t.documents.select("doc_id", "lang", F.col("n_chars").cast("bigint").alias("n_chars")), f"{stage_root(t.spark)}/docs-{uuid.uuid4().hex}"
+    S.replace_by_doc(docs, path, 16)
+    S.replace_by_doc(docs.where("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1), path, 16, documents=docs.where("lang in ('de', 'fr')"))
+    return read_snapshot(t.spark, path).drop("lang")
+
+
+@query("snk4_jsonl_round_trip", "SELECT doc_id, length(text) AS n FROM documents")
+def _(t):
+    path = f"{stage_root(t.spark)}/lines-{uuid.uuid4().hex}"
+    S.write_jsonl(t.documents.select(F.to_json(F.struct("doc_id", "text")).alias("line")), path)
+    return t.spark.read.schema("doc_id bigint, text string").json(path).select("doc_id", F.length("text").alias("n"))
+
+
+@query("snk6_results_round_trip", "SELECT doc_id, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+def _(t):
+    path = f"{stage_root(t.spark)}/results-{uuid.uuid4().hex}"
+    S.write_results(t.documents.groupBy("doc_id", "lang").agg(F.count("*").alias("n")), path, 16)
+    return t.spark.read.schema("doc_id bigint, lang string, n bigint").json(path).select("doc_id", "lang", "n")

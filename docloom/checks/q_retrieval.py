@@ -1,5 +1,7 @@
 """Classification, vocabulary, ranking and context building."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.checks.adapters import BLOCKS_SQL, CHUNKS_SQL, ITEMS_SQL, PAGES_SQL, as_chunks, as_items, as_pages
@@ -12,7 +14,8 @@ from docloom.checks.registry import query
 from docloom.fixed import FOCUSED_TYPES
 from docloom.operators import lexicon as L
 from docloom.operators import retrieval as R
-from docloom.plans.stage import cut
+from docloom.plans.stage import cut, stage_root
+from docloom.sources.snapshots import read_snapshot
 
 COVER_SQL = PAGES_SQL + """,
 cover AS (SELECT doc_id, trim(substr(coalesce(string_agg('--- Page ' || page_number || ' ---' || chr(10) || trim(text, chr(10) || ' '), chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE trim(text, chr(10) || ' ') <> ''), ''), 1, 12000)) AS cover
@@ -317,6 +320,15 @@ dn AS (SELECT query_id, sc.doc_id, chunk_id, row_number() OVER (PARTITION BY que
 fu AS (SELECT query_id, doc_id, chunk_id, round(sum(1.0 / (60 + r + 1)), 6) AS score FROM (SELECT query_id, doc_id, chunk_id, r FROM kw UNION ALL SELECT query_id, doc_id, chunk_id, r FROM dn) GROUP BY 1, 2, 3)"""
 
 
+@query("rt7_stored_index", f"WITH {BM25_SQL} SELECT query_id, doc_id, chunk_id, chunk_id AS chunk_order, score FROM bm")
+def _(t):
+    # the index grows in two batches of documents, and part of the first comes again with the second
+    chunks, path = search_chunks(t), f"{stage_root(t.spark)}/index-{uuid.uuid4().hex}"
+    R.index_chunks(chunks.where(F.col("doc_id") % 3 != 0), path, buckets=16)
+    R.index_chunks(chunks.where(F.col("doc_id") % 3 != 1), path, buckets=16)
+    return R.bm25_search(search_queries(t), read_snapshot(t.spark, path))
+
+
 @query("rt7_hybrid_search", f"WITH {HYBRID_SQL} SELECT query_id, doc_id, chunk_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM fu QUALIFY rank < 16")
 def _(t):
     return R.hybrid_search(search_queries(t), search_chunks(t), search_chunks(t)).select("query_id", "doc_id", "chunk_id", "score", "rank")

@@ -92,6 +92,8 @@ class Limits:
     merged_chars: int | None = None
     description_chars: int | None = None
     # reports
+    problem_fields: int | None = None
+    error_codes: int | None = None
     trend_days: int | None = None
     recent_corrections: int | None = None
     note_value_chars: int | None = None

@@ -61,11 +61,13 @@ def accuracy_trend(fb: DataFrame, since=None) -> DataFrame:
     return g.withColumn("correction_rate", _rate("corrections", "feedback_total"))
 
 
-def problem_fields(fb: DataFrame, since=None, top: int = 15) -> DataFrame:
-    return (
-        _since(fb.where(F.col("rating") == "down"), since).groupBy("field_key").agg(F.count("*").alias("corrections"))
-        .orderBy(F.desc("corrections"), "field_key").limit(top)
-    )
+def _newest(rows: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def problem_fields(fb: DataFrame, since=None, top: int | None = None) -> DataFrame:
+    counts = _since(fb.where(F.col("rating") == "down"), since).groupBy("field_key").agg(F.count("*").alias("corrections"))
+    return _newest(counts, top, F.desc("corrections"), F.col("field_key"))
 
 
 def failure_stats(docs: DataFrame, since=None) -> DataFrame:
@@ -74,9 +76,9 @@ def failure_stats(docs: DataFrame, since=None) -> DataFrame:
     )
 
 
-def top_error_codes(jobs: DataFrame, since=None, top: int = 8) -> DataFrame:
+def top_error_codes(jobs: DataFrame, since=None, top: int | None = None) -> DataFrame:
     failed = _since(jobs.where((F.col("current_stage") == "failed") & (_text("error_code") != "")), since)
-    return failed.groupBy("error_code").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "error_code").limit(top)
+    return _newest(failed.groupBy("error_code").agg(F.count("*").alias("count")), top, F.desc("count"), F.col("error_code"))
 
 
 def activity_timeline(docs: DataFrame, since=None) -> DataFrame:
@@ -85,9 +87,9 @@ def activity_timeline(docs: DataFrame, since=None) -> DataFrame:
     )
 
 
-def user_documents(docs: DataFrame, user_id, since=None, top: int = 200) -> DataFrame:
+def user_documents(docs: DataFrame, user_id, since=None, top: int | None = None) -> DataFrame:
     mine = _since(docs.where(F.col("uploaded_by") == F.lit(user_id)), since)
-    return mine.orderBy(F.desc("created_at"), F.desc("doc_id")).limit(top).select(
+    return _newest(mine, top, F.desc("created_at"), F.desc("doc_id")).select(
         "doc_id", "filename", "status", F.round(F.col("size_bytes") / 1048576, 1).alias("size_mb"), "created_at"
     )
 
@@ -115,10 +117,6 @@ def user_detail(docs: DataFrame, items: DataFrame, fb: DataFrame, user_id=None,
     return fields.unionByName(total).unionByName(by_doc)
 
 
-def _newest(rows: DataFrame, n: int | None, *order: Column) -> DataFrame:
-    return rows if n is None else rows.orderBy(*order).limit(n)
-
-
 def insight_snapshot(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: DataFrame, jobs: DataFrame, since=None, limits: Limits = UNCUT) -> DataFrame:
     """One JSON value of the team statistics with its content key.
 
@@ -136,9 +134,9 @@ def insight_snapshot(users: DataFrame, docs: DataFrame, insights: DataFrame, fb:
     )
     parts = {
         "users": packed(u, -F.col("docs_total"), F.col("user_id")),
-        "field_problem_ranking": packed(problem_fields(fb, since), -F.col("corrections"), F.col("field_key")),
+        "field_problem_ranking": packed(problem_fields(fb, since, limits.problem_fields), -F.col("corrections"), F.col("field_key")),
         "failure_stats": packed(failure_stats(docs, since), F.lit(0)),
-        "top_error_codes": packed(top_error_codes(jobs, since), -F.col("count"), F.col("error_code")),
+        "top_error_codes": packed(top_error_codes(jobs, since, limits.error_codes), -F.col("count"), F.col("error_code")),
         "accuracy_trend": packed(trend, F.col("day")),
         "correction_examples": packed(recent, F.col("created_at"), F.col("feedback_id")),
     }
@@ -158,7 +156,7 @@ def clamp_days(days: int) -> int:
     return max(0, min(int(days), 365))
 
 
-def build_insights(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: DataFrame, jobs: DataFrame, days: int, now) -> dict[str, DataFrame]:
+def build_insights(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: DataFrame, jobs: DataFrame, days: int, now, limits: Limits = UNCUT) -> dict[str, DataFrame]:
     """The whole analytics payload; zero days means all time."""
     import datetime
 
@@ -167,26 +165,23 @@ def build_insights(users: DataFrame, docs: DataFrame, insights: DataFrame, fb: D
     return {
         "users": user_insights(users, docs, insights, fb, jobs, since),
         "accuracy_trend": accuracy_trend(fb, since),
-        "field_problem_ranking": problem_fields(fb, since),
+        "field_problem_ranking": problem_fields(fb, since, limits.problem_fields),
         "failure_stats": failure_stats(docs, since),
-        "top_error_codes": top_error_codes(jobs, since),
+        "top_error_codes": top_error_codes(jobs, since, limits.error_codes),
         "activity_timeline": activity_timeline(docs, since),
     }
 
 
-MAX_EXPORT_DOCS = 100
-
-
-def newest_documents(docs: DataFrame, since=None, user_id=None, top: int = MAX_EXPORT_DOCS) -> DataFrame:
+def newest_documents(docs: DataFrame, since=None, user_id=None, top: int | None = None) -> DataFrame:
     rows = _since(docs, since)
     if user_id is not None:
         rows = rows.where(F.col("uploaded_by") == F.lit(user_id))
-    return rows.orderBy(F.desc("created_at"), F.desc("doc_id")).limit(top)
+    return _newest(rows, top, F.desc("created_at"), F.desc("doc_id"))
 
 
-def field_matrix(docs: DataFrame, spec: DataFrame, fb: DataFrame, since=None, user_id=None) -> DataFrame:
-    """Wrong, Correct or Not found for every canonical field of the newest documents."""
-    chosen = newest_documents(docs, since, user_id).select("doc_id", "filename")
+def field_matrix(docs: DataFrame, spec: DataFrame, fb: DataFrame, since=None, user_id=None, top: int | None = None) -> DataFrame:
+    """Wrong, Correct or Not found for every canonical field of the newest documents, or of all."""
+    chosen = newest_documents(docs, since, user_id, top).select("doc_id", "filename")
     pairs = F.array(*[F.struct(F.lit(k).alias("field_key"), F.lit(v).alias("label")) for k, v in CANONICAL_FIELDS])
     grid = chosen.select("doc_id", "filename", F.explode(pairs).alias("f")).select("doc_id", "filename", "f.field_key", "f.label")
     reason = F.concat_ws(" — ", F.nullif(_text("issue_type"), F.lit("")), F.nullif(_text("comment"), F.lit("")))
@@ -204,9 +199,9 @@ def field_matrix(docs: DataFrame, spec: DataFrame, fb: DataFrame, since=None, us
     )
 
 
-def event_matrix(docs: DataFrame, spec: DataFrame, since=None, user_id=None) -> DataFrame:
-    """Notes of the newest documents per event field, for fields that have any note."""
-    chosen = newest_documents(docs, since, user_id).select("doc_id")
+def event_matrix(docs: DataFrame, spec: DataFrame, since=None, user_id=None, top: int | None = None) -> DataFrame:
+    """Notes of the newest documents, or of all, per event field, for fields that have any note."""
+    chosen = newest_documents(docs, since, user_id, top).select("doc_id")
     note = strip(_text("note"))
     notes = spec.where(note != "").join(chosen, "doc_id", "left_semi").groupBy("doc_id", "field_key").agg(
         F.max(F.struct("row_seq", note.alias("n")))["n"].alias("note")

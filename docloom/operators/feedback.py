@@ -212,13 +212,14 @@ def recheck_counts(checked: DataFrame) -> DataFrame:
     ])
 
 
-def learning_effectiveness(fb: DataFrame, top: int = 20) -> DataFrame:
-    """Outcome counts of the most corrected fields and their total (field_key `*`)."""
+def learning_effectiveness(fb: DataFrame, top: int | None = None) -> DataFrame:
+    """Outcome counts of the most corrected fields, or of all, and the total over the fields shown (field_key `*`)."""
     s = F.col("resolution_status")
     per = fb.where(F.col("rating") == "down").groupBy("field_key").agg(
         F.count("*").alias("corrections"), F.count_if(s == "resolved").alias("resolved"),
         F.count_if(s == "recurred").alias("recurred"), F.count_if(s == "pending").alias("pending"),
-    ).orderBy(F.desc("corrections"), "field_key").limit(top)
+    )
+    per = per if top is None else per.orderBy(F.desc("corrections"), "field_key").limit(top)
     total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("corrections", "resolved", "recurred", "pending")])
     return per.unionByName(total.withColumn("field_key", F.lit("*")))
 
@@ -238,11 +239,12 @@ def feedback_stats(fb: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def active_batches(batches: DataFrame, n: int = 5) -> DataFrame:
-    return batches.where(~F.col("status").isin(FINISHED_BATCH)).orderBy(F.desc("created_at"), "batch_id").limit(n)
+def active_batches(batches: DataFrame, n: int | None = None) -> DataFrame:
+    active = batches.where(~F.col("status").isin(FINISHED_BATCH))
+    return active if n is None else active.orderBy(F.desc("created_at"), "batch_id").limit(n)
 
 
-def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=None, used=None, page: int = 1, size: int = 50, limits: Limits = UNCUT) -> DataFrame:
+def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=None, used=None, page: int = 1, size: int | None = None, limits: Limits = UNCUT) -> DataFrame:
     rows = fb
     if extraction_type:
         rows = rows.where(F.col("extraction_type") == extraction_type)
@@ -250,8 +252,8 @@ def list_feedback(fb: DataFrame, docs: DataFrame, extraction_type=None, rating=N
         rows = rows.where(F.col("rating") == rating)
     if used is not None:
         rows = rows.where(F.col("used_in_finetune") == F.lit(bool(used)))
-    page = max(page, 1)
-    shown = rows.orderBy(F.desc("created_at"), F.desc("feedback_id")).offset((page - 1) * size).limit(size)
+    # without a size all rows are one page
+    shown = rows if size is None else rows.orderBy(F.desc("created_at"), F.desc("feedback_id")).offset((max(page, 1) - 1) * size).limit(size)
     names = docs.select("doc_id", F.col("filename").alias("document_filename"))
     return shown.join(names, "doc_id", "left").withColumns({
         "document_filename": _text("document_filename"), "source_text_context": head(_text("source_text_context"), limits.listed_context_chars),

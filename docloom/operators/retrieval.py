@@ -45,8 +45,15 @@ TYPE_TAGS = {
 }
 
 
+# Wording of goals for kinds of businesses, which no section tag stands for.
+SET_ASIDE_WORDS = [
+    "mbe", "wbe", "dbe", "dvbe", "sbe", "hub", "minority", "women-owned", "women owned", "disadvantaged business", "veteran", "set-aside", "set aside",
+    "small business", "diversity", "participation goal",
+]
+
+
 def default_keywords() -> dict[str, list[str]]:
-    return {t: [w for tag in tags for w in SECTION_TAGS[tag]] for t, tags in TYPE_TAGS.items()}
+    return {t: [w for tag in tags for w in SECTION_TAGS[tag]] for t, tags in TYPE_TAGS.items()} | {"set_asides": SET_ASIDE_WORDS}
 
 
 def cosine(a, b) -> Column:
@@ -164,13 +171,13 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return each.groupBy(*keys).agg(F.count("*").alias("tf"))
 
 
-def index_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> int:
+def index_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None, buckets: int = DEFAULT.doc_buckets) -> int:
     """Put chunks into a stored index: the documents of the batch, or those named, have these postings and no others.
 
     The index is a table of versions and document buckets, so a batch rewrites the buckets of its documents only, and
     searches go on with the last committed version meanwhile.
     """
-    return replace_documents(postings(chunks), path, documents if documents is not None else chunks.select("doc_id"))
+    return replace_documents(postings(chunks), path, documents if documents is not None else chunks.select("doc_id"), buckets)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -391,7 +398,7 @@ def context_text(parent, text) -> Column:
     return F.when(F.length(parent) > F.length(text), col(parent)).otherwise(col(text))
 
 
-def trim_paragraphs(text, keywords: list[str], max_chars: int = 3500) -> Column:
+def trim_paragraphs(text, keywords: list[str], max_chars: int) -> Column:
     """Paragraphs with a keyword first, then the others, up to the first that does not fit."""
     t = col(text)
     paras = F.filter(F.transform(F.split(t, r"\n[\s\x0b\p{Z}]*\n"), strip), lambda p: p != "")
@@ -412,7 +419,7 @@ def trim_paragraphs(text, keywords: list[str], max_chars: int = 3500) -> Column:
     return F.when(F.length(t) <= max_chars, t).otherwise(cut if keywords else head(t, max_chars))
 
 
-def trim_middle(text, max_chars: int = 90000, marker: str = "\n\n[... middle of document omitted ...]\n\n") -> Column:
+def trim_middle(text, max_chars: int, marker: str = "\n\n[... middle of document omitted ...]\n\n") -> Column:
     t = col(text)
     first = int(max_chars * 0.65)
     tail = max_chars - first - len(marker)
