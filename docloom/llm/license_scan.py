@@ -3,8 +3,8 @@
 Templates are word sequences: the three phrases that must be found wherever they stand, and the notices of
 common licenses. All rolling k-grams of a document are hashed and joined to the places where templates have them; every
 match votes for the diagonal document place - template place. Diagonals with the votes of a whole template are
-spans as they are; for notices, neighbouring diagonals (a word more or less) are merged, and a span counts if the
-template words found in order reach the share MATCH. The table of template k-grams is a constant, bounded by MAX_GRAMS.
+spans as they are; for notices, a diagonal is merged with its NEAR next ones (a word or two more or less), and a span
+counts if the template words that stand within NEAR of their places reach the share MATCH. The table of template k-grams is a constant, bounded by MAX_GRAMS.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     table = F.broadcast(template_grams(docs.sparkSession, templates).withColumnRenamed("gram", "_gram"))
     met = rolling.join(table, (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("_gram")))
     d = F.when(F.col("t") < 0, 0).otherwise(F.col("p") - F.col("q")).cast("bigint").alias("d")
-    met = met.select("doc_id", "_text", "n_words", "t", d, "q").repartition("doc_id", "_text")
+    met = met.select("doc_id", "_text", "n_words", "t", d, "q")
     return met.groupBy("doc_id", "_text", "n_words", "t", "d", "q").agg(F.count("*").alias("copies"))
 
 
@@ -97,10 +97,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
     of = lambda table: F.get(table, F.col("t"))
     key = ["doc_id", "_text", "n_words"]
     diagonals = votes(docs, templates).groupBy(*key, "t", "d").agg(F.collect_list("q").alias("qs"), F.max("copies").alias("copies"))
-    order = Window.partitionBy(*key, "t").orderBy("d")
-    apart = (F.coalesce(of(strict), F.lit(True)) | (F.col("d") - F.lag("d").over(order) > NEAR)).cast("int")
-    merged = diagonals.withColumn("_new", F.coalesce(apart, F.lit(1))).withColumn("_span", F.sum("_new").over(order))
-    spans = merged.groupBy(*key, "t", "_span").agg(F.flatten(F.collect_list("qs")).alias("qs"), F.min("d").alias("d"), F.max("copies").alias("copies"))
+    # every diagonal with the next NEAR ones, not a chain of neighbours: all words of a span stand within NEAR of their places
+    beside = Window.partitionBy(*key, "t").orderBy("d").rangeBetween(0, NEAR)
+    near = F.flatten(F.collect_list("qs").over(beside))
+    spans = diagonals.withColumn("_near", near).withColumn("qs", F.when(F.coalesce(of(strict), F.lit(True)), F.col("qs")).otherwise(F.array_distinct("_near")))
     covered = F.size(F.array_distinct(F.concat("qs", F.transform("qs", lambda q: q + (K - 1)))))
     share = F.when(F.col("t") >= 0, covered / of(sizes)).otherwise(0.0)
     spans = spans.select(*key, "t", "d", "copies", share.alias("share"), (F.size("qs") == of(sizes) - K + 1).alias("_full"))
@@ -128,9 +128,9 @@ t AS (SELECT t, label, exact, string_split(txt, ' ') AS tw, len(string_split(txt
 tg AS (SELECT t, q, tw[q + 1] || ' ' || tw[q + 2] AS gram FROM (SELECT t, tw, unnest(range(0, n - 1)) AS q FROM t)),
 g AS (SELECT doc_id, p - 1 AS p, ws[p] || ' ' || ws[p + 1] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w)),
 m AS (SELECT doc_id, t, p - q AS d, q FROM g JOIN tg USING (gram)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d) AS sp FROM (
-  SELECT doc_id, t, d, CASE WHEN exact OR d - lag(d) OVER (PARTITION BY doc_id, t ORDER BY d) <= {NEAR} IS NOT TRUE THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT doc_id, t, d FROM m) JOIN t USING (t))),
-c AS (SELECT doc_id, t, sp, min(d) AS d, count(DISTINCT q) AS dq, count(DISTINCT x) AS covered FROM (SELECT doc_id, t, sp, m.d, q, unnest([q, q + 1]) AS x FROM m JOIN s USING (doc_id, t, d)) GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT doc_id, t, d, d + CASE WHEN exact THEN 0 ELSE {NEAR} END AS far FROM m JOIN t USING (t)),
+c AS (SELECT doc_id, t, d, count(DISTINCT q) AS dq, count(DISTINCT x) AS covered FROM (
+  SELECT s.doc_id, s.t, s.d, q, unnest([q, q + 1]) AS x FROM s JOIN m ON m.doc_id = s.doc_id AND m.t = s.t AND m.d BETWEEN s.d AND s.far) GROUP BY 1, 2, 3),
 f AS (SELECT c.*, label, exact, covered / n AS share, dq = n - 1 AS whole FROM c JOIN t USING (t)),
 r AS (SELECT doc_id, count(*) FILTER (exact AND whole) AS n_base, min(d) FILTER (exact AND whole) AS first_word, max(d) FILTER (exact AND whole) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN whole ELSE share >= {MATCH} END) AS labels,
