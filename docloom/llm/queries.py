@@ -64,8 +64,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return suffix_tree.score_documents(docs, suffix_tree.learn(docs))
+    corpus = suffix_tree.encode(_table(spark, sf_dir, "documents"))
+    return suffix_tree.score_documents(corpus, suffix_tree.learn(corpus))
 
 
 QUERIES = {
