@@ -9,9 +9,12 @@ from docloom.checks.q_grounding import cite_sql
 from docloom.checks.q_retrieval import KW, SELECT_SQL, chat_hits
 from docloom.checks.limits import L as LIM
 from docloom.checks.registry import query
+from docloom.functions.text import norm_cite
 from docloom.operators import conversations as CV
 from docloom.operators import evaluation as EV
 from docloom.operators import retrieval as R
+from docloom.plans.scans import once
+from docloom.plans.stage import cut
 
 HIST_SQL = """
 h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
@@ -131,9 +134,9 @@ def _(t):
 
 
 def type_hits(t):
-    c = as_chunks(t.documents)
+    c = cut(once(as_chunks(t.documents), "hay", norm_cite("chunk_text")))
     sel = R.keyword_select(R.keyword_scores(c, KW)).withColumn("rank", F.col("rn"))
-    return sel.join(c.select("doc_id", "chunk_order", "chunk_text"), ["doc_id", "chunk_order"]).select("doc_id", "extraction_type", "rank", "chunk_text")
+    return sel.join(c.select("doc_id", "chunk_order", "hay"), ["doc_id", "chunk_order"]).select("doc_id", "extraction_type", "rank", "hay")
 
 
 RANKS_SQL = SELECT_SQL + ", " + "items AS" + ITEMS_SQL.split("items AS", 1)[1] + f""",

@@ -87,8 +87,11 @@ def passage_hit(source, passage, hay) -> Column:
 
 
 def passage_ranks(truth: DataFrame, hits: DataFrame) -> DataFrame:
-    """First rank of every passage among the retrieved chunks of its document and type."""
-    h = hits.select("doc_id", "extraction_type", "rank", norm_cite("chunk_text").alias("hay"))
+    """First rank of every passage among the retrieved chunks of its document and type.
+
+    A chunk is retrieved for several types; hits may bring its text in citation normal form (`hay`), made once per chunk.
+    """
+    h = hits.select("doc_id", "extraction_type", "rank", F.col("hay") if "hay" in hits.columns else norm_cite("chunk_text").alias("hay"))
     found = truth.join(h, ["doc_id", "extraction_type"]).where(passage_hit("source_text", "passage", "hay"))
     return found.groupBy("doc_id", "extraction_type", "passage").agg(F.min("rank").alias("rank"))
 
