@@ -33,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: those with five-word shingle similarity of 0.8 or more, and what they link."""
+    """One document of each group of near copies: linked by SimHash, checked by five-word shingle similarity of 0.8, and what similar ones it leaves apart."""
     prepared(spark)
     return near_copies.keep_one(docs)
 

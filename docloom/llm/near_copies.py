@@ -1,7 +1,9 @@
-"""Near copies by exact similarity of five-word shingle sets.
+"""Near copies by SimHash, checked by the similarity of five-word shingle sets.
 
 Two documents are linked if the Jaccard similarity of their sets of distinct shingles (words as in `simhash`) is at least
-0.8; near copies are the components of these links. Candidates come from prefixes: in any order of all shingles, two
+0.8; near copies are the components of these links. The fingerprints of the sets are linked by `simhash` first, and each of
+its links is checked against the sets. What similar sets it leaves apart, since their fingerprints are further apart than its
+radius, comes from prefixes: in any order of all shingles, two
 sets that similar share one among the first n - ceil(0.8 n) + 1 of each, so nothing is lost before the sets themselves are
 compared. The order puts common shingles last, which keeps the groups of documents with equal shingles small.
 
@@ -9,8 +11,8 @@ Pairs of a group are discarded where their sizes or sketches rule the similarity
 number of shingles in each of BITS buckets; every bit in which two differ takes a shingle that only one of the sets has. Of sizes a and b, similar sets have at least c = ceil(4 (a + b) / 9) shingles in common, and the first
 c - ceil(0.8 max(a, b)) + 1 of those stand in both prefixes; pairs with fewer equal shingles there are discarded as well.
 
-A group first compares its members with PIVOTS of them, which joins large groups of copies by a number of pairs in line
-with their size; then all its pairs that are in different components by then.
+A group first compares its members with PIVOTS of them that are in other components, which joins large groups of copies by
+a number of pairs in line with their size; then all its pairs that are in different components by then.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import pieces, utf8
-from docloom.llm.simhash import components, shingle_hashes
+from docloom.llm import simhash
+from docloom.llm.common import pieces, salted_join, utf8
+from docloom.llm.simhash import components, majority, shingle_hashes
 from docloom.plans.stage import cut
 
 WORDS = 5
@@ -68,14 +71,25 @@ def similar(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketch): the id and the sketch of the set of each document."""
+    """(doc_id, node, sketch, fp): the id, the sketch and the fingerprint of the set of each document."""
 
     def run(batches):
         for batch in pieces(batches):
             found = [shingle_set(x) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary())], ["doc_id", "node", "sketch"])
+            fps = np.array([majority(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.array(fps)], ["doc_id", "node", "sketch", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node bigint, sketch binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node bigint, sketch binary, fp bigint")
+
+
+def fingerprint_pairs(own: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets linked by their fingerprints; those of one fingerprint by the first of them."""
+    nodes = own.groupBy("node").agg(F.min("fp").alias("fp"))
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = salted_join(nodes, first, ["fp"], "n", ["node"], own.count()).select(F.col("first").alias("one"), F.col("node").alias("two"))
+    sides = [first.select(F.col("fp").alias(k), F.col("first").alias(name)) for k, name in (("a", "one"), ("b", "two"))]
+    near = simhash.links(first.select("fp")).join(sides[0], "a").join(sides[1], "b").select("one", "two")
+    return same.unionByName(near).where("one <> two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -149,11 +163,13 @@ def _groups(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _to_pivots(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every row with the first PIVOTS rows of its group."""
+    """Every row with the first PIVOTS rows of its group, if those are in another component."""
     nodes, sizes, sketches = _columns(table)
+    roots = table.column("root").to_numpy()
     first = starts[np.searchsorted(starts, np.arange(len(nodes)), side="right") - 1]
     for p in range(PIVOTS):
         two = np.flatnonzero(first + p < np.arange(len(nodes)))
+        two = two[roots[first[two] + p] != roots[two]]
         yield from _pairs(nodes, sizes, sketches, first[two] + p, two)
 
 
@@ -230,17 +246,20 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     pair = "a bigint, b bigint, need bigint"
     rows = prefixes(docs, common_shingles(docs)).repartition("shingle").sortWithinPartitions("shingle", "node")
     groups = rows.mapInArrow(grouped(_groups), "shingle bigint, node bigint, size int")
-    sketches = own.groupBy("node").agg(F.min("sketch").alias("sketch"))
-    groups = cut(groups.join(sketches, "node").select("shingle", "node", "size", "sketch"))
+    told = cut(fingerprint_pairs(own))
+    first = cut(verified(told, docs, own))
+    sketches = own.groupBy("node").agg(F.min("sketch").alias("sketch")).join(components(first), "node", "left")
+    groups = cut(groups.join(sketches, "node").select("shingle", "node", "size", "sketch", F.coalesce("root", "node").alias("root")))
     near = groups.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(grouped(_to_pivots), pair)
     # a large group tells a pair only where it holds a pivot, so less will do here; this round may leave out any pair
-    near = cut(near.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("2 * n >= need").select("a", "b"))
-    linked = cut(verified(near, docs, own))
+    near = near.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("2 * n >= need").select("a", "b")
+    near = cut(near.join(told, ["a", "b"], "left_anti"))
+    linked = cut(first.unionByName(verified(near, docs, own)))
     roots = components(linked).withColumnRenamed("node", "n")
-    told = groups.join(roots, F.col("node") == F.col("n"), "left").select("shingle", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
-    rest = told.repartition("shingle").sortWithinPartitions("shingle", "root", "node").mapInArrow(grouped(_apart), pair)
+    apart = groups.drop("root").join(roots, F.col("node") == F.col("n"), "left").select("shingle", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+    rest = apart.repartition("shingle").sortWithinPartitions("shingle", "root", "node").mapInArrow(grouped(_apart), pair)
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b")
-    rest = cut(rest.join(near, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(near.unionByName(told), ["a", "b"], "left_anti"))
     return linked.unionByName(verified(rest, docs, own))
 
 

@@ -48,7 +48,10 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarr
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """64 bits; bit i is set where more than half of the shingle hashes have it. No words: 0."""
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -473,6 +473,29 @@ def test_near_copies(spark, monkeypatch):
     assert len(over) > 20
 
 
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """Sets with fingerprints of 3 bits or fewer apart are told by SimHash, and the stage takes its links from there."""
+    rnd = random.Random(23)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(edited(rnd, base, 1)), " ".join(base[:-1])]
+    rows = dict(enumerate(texts))
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(5)
+    own = near_copies.sets(df).collect()
+    told = {(r.a, r.b) for r in near_copies.fingerprint_pairs(spark.createDataFrame(own, "doc_id bigint, node bigint, sketch binary, fp bigint")).collect()}
+    joined = {node: node for r in own for node in [r.node]}
+    for _ in own:
+        for a, b in told:
+            joined[a] = joined[b] = min(joined[a], joined[b])
+    close = [(x.node, y.node) for x, y in itertools.combinations(own, 2) if ((x.fp ^ y.fp) & (2**64 - 1)).bit_count() <= 3]
+    assert len(close) > 10 and all(joined[a] == joined[b] for a, b in close)
+    calls, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: calls.append(1) or links(*a, **b))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert calls and kept == set(plain_near_copies(rows).values())
+
+
 def test_pipeline_run(spark, tmp_path):
     """All stages in a row against plain ones; without labels the first one keeps everything."""
     rnd = random.Random(22)
