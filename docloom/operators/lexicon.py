@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, UNCUT, Config, Limits
 from docloom.fixed import FOCUSED_TYPES
-from docloom.functions.text import WS, col, collapse, contains_any, first, head, literal_array, norm_ws, ordered_join, strip, within
+from docloom.functions.text import WS, bound, col, collapse, contains_any, first, head, literal_array, norm_ws, ordered_join, strip, within
 from docloom.plans.scans import once
 
 # Class markers with the tie order of the classes.
@@ -154,7 +154,8 @@ def cover_text(pages: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT, limit
 def _score(low: Column, markers: list[str]) -> Column:
     out = F.lit(0)
     for m in markers:
-        out = out + low.rlike(r"(?U)\b" + re.escape(m) + r"\b").cast("int")
+        # a text without the literal is not searched for its word boundaries
+        out = out + (low.contains(m) & low.rlike(r"(?U)\b" + re.escape(m) + r"\b")).cast("int")
     return out
 
 
@@ -164,13 +165,14 @@ def _best_class(low: Column, table: dict[str, list[str]], default: str) -> Colum
         F.struct(_score(low, words).alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("n"))
         for i, (name, words) in enumerate(table.items())
     ])
-    best = F.array_max(options)
-    return F.when(best["s"] > 0, best["n"]).otherwise(default)
+    return bound(F.array_max(options), lambda best: F.when(best["s"] > 0, best["n"]).otherwise(default))
 
 
 def classify_documents(cover: DataFrame) -> DataFrame:
-    low = F.lower(F.coalesce("cover", F.lit("")))
-    return cover.select(
+    # the text is lower-cased once, not once for each marker
+    rows = once(cover, "__low", F.lower(F.coalesce("cover", F.lit(""))))
+    low = F.col("__low")
+    return rows.select(
         "doc_id", _best_class(low, SOLICITATION_MARKERS, "unknown").alias("solicitation_type"),
         _best_class(low, DOMAIN_MARKERS, "general").alias("domain"),
     )
@@ -179,12 +181,13 @@ def classify_documents(cover: DataFrame) -> DataFrame:
 def _distinct_ci(df: DataFrame, name: str, expr: Column, limit: int | None = None) -> DataFrame:
     """Add an array without case-insensitive repeats, first spelling kept.
 
-    The array and its lower-case form are computed once per row and only then compared.
+    Elements are sorted by their lower-case form and place, so that repeats stand side by side; the first of each
+    go back to their places. Each step is computed once per row.
     """
-    df = once(df, "__k", expr)
-    df = once(df, "__l", F.transform("__k", lambda t: F.lower(strip(t))))
-    kept = F.filter("__k", lambda t, i: F.array_position("__l", F.get("__l", i)) == i + 1)
-    return df.withColumn(name, kept if limit is None else F.slice(kept, 1, limit)).drop("__k", "__l")
+    df = once(df, "__k", F.sort_array(F.transform(expr, lambda t, i: F.struct(F.lower(strip(t)).alias("l"), i.alias("i"), t.alias("t")))))
+    firsts = F.filter("__k", lambda x, j: x["l"].isNotNull() & ((j == 0) | ~x["l"].eqNullSafe(F.get("__k", j - 1)["l"])))
+    kept = F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
+    return df.withColumn(name, kept if limit is None else F.slice(kept, 1, limit)).drop("__k")
 
 
 def with_mined(df: DataFrame, text, limit: int | None = None, name: str = "mined") -> DataFrame:
@@ -212,9 +215,10 @@ def mined_terms(docs: DataFrame, text: str, limit: int | None = None) -> DataFra
 
 def term_types(term) -> Column:
     """Extraction types of a term; a term without a hook belongs to all of them."""
-    low = F.lower(col(term))
-    hit = F.array_compact(F.array(*[F.when(contains_any(low, HOOKS[t]), t) for t in FOCUSED_TYPES]))
-    return F.when(F.size(hit) > 0, hit).otherwise(literal_array(FOCUSED_TYPES))
+    def hooked(low):
+        return F.array_compact(F.array(*[F.when(contains_any(low, HOOKS[t]), t) for t in FOCUSED_TYPES]))
+
+    return bound(bound(F.lower(col(term)), hooked), lambda hit: F.when(F.size(hit) > 0, hit).otherwise(literal_array(FOCUSED_TYPES)))
 
 
 def route_terms(terms: DataFrame) -> DataFrame:
@@ -232,7 +236,7 @@ def document_lexicon(mined: DataFrame, loaded: DataFrame) -> DataFrame:
     The learned vocabulary is limited per type, so it travels as one small array per type.
     """
     learned = loaded.groupBy("extraction_type", "entry_kind").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_display"))), lambda s: s["term_display"]).alias("ts")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "term_display"))), lambda s: s["term_display"]).alias("ts")
     )
     per_type = learned.groupBy("extraction_type").agg(
         F.max(F.when(F.col("entry_kind") == "term", F.col("ts"))).alias("lt"),
@@ -240,7 +244,7 @@ def document_lexicon(mined: DataFrame, loaded: DataFrame) -> DataFrame:
     )
     # every term is routed once; the types are spread afterwards
     own = mined.withColumn("types", term_types("term")).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("term_seq", "term", "types"))).alias("m")
+        F.sort_array(F.collect_list(F.struct("term_seq", "term", "types"))).alias("m")
     )
     empty = F.array().cast("array<string>")
     glob = _distinct_ci(own, "global_terms", F.filter(F.transform("m", lambda s: strip(s["term"])), lambda t: F.length(t) >= 3))
