@@ -9,6 +9,7 @@ from docloom.config import DEFAULT, Config
 from docloom.fixed import FOCUSED_TYPES
 from docloom.functions.text import WS, col, contains_any, count_contained, head, literal_array, ordered_join, strip, within
 from docloom.operators.chunks import SECTION_TAGS
+from docloom.plans.scans import BLOCK
 from docloom.plans.stage import cut
 from docloom.sources.snapshots import replace_documents
 
@@ -28,6 +29,7 @@ OPERATIONAL_MARKERS = [
 PIN_TYPES = ["scope_of_work", "technical_requirements"]
 BROAD_TYPES = [t for t in FOCUSED_TYPES if t != "submission_deadlines"]
 BROAD_MAX, DEFAULT_MAX, BROAD_MIN, DEFAULT_MIN = 14, 10, 8, 4
+LISTED_ROWS = 1 << 19  # scores of chunks and types that one task lists
 FAST_TYPES = ["technical_requirements", "set_asides"]
 BOOSTS = {
     "eligibility_criteria": {"cover_metadata": 8, "general_section": 1},
@@ -288,15 +290,24 @@ def _needed(etype) -> Column:
     return F.when(col(etype).isin(BROAD_TYPES), BROAD_MIN).otherwise(DEFAULT_MIN)
 
 
-def stratified_fill(selected: DataFrame, counts: DataFrame, factor: int = 1) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt to so many tasks by their keys, and no part of a broadcast.
+
+    Rows this narrow are small in files and shuffles; by those bytes one task, or every task by a broadcast, would hold nearly all of them.
+    """
+    return (rows if parts is None else rows.repartition(parts, *keys)).hint("merge")
+
+
+def stratified_fill(selected: DataFrame, counts: DataFrame, factor: int = 1, parts: int | None = None) -> DataFrame:
     """Evenly spaced extra chunks where too few were selected.
 
     Chunk orders run from 1 to n without gaps, so the i-th unselected chunk follows from the
     few selected orders by arithmetic and the rest of the document is never listed.
     """
-    have = selected.groupBy("doc_id", "extraction_type").agg(F.array_sort(F.collect_list("chunk_order")).alias("have"))
-    base = counts.select("doc_id", "n", F.explode(literal_array(FOCUSED_TYPES)).alias("extraction_type")).join(
-        have, ["doc_id", "extraction_type"], "left"
+    keys = ["doc_id", "extraction_type"]
+    have = _dealt(selected, parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("chunk_order")).alias("have"))
+    base = _dealt(counts.select("doc_id", "n", F.explode(literal_array(FOCUSED_TYPES)).alias("extraction_type")), parts, *keys).join(
+        have.hint("merge"), keys, "left"
     ).withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
     want = _needed("extraction_type") * factor - F.size("have")
     pool = F.col("n") - F.size("have")
@@ -309,20 +320,34 @@ def stratified_fill(selected: DataFrame, counts: DataFrame, factor: int = 1) ->
     return rows.select("doc_id", "extraction_type", F.posexplode(F.transform(picks, order)).alias("fill_seq", "chunk_order"))
 
 
-def _listed(selected: DataFrame, op: DataFrame) -> DataFrame:
-    """Final order of (doc_id, extraction_type, chunk_order, pos) rows, operational chunks `op` first where pinned."""
+def _listed(selected: DataFrame, op: DataFrame, parts: int | None = None) -> DataFrame:
+    """Final order of (doc_id, extraction_type, chunk_order, pos) rows, operational chunks `op` first where pinned.
+
+    What is selected for a document and type is a short list in one row; `parts` deals the rows to so many tasks.
+    """
+    if parts is None:
+        first = op
+    else:
+        block = F.floor(F.col("chunk_order") / BLOCK)
+        inside = Window.partitionBy("doc_id", "block").orderBy("chunk_order")
+        first = op.withColumn("block", block).repartition(parts, "doc_id", "block").withColumn("pos", F.row_number().over(inside)).where(F.col("pos") <= BROAD_MAX).repartition(parts, "doc_id")
     w = Window.partitionBy("doc_id").orderBy("chunk_order")
-    pins = op.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= BROAD_MAX)
+    pins = first.select("doc_id", "chunk_order", F.row_number().over(w).alias("pos")).where(F.col("pos") <= BROAD_MAX)
     pinned = pins.select("doc_id", F.explode(literal_array(PIN_TYPES)).alias("extraction_type"), "chunk_order", (F.col("pos") - 1000).alias("pos"))
     # operational chunks among the selection keep their mark even beyond the pinned ones
-    marked = selected.join(op.withColumn("op", F.lit(True)), ["doc_id", "chunk_order"], "left").withColumn("op", F.coalesce("op", F.lit(False)))
+    place = ["doc_id", "chunk_order"]
+    marked = _dealt(selected, parts, *place).join(_dealt(op.withColumn("op", F.lit(True)), parts, *place), place, "left").withColumn("op", F.coalesce("op", F.lit(False)))
     rows = marked.select("doc_id", "extraction_type", "chunk_order", "pos", "op").unionByName(pinned.withColumn("op", F.lit(True)))
-    once = rows.groupBy("doc_id", "extraction_type", "chunk_order").agg(F.min("pos").alias("pos"), F.bool_or("op").alias("op"))
-    first = Window.partitionBy("doc_id", "extraction_type").orderBy("pos")
-    best = once.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max_chunks("extraction_type"))
-    group = F.when(F.col("extraction_type").isin(PIN_TYPES) & F.col("op"), 0).otherwise(1)
-    final = Window.partitionBy("doc_id", "extraction_type").orderBy(group, "chunk_order")
-    return best.withColumn("position", F.row_number().over(final)).select("doc_id", "extraction_type", "chunk_order", "position")
+    keys = ["doc_id", "extraction_type"]
+    if parts is not None:
+        rows = rows.repartition(parts, *keys)
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_order", "pos", "op"))).alias("l"))
+    # the mark is one of the chunk, so the first of a chunk's entries has its smallest position and its mark
+    once = F.filter("l", lambda x, i: (i == 0) | (F.get("l", i - 1)["chunk_order"] != x["chunk_order"]))
+    best = F.slice(F.sort_array(F.transform(once, lambda x: F.struct(x["pos"], x["chunk_order"], x["op"]))), F.lit(1), max_chunks("extraction_type"))
+    group = lambda x: F.when(F.col("extraction_type").isin(PIN_TYPES) & x["op"], 0).otherwise(1)
+    final = F.sort_array(F.transform(best, lambda x: F.struct(group(x).alias("group"), x["chunk_order"].alias("chunk_order"))))
+    return lists.select(*keys, F.posexplode(final).alias("i", "x")).select(*keys, F.col("x.chunk_order").alias("chunk_order"), (F.col("i") + 1).alias("position"))
 
 
 def _operational(chunks: DataFrame) -> DataFrame:
@@ -333,18 +358,20 @@ def pin_operational(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     return _listed(selected, _operational(chunks))
 
 
-def _signals(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores, operational chunks and chunk counts from one pass over the texts, kept at a stage boundary."""
+def _signals(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Scores, operational chunks, chunk counts and tasks to list them by, from one pass over the texts, kept at a stage boundary."""
     marked = chunks.withColumn("__op", is_operational("section_title", "chunk_text"))
     rows = cut(keyword_scores(marked, keywords, terms, keep=["__op"]))
     scores = rows.select("doc_id", "chunk_id", "chunk_order", F.explode("scores").alias("e")).select("doc_id", "chunk_id", "chunk_order", F.col("e.t").alias("extraction_type"), F.col("e.s").alias("score"))
-    return scores, rows.where("__op").select("doc_id", "chunk_order"), rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * len(FOCUSED_TYPES) // LISTED_ROWS))
+    counts = rows.select("doc_id").repartition(parts, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return scores, rows.where("__op").select("doc_id", "chunk_order"), counts, parts
 
 
-def _keyword_list(scores: DataFrame, op: DataFrame, counts: DataFrame) -> DataFrame:
+def _keyword_list(scores: DataFrame, op: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     top = keyword_select(scores).select("doc_id", "extraction_type", "chunk_order", F.col("rn").alias("pos"))
-    fill = stratified_fill(top, counts).select("doc_id", "extraction_type", "chunk_order", (F.col("fill_seq") + 100).alias("pos"))
-    return _listed(top.unionByName(fill), op)
+    fill = stratified_fill(top, counts, parts=parts).select("doc_id", "extraction_type", "chunk_order", (F.col("fill_seq") + 100).alias("pos"))
+    return _listed(top.unionByName(fill), op, parts)
 
 
 def keyword_chunks(chunks: DataFrame, keywords: dict[str, list[str]], terms: DataFrame | None = None) -> DataFrame:
@@ -375,12 +402,12 @@ def fuse_selections(keyword: DataFrame, hybrid: DataFrame, kw_weight: float = 1.
 
 def select_chunks(chunks: DataFrame, keywords: dict[str, list[str]], hits: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Chunks sent to extraction for every document and type."""
-    scores, op, counts = _signals(chunks, keywords, terms)
-    kw = _keyword_list(scores, op, counts)
+    scores, op, counts, parts = _signals(chunks, keywords, terms)
+    kw = _keyword_list(scores, op, counts, parts)
     if hits is None:
         return kw
     fused = fuse_selections(cut(kw), hits)
-    return _listed(fused.select("doc_id", "extraction_type", "chunk_order", F.col("position").alias("pos")), op)
+    return _listed(fused.select("doc_id", "extraction_type", "chunk_order", F.col("position").alias("pos")), op, parts)
 
 
 def wider_selection(chunks: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
