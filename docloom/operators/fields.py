@@ -48,6 +48,7 @@ SOLICITATION_REJECT = [
     "reference no. of document", "document being continued", "continuation sheet", "purchase request number", "requisition",
     "advertisement #", "advertisement#",
 ]
+LOCATIONS = "project_size_location_items"
 AFTER_AWARD = r"(?i)(\d+(?:\.\d+)?)\s*(?:calendar\s+|working\s+|business\s+)?days?\s+after\s+award"
 APPENDED = 1 << 60
 
@@ -178,7 +179,10 @@ def build_spec_rows(items: DataFrame, key_chars: int | None = None, scope_chars:
 
 def date_notes(items: DataFrame) -> DataFrame:
     """Longest note per document and date field, first one on ties; acquisition events included."""
-    it = label_value(items)
+    typed = items.where(F.col("extraction_type").isin("submission_deadlines", "eligibility_criteria", "mandatory_documents"))
+    texts = ["requirement", "label", "value"]
+    # the texts are taken once; merged projections would make them again at every use
+    it = label_value(once(typed.select("doc_id", "extraction_type", "item_seq", F.struct(*texts).alias("__t")), "__x", F.col("__t")).select("doc_id", "extraction_type", "item_seq", "__x.*"))
     targets = F.create_map(*[F.lit(x) for kv in DATE_NOTE_TARGETS.items() for x in kv])
     own = F.lower(strip(_text("label")))
     dl = F.when(own != "", own).otherwise(F.col("l"))
@@ -470,7 +474,7 @@ def address_score(c) -> Column:
 
 def merge_locations(rows: DataFrame) -> DataFrame:
     """All distinct locations of a document in one row: no value that another one contains."""
-    loc = (F.col("bucket") == "project_size_location_items") & (F.col("field_key") == "project_location")
+    loc = (F.col("bucket") == LOCATIONS) & (F.col("field_key") == "project_location")
     base = once(rows.where(loc), "v", row_value())
     rank = F.struct(address_score("v").alias("a"), quality_key().alias("q"), (-F.col("row_seq")).alias("o"))
     payload = [c for c in SPEC_COLUMNS if c != "doc_id"]
@@ -592,17 +596,20 @@ def merge_warnings(warnings: DataFrame) -> DataFrame:
 def finalize(rows: DataFrame, notes: DataFrame | None = None, infer_dates: bool = False) -> tuple[DataFrame, DataFrame]:
     """Date rules, notes, filters, merging, deduplication, confidence and warnings, in order.
 
-    The rules read the rows again and again, so the table is written once after the date rules
-    and once after deduplication.
+    The rules read the rows again and again, so rows and notes are written before them, and the table again after the
+    date rules, the filters, the merging and the deduplication. Locations and other metadata are merged apart: neither
+    merging reads the rows of the other.
     """
-    out = rule_bid_open(rows.select(*SPEC_COLUMNS))
+    out = rule_bid_open(cut(rows.select(*SPEC_COLUMNS)))
     if infer_dates:
-        out = rule_award_anchor(rule_end_date(cut(rule_start_date(cut(out)))))
+        out = rule_award_anchor(rule_end_date(cut(rule_start_date(out))))
     else:
         out = drop_inferred(out)
     if notes is not None:
-        out = attach_notes(cut(out), notes)
-    out = cut(infer_field_key(merge_locations(merge_multi(cut(filter_rows(cut(out)))))))
+        out = attach_notes(out, cut(notes))
+    kept = cut(filter_rows(cut(out)))
+    place = F.coalesce(F.col("bucket") == LOCATIONS, F.lit(False))
+    out = cut(infer_field_key(merge_multi(kept.where(~place)).unionByName(merge_locations(kept.where(place)))))
     first = dedupe_warnings(out)
     out = cut(zero_bad_years(apply_confidence(dedupe_rows(out))))
     warnings = merge_warnings(first.unionByName(field_warnings(out)).unionByName(date_warnings(out)))
