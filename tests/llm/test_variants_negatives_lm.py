@@ -229,6 +229,19 @@ def test_lm_equals_plain_tree(spark, head):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)  # better than counts on texts it has not seen
 
 
+@pytest.mark.parametrize(("near", "head"), [(0, 12), (10, 0), (10, 1 << 20)])
+def test_lm_knows_words_that_do_not_lie_on_every_task(spark, near, head):
+    rows = [*lm_texts(5), *[(400 + i, "zeta " + "long" * 30 + f" seldom{i % 3} eta" if i % 2 else f"omega seldom{i % 3} theta") for i in range(80)]]
+    docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    corpus = suffix_tree.encode(docs, near=near)
+    got = sorted((str(r.doc_id), r.n_known, r.base_score, r.score) for r in suffix_tree.score_documents(corpus, suffix_tree.learn(corpus, least=5, cost=0.5, head=head)).collect())
+    short = [(i, t.replace("long" * 30, "long") if t else t) for i, t in rows]  # the plain tree leaves long words out
+    want, model, _ = plain_lm(short, 1 << 30, 5, 2, 0.5)
+    assert (b"seldom1",) in model and (b"long", b"seldom1") in model
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == (w[0], w[3]) and g[2] == pytest.approx(w[5], abs=1e-5) and g[3] == pytest.approx(w[6], abs=1e-4)
+
+
 def test_lm_distributions_sum_to_one():
     rows = [r for r in lm_texts(4) if zlib.crc32(str(r[0]).encode()) % 10]  # every token is known, so the unknown one has 0.1 of N + 0.1 (V + 1)
     want, model, root = plain_lm(rows, 40, 5, 2, 0.5)
