@@ -226,7 +226,7 @@ def encode(docs: DataFrame, size: int | None = None, like: Corpus | None = None,
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *many]), pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), some),
             ], ["row", "doc_id", "held_out", "ids", "rare"])
 
-    encoded = cut(rows.mapInArrow(run, ENCODED))
+    encoded = cut(rows.mapInArrow(run, ENCODED), "zstd")
     rare = encoded.select("row", F.posexplode("rare").alias("k", "r")).select("row", "k", "r.token", F.col("r.n").alias("times"))
     met = salted_join(rare, vocabulary, ["token"], "n", ["row"], symbols.total)
     c, none = F.coalesce("c", F.lit(0)), F.col("symbol").isNull()
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, size: int | None = None, like: Corpus | None = None,
     sums = cut(met.groupBy("row").agg(*sums, found))
     slim = encoded.select("row", "doc_id", "held_out", "ids", F.size("rare").alias("many")).join(sums.select("row", "found"), "row", "left")
     filled = slim.mapInArrow(_filled, "row bigint, doc_id bigint, held_out boolean, ids array<int>")
-    return Corpus(vocabulary, symbols, cut(filled), sums.drop("found"))
+    return Corpus(vocabulary, symbols, cut(filled, "zstd"), sums.drop("found"))
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +411,7 @@ def learn(corpus: Corpus, least: int = CONTEXT, transition: int = TRANSITION, co
     limit = symbols.at_least(least)
     shared, bow1 = context.broadcast(symbols), np.full(min(limit, head), np.nan)
 
-    pairs = cut(_counted(corpus, 1, limit).where(F.col("n") >= transition))
+    pairs = cut(_counted(corpus, 1, limit).where(F.col("n") >= transition), "zstd")
     first = _with_parents(pairs, shared, context.broadcast(bow1)).select("context", "x", "size", "n", F.col("root").alias("parent"))
     states1, transitions1 = _states(first, cost)
     found = states1.where(F.col("context") < len(bow1)).select("context", "bow").toArrow()  # at most one row per symbol of the head
@@ -419,7 +419,7 @@ def learn(corpus: Corpus, least: int = CONTEXT, transition: int = TRANSITION, co
 
     # contexts of two words: the pairs that are frequent enough themselves
     longer = pairs.where((F.col("n") >= least) & (F.col("x") < limit)).select(_pair("context", "x").alias("context"), F.col("n").alias("size"))
-    triples = cut(_counted(corpus, 2, limit, context.broadcast(key_filter(longer.select("context")))).where(F.col("n") >= transition))
+    triples = cut(_counted(corpus, 2, limit, context.broadcast(key_filter(longer.select("context")))).where(F.col("n") >= transition), "zstd")
     second = _with_parents(triples, shared, context.broadcast(bow1)).drop("size").join(longer, "context")
     if limit > len(bow1):
         far = states1.where(F.col("context") >= len(bow1)).select(F.col("context").alias("one"), F.col("bow").alias("far"))
