@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT
 from docloom.plans.stage import cut, exists
 
+TASK_ROWS = 1 << 18  # about so many rows of a bucket are written by one task
+
 
 def with_bucket(df: DataFrame, buckets: int = DEFAULT.doc_buckets) -> DataFrame:
     return df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
@@ -72,7 +74,7 @@ def replace_documents(df: DataFrame, path: str, documents: DataFrame | None = No
         keep = with_bucket(old, buckets).join(named.select("doc_id"), "doc_id", "left_anti")
         out = keep.select(*new.columns).unionByName(new)
     data = f"{path}/data/v{next_version}"
-    out.repartition("doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(data)
+    _dealt(out, len(touched)).write.mode("overwrite").partitionBy("doc_bucket").parquet(data)
     filled = {int(s.getPath().getName().split("=")[1]) for s in _children(spark, data) if s.getPath().getName().startswith("doc_bucket=")}
     written = {b: v for b, v in written.items() if b not in touched} | dict.fromkeys(filled, next_version)
     if next_version in versions(spark, path):
@@ -83,6 +85,16 @@ def replace_documents(df: DataFrame, path: str, documents: DataFrame | None = No
     return next_version
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows brought together by bucket; a bucket of more than TASK_ROWS rows is written by several tasks, by the hash of its rows."""
+    n = rows.count()
+    parts = -(-n // (TASK_ROWS * max(1, buckets)))
+    if parts <= 1:
+        return rows.repartition("doc_bucket")
+    kinds = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    return rows.repartition(n // TASK_ROWS + buckets, "doc_bucket", F.pmod(F.xxhash64(*kinds), F.lit(2 * parts)))
+
+
 def _children(spark: SparkSession, path: str):
     target, files = _files(spark, path)
     return list(files.listStatus(target))

@@ -222,3 +222,14 @@ def test_result_insights(spark):
         f.write('{"doc_id":"1","data":{"parsed":{"parsing_quality_score":0.5},"insights":[{"extraction_type":"a","payload":{"items":[{"x":1},{"x":2}]},"token_usage":{"prompt_tokens":7}},{"extraction_type":"b"}]}}')
     rows = S.result_insights(S.read_results(spark, d)).collect()
     assert sorted((r.extraction_type, r.n_items, r.prompt_tokens) for r in rows) == [("a", 2, 7), ("b", 0, None)]
+
+
+def test_rows_of_a_large_bucket_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(N, "TASK_ROWS", 100, raising=False)
+    path, rows = fresh() + "/t", [(i % 5, f"v{i}") for i in range(1000)]
+    N.replace_documents(spark.createDataFrame(rows, DOCS), path, buckets=1)
+    assert values(N.read_snapshot(spark, path)) == sorted(rows)
+    files = [f for f in os.listdir(f"{path}/data/v0/doc_bucket=0") if f.endswith(".parquet")]
+    assert len(files) > 3
+    N.replace_documents(spark.createDataFrame([(1, "new")], DOCS), path, buckets=1)
+    assert values(N.read_snapshot(spark, path)) == sorted([r for r in rows if r[0] != 1] + [(1, "new")])
