@@ -42,7 +42,8 @@ DISCOUNT = 0.5
 COST = 12.0  # nats that a state must gain for itself and for each of its transitions
 HEAD = 1 << 22
 FILTER = 1 << 25
-CHUNK = 1 << 22
+CHUNK = 1 << 19  # symbols that a task holds while it counts what follows them
+OUT = 1 << 16  # rows of a batch of counts
 WORDS = 400_000  # distinct words that a task counts at a time
 BUCKETS = 1024
 MASK = (1 << BITS) - 1
@@ -277,39 +278,51 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
+def followers(batches: Iterator[pa.RecordBatch], depth: int, limit: int, keep: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of symbols behind their contexts: (key, n) with both in one number, or (context, x, n) for contexts of two words.
+
+    About CHUNK symbols are held at a time, and counts are passed on in short batches: both sides of a worker's pipe hold whole batches.
+    """
+    context, x, held = np.empty(CHUNK, np.int64), np.empty(CHUNK, np.int64), 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, last = context[:held], x[:held]
+        if depth == 1:
+            key, n = np.unique(key << BITS | last, return_counts=True)
+            columns = {"key": key, "n": n}
+        else:
+            own, place = np.unique(key, return_inverse=True)
+            pair, n = np.unique(place << BITS | last, return_counts=True)
+            columns = {"context": own[pair >> BITS], "x": pair & MASK, "n": n}
+        for at in range(0, len(columns["n"]), OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + OUT], pa.int64()) for c in columns.values()], list(columns))
+
+    for batch in batches:
+        ids, first = _symbols_of(batch)
+        one, two = contexts(ids, first)
+        fit = (ids >= 0) & (one >= 0) & (one < limit)
+        fit = np.flatnonzero(fit if depth == 1 else fit & (two >= 0) & (two < limit))
+        own = one[fit] if depth == 1 else two[fit] << BITS | one[fit]
+        if keep is not None:
+            good = passes(keep, own)
+            own, fit = own[good], fit[good]
+        at = 0
+        while at < len(own):
+            take = min(len(own) - at, len(context) - held)
+            context[held : held + take], x[held : held + take] = own[at : at + take], ids[fit[at : at + take]]
+            at, held = at + take, held + take
+            if held == len(context):
+                yield from flush()
+                held = 0
+    if held:
+        yield from flush()
+
+
 def _counted(corpus: Corpus, depth: int, limit: int, wanted=None) -> DataFrame:
     """(context, x, n): how often symbol x follows a context of symbols below `limit` in the training rows; contexts that `wanted` rejects are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted.value if wanted else None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            context, x = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            if depth == 1:
-                key, n = np.unique(context << BITS | x, return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
-            own, place = np.unique(context, return_inverse=True)
-            key, n = np.unique(place << BITS | x, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own[key >> BITS]), pa.array(key & MASK), pa.array(n, pa.int64())], ["context", "x", "n"])
-
-        for batch in batches:
-            x, first = _symbols_of(batch)
-            one, two = contexts(x, first)
-            fit = (x >= 0) & (one >= 0) & (one < limit)
-            fit = np.flatnonzero(fit if depth == 1 else fit & (two >= 0) & (two < limit))
-            context = one[fit] if depth == 1 else two[fit] << BITS | one[fit]
-            if keep is not None:
-                good = passes(keep, context)
-                context, fit = context[good], fit[good]
-            found.append((context, x[fit]))
-            held += len(fit)
-            if held > CHUNK // depth:
-                yield flush()
-                found, held = [], 0
-        if held:
-            yield flush()
+        return followers(batches, depth, limit, wanted.value if wanted else None)
 
     rows = corpus.rows.where(~F.col("held_out")).select("ids")
     if depth == 2:

@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +266,19 @@ def test_lm_of_nothing(spark):
     corpus = suffix_tree.encode(only)
     got = suffix_tree.score_documents(corpus, suffix_tree.learn(corpus)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(0, 0, 0.0, 0.0)] * 2 and {r.n_tokens for r in got} == {5, 1}
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_lm_counting_holds_little_at_a_time(depth):
+    """Rows of any number of tokens are counted within some MB, and no batch that is passed on is large."""
+    rng = np.random.default_rng(7)
+    lists = [rng.integers(0, 5000, 300_000, dtype=np.int32) for _ in range(8)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int32()))], ["ids"]) for x in lists]
+    tracemalloc.start()
+    many, largest = 0, 0
+    for batch in suffix_tree.followers(iter(batches), depth, 5000):
+        many, largest = many + sum(batch.column("n").to_pylist()), max(largest, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many == 8 * (300_000 - depth) and largest <= suffix_tree.OUT
+    assert peak < 80e6, peak
