@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import streamed
-from docloom.llm.topk import LIMIT, exact_scores
+from docloom.llm.topk import EXACT, LIMIT, exact_scores
 from docloom.plans.stage import cut
 
 SCALE = 256
@@ -33,6 +34,7 @@ SAMPLE = 8_192  # rows that the codebooks are fitted on: the smallest hashes of
 CELL = 128  # rows of a cell aimed at
 WORDS = 64  # codewords of a half at most
 SHARD = 16_384
+TOGETHER = 1_024  # rows that are scored at a time
 NONE = -(1 << 63)
 
 
@@ -49,12 +51,16 @@ def labelled_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def _padded(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Vectors as rows of one matrix; shorter ones end in zeros, which change no product."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     out = np.zeros((len(column), width))
-    for k, x in enumerate(column.to_pylist()):
-        out[k, : len(x)] = x
+    out[np.arange(width) < _lengths(column)[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def _lengths(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy().astype(np.int64)
+
+
 def codebook(points: np.ndarray, words: int, rounds: int = 8) -> np.ndarray:
     """Codewords by Lloyd's rounds from evenly spaced starts; the same points give the same words."""
     points = np.unique(points, axis=0)
@@ -98,16 +104,13 @@ class Index:
         a, b = q[:, :half], q[:, half:]
         return a @ self.books[0].T, np.sqrt((a * a).sum(1)), b @ self.books[1].T, np.sqrt((b * b).sum(1))
 
-    def shard_bounds(self, q: np.ndarray) -> list[dict[int, float]]:
+    def shard_bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query the highest cell bound in every shard; all parts of a split cell have its bound."""
         pa_, na, pb, nb = self.halves(q)
         up = slack(pa_[:, self.i] + na[:, None] * self.r + pb[:, self.j] + nb[:, None] * self.s, np.hypot(na, nb)[:, None], self.reach())
-        out: list[dict[int, float]] = [{} for _ in range(len(q))]
+        out = np.full((len(q), self.shards), -math.inf)
         for k, (first, parts) in enumerate(zip(self.first, self.parts)):
-            for s in range(first, first + parts):
-                for row, value in enumerate(up[:, k].tolist()):
-                    if value > out[row].get(s, -math.inf):
-                        out[row][s] = value
+            out[:, first : first + parts] = np.maximum(out[:, first : first + parts], up[:, k : k + 1])
         return out
 
     def reach(self) -> float:
@@ -153,11 +156,12 @@ class Shard:
 
     def __init__(self, rows: pa.Table, index: Index):
         self.index = index
-        i, j = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("i", "j"))
-        order = np.lexsort((np.array(rows.column("vec_id").to_pylist(), np.int64), j, i))
-        self.ids, self.labels = (np.array(rows.column(c).to_pylist(), np.int64)[order] for c in ("vec_id", "label"))
+        i, j, ids, labels = (rows.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "vec_id", "label"))
+        order = np.lexsort((ids, j, i))
+        self.ids, self.labels = ids[order], labels[order]
         self.rows = _padded(rows.column("v"), index.width)[order]
-        self.dims = np.array([len(x) for x in rows.column("v").to_pylist()], np.int64)[order]
+        self.dims = _lengths(rows.column("v"))[order]
+        self.largest = np.abs(self.rows).max(initial=0)
         key = list(zip(i[order].tolist(), j[order].tolist()))
         edges = [0] + [k for k in range(1, len(key)) if key[k] != key[k - 1]] + [len(key)]
         self.cells = {key[a]: (a, b) for a, b in zip(edges, edges[1:]) if a < b}
@@ -185,27 +189,45 @@ class Shard:
                 heapq.heappush(todo, (-(a[x + 1] + b[0]), x + 1, 0))
 
     def search(self, anchor: int, label: int, dim: int, q: np.ndarray, windows: list[tuple[int, int, int]], k: int, same: bool) -> list[list[tuple[int, int]]]:
-        """For each window (lowest score, highest score, floor known from elsewhere), the first k (score, -id) in it."""
-        best: list[list[tuple[int, int]]] = [[] for _ in windows]
-
-        def need(w: int) -> int:
-            lo, _, floor = windows[w]
-            return max(lo, floor, best[w][0][0] if len(best[w]) == k else NONE)
+        """For each window (lowest score, highest score, floor known from elsewhere), the first k (score, id) in it.
+
+        Cells are scored together, about TOGETHER rows at a time. What is read beyond the bound changes no window.
+        """
+        fit = ((self.labels == label) == same) & (self.ids != anchor) & (self.dims == dim)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
+        need = [max(lo, floor) for lo, _, floor in windows]
+        spans: list[np.ndarray] = []
+        held = 0
+
+        def meet() -> None:
+            at = np.concatenate(spans)
+            at = at[fit[at]]
+            ids, scores = self.ids[at], self.scores(at, q)
+            for w, (_, hi, _) in enumerate(windows):
+                good = np.flatnonzero((scores >= need[w]) & (scores <= hi))
+                if len(good):
+                    s, i = np.append(best[w][0], scores[good]), np.append(best[w][1], ids[good])
+                    first = np.lexsort((~i, s))[::-1][:k]  # falling scores, ties by rising ids
+                    best[w] = s[first], i[first]
+                    if len(first) == k:
+                        need[w] = max(need[w], int(s[first[-1]]))
 
         for bound, a, b in self.visit(q):
-            if all(bound < need(w) for w in range(len(windows))):
+            if bound < min(need, default=math.inf):
                 break
-            fit = (self.labels[a:b] == label) == same
-            fit &= (self.ids[a:b] != anchor) & (self.dims[a:b] == dim)
-            at = np.flatnonzero(fit) + a
-            for row, score in zip(self.ids[at].tolist(), exact_scores(self.rows[at], q)):
-                for w, (lo, hi, _) in enumerate(windows):
-                    if need(w) <= score <= hi and (lo <= score):
-                        if len(best[w]) < k:
-                            heapq.heappush(best[w], (score, -row))
-                        elif (score, -row) > best[w][0]:
-                            heapq.heapreplace(best[w], (score, -row))
-        return best
+            spans.append(np.arange(a, b))
+            held += b - a
+            if held >= TOGETHER:
+                meet()
+                spans, held = [], 0
+        if spans:
+            meet()
+        return [list(zip(s.tolist(), i.tolist())) for s, i in best]
+
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.largest * np.abs(q).max(initial=0) * len(q) < EXACT:
+            return (self.rows[at] @ q).astype(np.int64)
+        return np.array(exact_scores(self.rows[at], q), np.int64)
 
 
 QUERY = "anchor bigint, label bigint, v array<double>, positives array<bigint>, low array<bigint>, high array<bigint>, floor array<bigint>"
@@ -222,9 +244,9 @@ def _routed(asked: DataFrame, index: Index, home: bool) -> DataFrame:
                 take, shards = [], []
                 low, floor = part.column("low").to_pylist(), part.column("floor").to_pylist()
                 for row, bounds in enumerate(index.shard_bounds(_padded(part.column("v"), index.width))):
-                    first = min(bounds, key=lambda s: (-bounds[s], s)) if bounds else None
+                    first = int(bounds.argmax())
                     need = min((max(lo, f) for lo, f in zip(low[row], floor[row])), default=math.inf)
-                    go = [first] if home else [s for s in bounds if s != first and bounds[s] >= need]
+                    go = [first] if home else [s for s in np.flatnonzero(bounds >= need).tolist() if s != first]
                     take += [row] * len(go)
                     shards += go
                 sent = part.take(pa.array(take, pa.int64()))
@@ -246,7 +268,7 @@ def _searched(asked: DataFrame, placed: DataFrame, index: Index, k: int, same: b
             q = np.zeros(index.width)
             q[: len(v)] = v
             for slot, hits in enumerate(shard.search(anchor, label, len(v), q, list(zip(low, high, floor)), k, same)):
-                out += [(anchor, slot, -i, s) for s, i in hits]
+                out += [(anchor, slot, i, s) for s, i in hits]
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         columns = list(zip(*out)) if out else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["anchor", "slot", "vec_id", "score"])

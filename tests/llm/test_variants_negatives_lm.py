@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -153,6 +154,33 @@ def test_cells_come_by_falling_bound_and_hold_it(spark):
         assert all((shard.rows[a:z] @ q).max() <= b for b, a, z in bounds)
 
 
+def test_windows_take_no_python_call_for_every_row():
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.normal(size=(4000, 16)))
+    books = tuple(negatives.codebook(v[:, h], 6) for h in (slice(0, 8), slice(8, 16)))
+    (i, r), (j, s) = (negatives.nearest(v[:, h], b) for h, b in zip((slice(0, 8), slice(8, 16)), books))
+    cells = [(a, b, int(m.sum()), r[m].max(), s[m].max()) for a in range(6) for b in range(6) if (m := (i == a) & (j == b)).any()]
+    rows = pa.table({"vec_id": np.arange(4000), "label": np.arange(4000) % 3, "v": pa.array(v.tolist()), "i": i, "j": j})
+    shard = negatives.Shard(rows, negatives.Index(16, books, cells, 10_000))
+    scores = (v @ v[7]).astype(int)
+    windows = [(-(1 << 63), int(top), -(1 << 63)) for top in np.sort(scores)[[300, 900, 2000, 3000, 3990]]]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        got = shard.search(7, 1, 16, v[7], windows, 10, False)
+    finally:
+        sys.setprofile(None)
+    for (_, hi, _), hits in zip(windows, got, strict=True):
+        fit = sorted((-scores[k], k) for k in range(4000) if k % 3 != 1 and k != 7 and scores[k] <= hi)[:10]
+        assert [(int(-a), k) for a, k in fit] == [(a, k) for a, k in hits]
+    assert calls < 1000, calls
+
+
 def lm_texts(seed):
     rnd = random.Random(seed)
     frequent = [f"w{k}" for k in range(12)]
