@@ -51,6 +51,7 @@ SOLICITATION_REJECT = [
 LOCATIONS = "project_size_location_items"
 AFTER_AWARD = r"(?i)(\d+(?:\.\d+)?)\s*(?:calendar\s+|working\s+|business\s+)?days?\s+after\s+award"
 APPENDED = 1 << 60
+STAGES = "zstd"  # stage tables of the rules are as large as the field table, one after another
 
 SPEC_COLUMNS = [
     "doc_id", "bucket", "row_seq", "field_key", "text", "date", "confidence", "date_grounded", "calculated",
@@ -212,6 +213,12 @@ def _first(cond: Column, *fields: str) -> Column:
     return F.min(F.when(cond, F.struct("row_seq", *fields)))
 
 
+def _apart(rows: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows a rule can change, which are joined with its facts, and the others, which pass without a shuffle."""
+    there = F.coalesce(cond, F.lit(False))
+    return rows.where(there), rows.where(~there)
+
+
 def rule_bid_open(rows: DataFrame) -> DataFrame:
     """Ungrounded bid-open rows go; a document without one gets a copy of its bid deadline."""
     kept = rows.where(~(_dates() & _is("bid open date") & (F.col("date_grounded") == F.lit(False)) & F.col("date_grounded").isNotNull()))
@@ -256,10 +263,12 @@ def rule_start_date(rows: DataFrame) -> DataFrame:
     """Start date from the bid opening: 60 days for large projects, else 30, off weekends."""
     start = _dates() & _is("project start date")
     placeholder = start & is_placeholder_date("date")
-    facts = rows.groupBy("doc_id").agg(
+    opening = _dates() & _is("bid open date")
+    value = (F.col("bucket") == "project_metadata_items") & (F.lower(_text("text")).contains("project value") | F.lower(_text("text")).contains("project_value"))
+    # rows that say nothing of the three are not brought together
+    facts = rows.where(start | opening | value).groupBy("doc_id").agg(
         F.bool_or(start & ~is_placeholder_date("date")).alias("has_start"),
-        _first(_dates() & _is("bid open date"), "date", "confidence").alias("open"),
-        _first((F.col("bucket") == "project_metadata_items") & (F.lower(_text("text")).contains("project value") | F.lower(_text("text")).contains("project_value")), "text").alias("val"),
+        _first(opening, "date", "confidence").alias("open"), _first(value, "text").alias("val"),
     ).where(~F.col("has_start") & F.col("open").isNotNull())
     amount = parse_amount(F.col("val.text"))
     days = F.when(F.col("val").isNotNull() & (amount > 1_000_000), 60).otherwise(30)
@@ -286,13 +295,14 @@ def rule_end_date(rows: DataFrame) -> DataFrame:
     f = once(once(both, "begin", parse_date(F.col("s.date"))), "calc", add_duration("begin", strip("e.date"))).select(
         "doc_id", F.col("e.row_seq").alias("row_seq"), strip("e.date").alias("raw"), F.col("s.confidence").alias("cap"), "calc",
     ).where(F.col("calc").isNotNull())
-    j = rows.join(f, ["doc_id", "row_seq"], "left")
+    ends, others = _apart(rows, end)
+    j = ends.join(f, ["doc_id", "row_seq"], "left")
     hit = F.col("calc").isNotNull()
-    return j.withColumns({
+    return others.select(*SPEC_COLUMNS).unionByName(j.withColumns({
         "date": F.when(hit, F.concat(long_date("calc"), F.lit(' (estimated from "'), F.col("raw"), F.lit('")'))).otherwise(F.col("date")),
         "calculated": F.col("calculated") | hit,
         "confidence_cap": F.when(hit & F.col("cap").isNotNull(), F.col("cap")).otherwise(F.col("confidence_cap")),
-    }).select(*SPEC_COLUMNS)
+    }).select(*SPEC_COLUMNS))
 
 
 def rule_award_anchor(rows: DataFrame) -> DataFrame:
@@ -303,21 +313,19 @@ def rule_award_anchor(rows: DataFrame) -> DataFrame:
     facts = once(facts, "award", parse_date(F.col("a.date"))).where(F.col("award").isNotNull()).select(
         "doc_id", "award", F.coalesce("a.confidence", F.lit(72)).alias("cap")
     )
-    j = rows.join(facts, "doc_id", "left")
     raw = strip(_text("date"))
     n = F.floor(F.nullif(F.regexp_extract(raw, AFTER_AWARD, 1), F.lit("")).cast("double")).cast("int")
-    hit = (
-        F.col("award").isNotNull() & _dates() & F.col("field_key").isin("project_start_date_time", "project_end_date_time")
-        & n.isNotNull() & parse_date(raw).isNull()
-    )
+    worded, others = _apart(rows, _dates() & F.col("field_key").isin("project_start_date_time", "project_end_date_time") & raw.rlike(AFTER_AWARD))
+    j = worded.join(facts, "doc_id", "left")
+    hit = F.col("award").isNotNull() & n.isNotNull() & parse_date(raw).isNull()
     j = once(j, "hit", F.coalesce(hit, F.lit(False)))
     hit = F.col("hit")
     moved = F.col("award") + F.make_dt_interval(days=F.coalesce(n, F.lit(0)))
-    return j.withColumns({
+    return others.select(*SPEC_COLUMNS).unionByName(j.withColumns({
         "date": F.when(hit, F.concat(long_date(moved), F.lit(" (estimated — "), n.cast("string"), F.lit(" days after award date "), long_date("award"), F.lit(")"))).otherwise(F.col("date")),
         "calculated": F.col("calculated") | F.coalesce(hit, F.lit(False)),
         "confidence_cap": F.when(hit, F.col("cap")).otherwise(F.col("confidence_cap")),
-    }).select(*SPEC_COLUMNS)
+    }).select(*SPEC_COLUMNS))
 
 
 def drop_inferred(rows: DataFrame) -> DataFrame:
@@ -338,9 +346,10 @@ def attach_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
         F.when(low.startswith("mandatory"), True).when(low.startswith("non-mandatory") | low.startswith("not mandatory"), False),
     )
     marks = placed.select("doc_id", "row_seq", "n", badge.alias("badge"))
-    out = rows.join(marks, ["doc_id", "row_seq"], "left").withColumns({
+    noted, others = _apart(rows, place)
+    out = others.select(*SPEC_COLUMNS).unionByName(noted.join(marks, ["doc_id", "row_seq"], "left").withColumns({
         "note": F.coalesce("n", "note"), "mandatory": F.coalesce("badge", "mandatory"),
-    }).select(*SPEC_COLUMNS)
+    }).select(*SPEC_COLUMNS))
     keys = list(DEADLINE_LABELS)
     label = F.create_map(*[F.lit(x) for kv in DEADLINE_LABELS.items() for x in kv])
     shell = date_note.join(first, ["doc_id", "field_key"], "left_anti").select(*_blank_row({
@@ -379,26 +388,28 @@ def _plain_title(c: Column) -> Column:
     return strip(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", " "))
 
 
-def filter_rows(rows: DataFrame) -> DataFrame:
-    """Metadata rows whose value cannot be what the field says are dropped."""
-    meta = F.col("bucket") == "project_metadata_items"
-    names = rows.where(meta & (F.col("field_key") == "project_name")).groupBy("doc_id").agg(
+def filter_rows(rows: DataFrame, names_of: DataFrame | None = None) -> DataFrame:
+    """Metadata rows whose value cannot be what the field says are dropped.
+
+    Only descriptions are compared with another row, the name of the project, which `names_of` may hold where `rows` are
+    part of a table; all others are judged by themselves.
+    """
+    meta, key, v = F.col("bucket") == "project_metadata_items", F.col("field_key"), F.col("__v")
+    names = (rows if names_of is None else names_of).where(meta & (key == "project_name")).groupBy("doc_id").agg(
         F.min(F.struct("row_seq", row_value().alias("v")))["v"].alias("__name")
     )
-    rows0 = rows
-    rows = once(rows, "__v", row_value())
-    v = F.col("__v")
-    vn, nn = _plain_title(v), _plain_title(F.coalesce("__name", F.lit("")))
-    same = (nn != "") & (nn.contains(vn) | vn.contains(nn))
-    prose = (word_count(v) >= 15) | v.contains(".") | v.contains(";")
-    key = F.col("field_key")
+    described, others = _apart(once(rows, "__v", F.when(F.coalesce(meta, F.lit(True)), row_value())), F.coalesce(meta, F.lit(True)) & (key == "project_description"))
     ok = (
         F.when(key == "project_document_acquisition_note", is_valid_acquisition_note(v))
-        .when(key == "project_description", (F.length(v) >= 80) & ~same & prose)
         .when(key == "project_sector", F.coalesce("citation_verified", F.lit(False)))
         .when(key == "project_solicitation_number", is_solicitation_number(v)).otherwise(True)
     )
-    return rows.join(names, "doc_id", "left").where(~meta | F.coalesce(ok, F.lit(True))).select(*rows0.columns)
+    described = described.join(names, "doc_id", "left")
+    vn, nn = _plain_title(v), _plain_title(F.coalesce("__name", F.lit("")))
+    same = (nn != "") & (nn.contains(vn) | vn.contains(nn))
+    prose = (word_count(v) >= 15) | v.contains(".") | v.contains(";")
+    told = described.where(~meta | F.coalesce((F.length(v) >= 80) & ~same & prose, F.lit(True)))
+    return others.where(~meta | F.coalesce(ok, F.lit(True))).select(*rows.columns).unionByName(told.select(*rows.columns))
 
 
 def quality_key() -> Column:
@@ -551,22 +562,31 @@ def field_warnings(rows: DataFrame) -> DataFrame:
         rows.where(F.coalesce("awaiting_value", F.lit(False))), F.when(key != "", key).otherwise("project_start_date_time"), F.col("bucket"), "info",
         F.lit("Project start date uses default 30-day offset; project value not found."),
     )
-    has = rows.where(_dates() & (key == "bid_deadline_date_time")).select("doc_id")
+    has = F.max(F.coalesce(_dates() & (key == "bid_deadline_date_time"), F.lit(False)))
     none = _warning(
-        rows.select("doc_id").distinct().join(has, "doc_id", "left_anti"), F.lit("bid_deadline_date_time"), F.lit("project_dates"), "warn",
+        rows.groupBy("doc_id").agg(has.alias("has")).where(~F.col("has") | F.col("doc_id").isNull()), F.lit("bid_deadline_date_time"), F.lit("project_dates"), "warn",
         F.lit("Bid deadline not found in document."),
     )
     return low.unionByName(wait).unionByName(none)
 
 
+READ = "__ts"
+
+
+def read_dates(rows: DataFrame) -> DataFrame:
+    """Add what the dates of date rows say, where it is not known yet; the rules on years and orders share it."""
+    return rows if READ in rows.columns else once(rows, READ, F.when(_dates(), parse_date("date")))
+
+
 def zero_bad_years(rows: DataFrame) -> DataFrame:
-    y = F.year(F.when(_dates(), parse_date("date")))
-    return rows.withColumn("confidence", F.when(F.coalesce(~y.between(2020, 2035), F.lit(False)), 0).otherwise(F.col("confidence")))
+    y = F.year(READ)
+    read = read_dates(rows).withColumn("confidence", F.when(F.coalesce(~y.between(2020, 2035), F.lit(False)), 0).otherwise(F.col("confidence")))
+    return read.select(*rows.columns)
 
 
 def date_warnings(rows: DataFrame) -> DataFrame:
     """Years out of range and impossible orders of dates; the last row of a field counts."""
-    d = once(rows.where(_dates()).select("doc_id", _text("field_key").alias("field_key"), "row_seq", "date"), "ts", parse_date("date")).where(F.col("ts").isNotNull())
+    d = read_dates(rows.where(_dates())).select("doc_id", _text("field_key").alias("field_key"), "row_seq", F.col(READ).alias("ts")).where(F.col("ts").isNotNull())
     y = F.year("ts")
     inside = y.between(2020, 2035)
     bad = _warning(
@@ -597,23 +617,26 @@ def finalize(rows: DataFrame, notes: DataFrame | None = None, infer_dates: bool
     """Date rules, notes, filters, merging, deduplication, confidence and warnings, in order.
 
     The rules read the rows again and again, so rows and notes are written before them, and the table again after the
-    date rules, the filters, the merging and the deduplication. Locations and other metadata are merged apart: neither
-    merging reads the rows of the other.
+    date rules, the merging and the deduplication; the last one with what its dates say. Only fields that are merged are
+    written after the filters. Locations and other metadata are merged apart: neither merging reads the rows of the other.
     """
-    out = rule_bid_open(cut(rows.select(*SPEC_COLUMNS)))
+    out = rule_bid_open(cut(rows.select(*SPEC_COLUMNS), STAGES))
     if infer_dates:
-        out = rule_award_anchor(rule_end_date(cut(rule_start_date(out))))
+        out = rule_award_anchor(rule_end_date(cut(rule_start_date(out), STAGES)))
     else:
         out = drop_inferred(out)
     if notes is not None:
-        out = attach_notes(out, cut(notes))
-    kept = cut(filter_rows(cut(out)))
-    place = F.coalesce(F.col("bucket") == LOCATIONS, F.lit(False))
-    out = cut(infer_field_key(merge_multi(kept.where(~place)).unionByName(merge_locations(kept.where(place)))))
+        out = attach_notes(out, cut(notes, STAGES))
+    out = cut(out, STAGES)
+    many, single = _apart(out, F.col("field_key").isin([*MERGED, "project_location"]) & F.col("bucket").isin("project_metadata_items", LOCATIONS))
+    many = cut(filter_rows(many, out), STAGES)
+    place = F.col("bucket") == LOCATIONS
+    merged = merge_multi(many.where(~place)).unionByName(merge_locations(many.where(place)))
+    out = cut(infer_field_key(filter_rows(single, out).unionByName(merged)), STAGES)
     first = dedupe_warnings(out)
-    out = cut(zero_bad_years(apply_confidence(dedupe_rows(out))))
+    out = cut(zero_bad_years(read_dates(apply_confidence(dedupe_rows(out)))), STAGES)
     warnings = merge_warnings(first.unionByName(field_warnings(out)).unionByName(date_warnings(out)))
-    return out.withColumn("date_kind", date_kind()), warnings
+    return out.drop(READ).withColumn("date_kind", date_kind()), warnings
 
 
 def sort_metadata(rows: DataFrame) -> DataFrame:
