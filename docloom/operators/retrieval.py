@@ -162,9 +162,12 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_id, chunk_order, dl, term, tf) of chunks, and for each chunk a row of the empty term with its length.
 
     The one pass over the texts: chunk counts, lengths, document frequencies and term frequencies all come from it. With
-    `asked` (term) only those terms are kept; they are picked before any shuffle of tokens.
+    `asked` (term) only those terms are kept; they are picked before any shuffle of tokens. Without, chunks are brought
+    together before they are cut to tokens: a text is a fraction of its postings, and those come out chunk by chunk.
     """
     body = F.concat_ws(" ", "chunk_text", "section_title", "tags")
+    if asked is None:
+        chunks = chunks.select("doc_id", "chunk_id", "chunk_order", "chunk_text", "section_title", "tags").repartition("doc_id", "chunk_id")
     tok = chunks.select("doc_id", "chunk_id", "chunk_order", tokens(body).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
     each = tok.select("doc_id", "chunk_id", "chunk_order", "dl", F.explode(F.concat(F.array(F.lit("")), F.col("toks"))).alias("term"))
     if asked is not None:

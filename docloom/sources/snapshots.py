@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT
 from docloom.plans.stage import cut, exists
 
+PACKED = "zstd"  # rows of a table are many and alike
 TASK_ROWS = 1 << 18  # about so many rows of a bucket are written by one task
 
 
@@ -63,7 +64,7 @@ def replace_documents(df: DataFrame, path: str, documents: DataFrame | None = No
     spark = df.sparkSession
     known = versions(spark, path)
     next_version = (known[-1] + 1) if known else 0
-    new = cut(with_bucket(df, buckets))
+    new = cut(with_bucket(df, buckets), PACKED)
     named = (documents if documents is not None else df).select("doc_id").distinct()
     named = cut(with_bucket(named.unionByName(new.select("doc_id").distinct()).distinct(), buckets))
     touched = {r.doc_bucket for r in named.select("doc_bucket").distinct().collect()}  # at most `buckets`
@@ -74,7 +75,7 @@ def replace_documents(df: DataFrame, path: str, documents: DataFrame | None = No
         keep = with_bucket(old, buckets).join(named.select("doc_id"), "doc_id", "left_anti")
         out = keep.select(*new.columns).unionByName(new)
     data = f"{path}/data/v{next_version}"
-    _dealt(out, len(touched)).write.mode("overwrite").partitionBy("doc_bucket").parquet(data)
+    _dealt(out, len(touched)).write.mode("overwrite").partitionBy("doc_bucket").parquet(data, compression=PACKED)
     filled = {int(s.getPath().getName().split("=")[1]) for s in _children(spark, data) if s.getPath().getName().startswith("doc_bucket=")}
     written = {b: v for b, v in written.items() if b not in touched} | dict.fromkeys(filled, next_version)
     if next_version in versions(spark, path):
