@@ -178,16 +178,21 @@ def classify_documents(cover: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_ci(df: DataFrame, name: str, expr: Column, limit: int | None = None) -> DataFrame:
-    """Add an array without case-insensitive repeats, first spelling kept.
+def _placed(expr: Column) -> Column:
+    """Elements sorted by their lower-case form and place, so that repeats stand side by side."""
+    return F.sort_array(F.transform(expr, lambda t, i: F.struct(F.lower(strip(t)).alias("l"), i.alias("i"), t.alias("t"))))
 
-    Elements are sorted by their lower-case form and place, so that repeats stand side by side; the first of each
-    go back to their places. Each step is computed once per row.
-    """
-    df = once(df, "__k", F.sort_array(F.transform(expr, lambda t, i: F.struct(F.lower(strip(t)).alias("l"), i.alias("i"), t.alias("t")))))
-    firsts = F.filter("__k", lambda x, j: x["l"].isNotNull() & ((j == 0) | ~x["l"].eqNullSafe(F.get("__k", j - 1)["l"])))
-    kept = F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
-    return df.withColumn(name, kept if limit is None else F.slice(kept, 1, limit)).drop("__k")
+
+def _firsts(k: Column) -> Column:
+    """The first of each run of repeats, back at their places."""
+    firsts = F.filter(k, lambda x, j: x["l"].isNotNull() & ((j == 0) | ~x["l"].eqNullSafe(F.get(k, j - 1)["l"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
+
+
+def _distinct_ci(df: DataFrame, name: str, expr: Column, limit: int | None = None) -> DataFrame:
+    """Add an array without case-insensitive repeats, first spelling kept. Each step is computed once per row."""
+    kept = _firsts(F.col("__k"))
+    return once(df, "__k", _placed(expr)).withColumn(name, kept if limit is None else F.slice(kept, 1, limit)).drop("__k")
 
 
 def with_mined(df: DataFrame, text, limit: int | None = None, name: str = "mined") -> DataFrame:
@@ -242,6 +247,8 @@ def document_lexicon(mined: DataFrame, loaded: DataFrame) -> DataFrame:
         F.max(F.when(F.col("entry_kind") == "term", F.col("ts"))).alias("lt"),
         F.max(F.when(F.col("entry_kind") == "query", F.col("ts"))).alias("lq"),
     )
+    # learned queries are the same for all documents
+    per_type = _distinct_ci(per_type, "queries", F.filter(F.transform("lq", strip), lambda t: F.length(t) >= 8)).drop("lq")
     # every term is routed once; the types are spread afterwards
     own = mined.withColumn("types", term_types("term")).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("term_seq", "term", "types"))).alias("m")
@@ -253,9 +260,9 @@ def document_lexicon(mined: DataFrame, loaded: DataFrame) -> DataFrame:
     )
     routed = F.transform(F.filter("m", lambda s: F.array_contains(s["types"], F.col("extraction_type"))), lambda s: s["term"])
     parts = F.concat(F.coalesce("lt", empty), routed)
-    rows = _distinct_ci(rows, "typed_terms", F.filter(F.transform(parts, strip), lambda t: F.length(t) >= 3))
-    rows = _distinct_ci(rows, "queries", F.filter(F.transform(F.coalesce("lq", empty), strip), lambda t: F.length(t) >= 8))
-    return rows.select("doc_id", "extraction_type", "global_terms", "typed_terms", "queries")
+    # an expression of its own, so that a reader who can do without it does not pay for it
+    typed = bound(_placed(F.filter(F.transform(parts, strip), lambda t: F.length(t) >= 3)), _firsts)
+    return rows.select("doc_id", "extraction_type", "global_terms", typed.alias("typed_terms"), F.coalesce("queries", empty).alias("queries"))
 
 
 def cache_sufficient(lexicon: DataFrame, types: list[str] | None = None, minimum: int = DEFAULT.lexicon_min_terms) -> DataFrame:
@@ -286,14 +293,17 @@ def record_terms(lexicon: DataFrame, new: DataFrame, kind: str, known: DataFrame
     """Lexicon after recording (extraction_type, term, source, seen_at): counters add up per use."""
     minimum = 8 if kind == "query" else 3
     display = strip(F.coalesce("term", F.lit("")))
-    rows = new.select("extraction_type", display.alias("display"), norm_ws("term").alias("term_normalized"), "source", "seen_at").where(
+    # documents share most of their terms: each spelling is counted first and looked at once
+    spelled = new.groupBy("extraction_type", "term", "source", "seen_at").agg(F.count("*").alias("n"))
+    looked = once(spelled, "__x", F.struct(display.alias("display"), norm_ws("term").alias("term_normalized")))
+    rows = looked.select("extraction_type", "__x.display", "__x.term_normalized", "source", "seen_at", "n").where(
         (F.length("display") >= minimum) & (F.col("term_normalized") != "")
     )
     if known is not None:
         rows = rows.join(known.select("term_normalized").distinct(), "term_normalized", "left_anti")
     last = F.max(F.struct("seen_at", "display"))
     uses = rows.groupBy("extraction_type", "term_normalized").agg(
-        F.count("*").alias("uses"), head(last["display"], limits.display_chars).alias("new_display"), last["seen_at"].alias("new_seen"),
+        F.sum("n").alias("uses"), head(last["display"], limits.display_chars).alias("new_display"), last["seen_at"].alias("new_seen"),
         F.min(F.struct("seen_at", "source"))["source"].alias("new_source"),
     ).withColumn("entry_kind", F.lit(kind))
     j = lexicon.join(uses, ["extraction_type", "entry_kind", "term_normalized"], "full_outer")
@@ -351,8 +361,13 @@ def route_queries(classes: DataFrame, routing: bool = True) -> DataFrame:
 def queries_for_types(doc_lexicon: DataFrame, limits: Limits = UNCUT) -> DataFrame:
     """Static queries, learned queries and one query of the first terms, distinct in order."""
     statics = F.create_map(*[x for t, qs in STATIC_QUERIES.items() for x in (F.lit(t), literal_array(qs))])
-    rows = _distinct_ci(doc_lexicon, "__terms", F.concat("global_terms", "typed_terms"))
-    term_query = F.array_join(first("__terms", limits.query_terms), " ")
+    n, terms = limits.query_terms, F.concat("global_terms", "typed_terms")
+    if n is not None:
+        # where the first terms are different ones, the others are not looked at
+        plain = F.array_distinct(F.array_compact(F.transform(F.slice("global_terms", 1, n), lambda t: F.lower(strip(t)))))
+        terms = F.when(F.size(plain) == n, F.slice("global_terms", 1, n)).otherwise(terms)
+    rows = _distinct_ci(doc_lexicon.select("doc_id", "extraction_type", "queries", terms.alias("__all")), "__terms", F.col("__all"))
+    term_query = F.array_join(first("__terms", n), " ")
     merged = F.concat(statics[F.col("extraction_type")], "queries", F.array(term_query))
     rows = _distinct_ci(rows, "__queries", F.filter(F.transform(merged, strip), lambda q: q != ""))
     return rows.select("doc_id", "extraction_type", F.posexplode("__queries").alias("query_seq", "query"))
