@@ -463,7 +463,12 @@ def batch_requests(selected: DataFrame, chunks: DataFrame, identity: DataFrame |
         F.lit("=== Section: "), "section_title", F.lit(" (pages "), F.col("page_start").cast("string"), F.lit("-"),
         F.col("page_end").cast("string"), F.lit(") ===\n"), F.col("chunk_text"),
     )
-    rows = selected.join(chunks.select("doc_id", "chunk_order", "chunk_id", "page_start", "page_end", "section_title", body.alias("text")), ["doc_id", "chunk_order"])
+    # a text goes to its document once, with the list of its places, not once for every type; a selection is short by definition
+    asked = selected.groupBy("doc_id", "chunk_order").agg(F.collect_list(F.struct("extraction_type", "position")).alias("asks"))
+    met = asked.join(chunks.select("doc_id", "chunk_order", "chunk_id", "page_start", "page_end", "section_title", body.alias("text")), ["doc_id", "chunk_order"])
+    rows = met.repartition("doc_id").select("*", F.explode("asks").alias("ask")).select(
+        "doc_id", "chunk_id", "page_start", "page_end", "section_title", "text", "ask.extraction_type", "ask.position"
+    )
     g = rows.groupBy("doc_id", "extraction_type", F.floor((F.col("position") - 1) / size).cast("int").alias("batch_no")).agg(
         ordered_join(F.collect_list(F.struct("position", "text")), "\n\n").alias("prompt"),
         ordered_join(F.collect_list(F.struct("position", F.col("chunk_id").alias("text"))), ",").alias("chunk_ids"),
