@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docloom.config import Limits
+from docloom.operators import chunks as C
 from docloom.operators import lexicon as L
 from docloom.operators import retrieval as R
 from docloom.plans.stage import cut
@@ -65,3 +66,17 @@ def test_terms_no_query_needs_are_not_compared(spark):
     mined = spark.range(20).select(F.floor(F.col("id") / 5).alias("doc_id"), F.col("id").alias("term_seq"), F.concat(F.lit("Project owner "), F.col("id").cast("string")).alias("term"))
     above = plan_of(L.queries_for_types(L.document_lexicon(mined, loaded), Limits(query_terms=3)), "Optimized Logical").partition("Join ")[0]
     assert above.count("Generate explode(array(sort_array(") == 2  # terms of the query and the queries; learned queries and typed terms no more
+
+
+def test_leaves_are_split_once(spark):
+    i = F.col("id")
+    sections = cut(spark.range(24).select(
+        F.floor(i / 6).alias("doc_id"), (i % 6).alias("section_order"), F.lit("Scope of Work").alias("title"), F.concat(F.lit("build the bridge "), i.cast("string")).alias("content"),
+        F.lit(9).alias("page_start"), F.lit(9).alias("page_end"),
+    ))
+    tables = spark.createDataFrame([], "doc_id bigint, table_idx int, page int, headers array<string>, rows array<array<string>>")
+    parsed = spark.createDataFrame([(0, "text", 9), (77, "only text", 3)], "doc_id bigint, structured_text string, total_pages int")
+    made = C.build_chunks(parsed, sections, tables)
+    assert "posexplode" not in plan_of(made, "Optimized Logical")
+    got = {(r.doc_id, r.chunk_order): r.chunk_text for r in made.collect()}
+    assert got == {(d, k + 1): f"build the bridge {6 * d + k}" for d in range(4) for k in range(6)} | {(77, 1): "only text"}
